@@ -1,9 +1,8 @@
 """All matches of a pattern in a text, with groups and line numbers.
 
-Spark has no match offsets, but a match anchored at the end of the one before
-(``\\G``) brings the text in front of it along.  One pass over the text cuts it
-into *chunks* that each end with a match; groups are then read from the short
-chunks, and newlines counted over the chunks give the line.
+Spark has no match offsets.  One ``regexp_replace`` puts marks around every match
+and copies its groups in front of it; splitting at the marks then gives the groups,
+and newlines counted over the pieces give the line.  The pattern runs once per text.
 """
 
 from __future__ import annotations
@@ -14,43 +13,59 @@ from pyspark.sql import functions as F
 # (?U): \b and \s follow Unicode, as they do in the code bases' own tooling.
 _UNICODE = "(?U)"
 
+# Unicode noncharacters: no text meant for interchange holds them.
+_START, _NEXT, _MATCH = "﷐", "﷑", "﷒"
+_MARKS = _START + _NEXT + _MATCH
+_REPLACEMENT = "�"
 
-def chunks(text: Column, pattern: str) -> Column:
-    """Pieces of ``text`` up to and including each match, in order."""
-    return F.regexp_extract_all(text, F.lit(rf"{_UNICODE}\G(?s:.*?)(?:{pattern})"), F.lit(0))
 
-
-def group(chunk: Column, pattern: str, number: int) -> Column:
-    """A group of the match that ends a chunk; null if the group did not take part."""
-    return F.nullif(F.regexp_extract(chunk, _UNICODE + pattern, number), F.lit(""))
+def markable(text: Column) -> Column:
+    """``text`` without the marks: invalid characters read as U+FFFD."""
+    found = F.rlike(text, F.lit(f"[{_MARKS}]"))
+    return F.when(found, F.translate(text, _MARKS, _REPLACEMENT * len(_MARKS))).otherwise(text)
 
 
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def marked_pieces(text: Column, pattern: str, groups: list[int]) -> Column:
+    """``text`` cut at its matches, with the numbered groups copied in.
 
+    ``text`` must be ``markable``.  Make this a column of its own before passing it
+    to ``matches``, so that the pattern runs once.
+    """
+    copies = _NEXT.join(f"${number}" if number else "" for number in groups)
+    marked = F.regexp_replace(text, _UNICODE + pattern, f"{_START}{copies}{_MATCH}$0")
+    return F.split(marked, _START, -1)
 
-def find_all(text: Column, pattern: str, **groups: int) -> Column:
-    """Array of ``struct(pos, line, <named groups>)``, one entry per match."""
-    fields = "".join(f",{name}:string" for name in groups)
-    found_type = f"array<struct<pos:int,line:int{fields}>>"
 
-    def add(state: Column, chunk: Column) -> Column:
-        found = F.regexp_extract(chunk, _UNICODE + pattern, 0)
-        front = F.left(chunk, F.length(chunk) - F.length(found))
+def matches(pieces: Column) -> Column:
+    """Array of ``struct(pos, line, groups)``, one entry per match; see ``group_values``."""
+
+    def add(state: Column, piece: Column) -> Column:
         entry = F.struct(
             F.size(state["found"]).alias("pos"),
-            (state["newlines"] + newlines(front) + 1).alias("line"),
-            *[group(chunk, pattern, number).alias(name) for name, number in groups.items()],
+            state["line"].alias("line"),
+            F.substring_index(piece, _MATCH, 1).alias("groups"),
         )
+        after = F.substring_index(piece, _MATCH, -1)
         return F.struct(
-            (state["newlines"] + newlines(chunk)).alias("newlines"),
+            (state["line"] + newlines(after)).alias("line"),
             F.array_append(state["found"], entry).alias("found"),
         )
 
     start = F.struct(
-        F.lit(0).alias("newlines"), F.array().cast(found_type).alias("found")
+        (newlines(F.get(pieces, F.lit(0))) + 1).alias("line"),
+        F.array().cast("array<struct<pos:int,line:int,groups:string>>").alias("found"),
     )
-    return F.aggregate(chunks(text, pattern), start, add, lambda state: state["found"])
+    matched = F.slice(pieces, 2, F.size(pieces) - 1)
+    return F.aggregate(matched, start, add, lambda state: state["found"])
+
+
+def group_values(groups: Column) -> Column:
+    """The copied groups as an array; those that took no part in the match are empty."""
+    return F.split(groups, _NEXT, -1)
 
 
 def first_group(text: Column, pattern: Column, number: int) -> Column:

@@ -13,76 +13,84 @@ from seamline.functions.paths import (
     method_or_default,
     ord_key,
 )
-from seamline.functions.regex import find_all, first_group
+from seamline.functions.regex import first_group, group_values, markable, marked_pieces, matches
 from seamline.operators.resolve import resolve_routes
+from seamline.plans.staging import small, stage
 
 _FILE = ["service", "path"]
 
 # Order in which the call patterns of a file enter the document.
 _CALL_ORDER = {"wrapper": 0, "request": 1, "api_fetch": 2, "template_fetch": 3}
 
-# pattern name -> (pattern, text it cannot match without, groups)
+# pattern name -> (pattern, text it cannot match without, its groups for name, method, route)
 _PATTERNS = {
-    "wrapper": (fixed.WRAPPER_CALL, "event", {"name": 1, "method": 2, "route": 3}),
-    "request": (fixed.REQUEST_CALL, "Request", {"name": 1, "route": 2, "method": 3}),
-    "api_fetch": (fixed.API_FETCH_CALL, "apiFetch", {"route": 1, "method": 2}),
-    "template_fetch": (fixed.TEMPLATE_FETCH_CALL, "fetch", {"name": 1, "route": 2, "method": 3}),
-    "env_constant": (fixed.ENV_CONSTANT, ".env.", {"name": 1, "route": 2}),
-    "env_access": (fixed.ENV_ACCESS, ".env.", {"name": 1}),
-    "runtime_config": (fixed.RUNTIME_CONFIG, "onfig", {"name": 1}),
+    "wrapper": (fixed.WRAPPER_CALL, "event", [1, 2, 3]),
+    "request": (fixed.REQUEST_CALL, "Request", [1, 3, 2]),
+    "api_fetch": (fixed.API_FETCH_CALL, "apiFetch", [0, 2, 1]),
+    "template_fetch": (fixed.TEMPLATE_FETCH_CALL, "fetch", [1, 3, 2]),
+    "env_constant": (fixed.ENV_CONSTANT, ".env.", [1, 0, 2]),
+    "env_access": (fixed.ENV_ACCESS, ".env.", [1, 0, 0]),
+    "runtime_config": (fixed.RUNTIME_CONFIG, "onfig", [1, 0, 0]),
 }
-_FIELDS = ["name", "method", "route"]
+_MATCH = "struct<kind:string,pos:int,line:int,groups:string>"
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """Matches of one pattern; texts that cannot hold one are not searched."""
+def _pieces(text: Column, kind: str) -> Column:
+    """Text cut at the matches of one pattern; null if it cannot hold one."""
     pattern, needle, groups = _PATTERNS[kind]
-    none = F.lit(None).cast("string")
-    found = F.transform(
-        find_all(text, pattern, **groups),
-        lambda m: F.struct(
-            F.lit(kind).alias("kind"),
-            m["pos"].alias("pos"),
-            m["line"].alias("line"),
-            *[(m[f] if f in groups else none).alias(f) for f in _FIELDS],
-        ),
-    )
-    empty = F.array().cast("array<struct<kind:string,pos:int,line:int,name:string,method:string,route:string>>")
-    return F.when(F.contains(text, F.lit(needle)), found).otherwise(empty)
+    return F.when(F.contains(text, F.lit(needle)), marked_pieces(text, pattern, groups))
 
 
-def _fetch_definition(text: Column) -> Column:
-    """The file's own ``apiFetch`` wrapper: its base and the prefix of its fallback URL."""
-    base = first_group(text, F.lit(fixed.API_FETCH_DEFINITION), 1)
-    before, after = fixed.FALLBACK_URL.split("%s")
-    constant = F.concat(F.lit(before), F.substring_index(base, ".", -1), F.lit(after))
-    url = first_group(text, constant, 1)
-    prefix = F.regexp_replace(first_group(url, F.lit(fixed.URL_PATH), 1), r"/+\z", "")
-    none = F.lit(None).cast("string")
-    entry = F.struct(
-        F.lit("definition").alias("kind"),
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("line"),
-        base.alias("name"),
-        none.alias("method"),
-        prefix.alias("route"),
+def _found(kind: str) -> Column:
+    of_kind = F.transform(
+        matches(F.col(kind)),
+        lambda m: F.struct(F.lit(kind).alias("kind"), m["pos"], m["line"], m["groups"]),
     )
-    return F.when(F.contains(text, F.lit("${endpoint")), F.array(entry)).otherwise(F.array().cast(
-        "array<struct<kind:string,pos:int,line:int,name:string,method:string,route:string>>"
-    ))
+    return F.coalesce(of_kind.cast(f"array<{_MATCH}>"), F.array().cast(f"array<{_MATCH}>"))
 
 
 def frontend_matches(files: DataFrame) -> DataFrame:
     """``(service, path, kind, pos, line, name, method, route)``: every match in every file.
 
     One pass over the texts, which go no further than this; all that follows
-    works on these short rows.
+    works on these short rows.  A file's own ``apiFetch`` wrapper is the match
+    ``definition``, with its base and the prefix of its fallback URL.
     """
-    text = F.col("content")
-    arrays = [_matches(text, kind) for kind in _PATTERNS]
-    return files.select(
-        "service", "path", F.explode(F.concat(*arrays, _fetch_definition(text))).alias("m")
-    ).select("service", "path", "m.*").filter("name IS NOT NULL OR route IS NOT NULL")
+    text = F.col("text")
+    base = first_group(text, F.lit(fixed.API_FETCH_DEFINITION), 1)
+    before, after = fixed.FALLBACK_URL.split("%s")
+    constant = F.concat(F.lit(before), _last_name(F.col("base")), F.lit(after))
+    url = first_group(first_group(text, constant, 1), F.lit(fixed.URL_PATH), 1)
+    texts = files.select("service", "path", markable(F.col("content")).alias("text"))
+    cut = texts.withColumn("base", F.when(F.contains(text, F.lit("${endpoint")), base)).select(
+        "service",
+        "path",
+        "base",
+        F.when(F.col("base").isNotNull(), F.regexp_replace(url, r"/+\z", "")).alias("prefix"),
+        *[_pieces(text, kind).alias(kind) for kind in _PATTERNS],
+    )
+    definition = F.lit("definition").alias("kind"), F.lit(0), F.lit(0), F.lit("")
+    own = F.when(F.col("base").isNotNull(), F.array(F.struct(*definition))).otherwise(F.array())
+    # The outer form keeps Spark from testing, and so computing, the array twice.
+    every = F.explode_outer(
+        F.concat(own.cast(f"array<{_MATCH}>"), *[_found(kind) for kind in _PATTERNS])
+    )
+    rows = cut.select("service", "path", "base", "prefix", every.alias("m")).filter("m IS NOT NULL")
+    is_definition = F.col("kind") == "definition"
+    name, method, route = (F.nullif(F.get("parts", F.lit(i)), F.lit("")) for i in range(3))
+    return rows.select(
+        "service", "path", "base", "prefix", "m.kind", "m.pos", "m.line",
+        group_values(F.col("m.groups")).alias("parts"),
+    ).select(
+        "service", "path", "kind", "pos", "line",
+        F.when(is_definition, F.col("base")).otherwise(name).alias("name"),
+        method.alias("method"),
+        F.when(is_definition, F.col("prefix")).otherwise(route).alias("route"),
+    )
+
+
+def _last_name(base: Column) -> Column:
+    return F.substring_index(base, ".", -1)
 
 
 def _ord() -> Column:
@@ -124,46 +132,35 @@ def env_bindings(matches: DataFrame, env: DataFrame) -> DataFrame:
     A constant set from a known environment name comes first (the last such line
     counts), then known names used directly, then known runtime configuration keys.
     """
-    constants = (
-        matches.filter("kind = 'env_constant'")
-        .withColumnRenamed("route", "env")
-        .join(env, "env")
-        .select(*_FILE, F.col("name").alias("key"), "target", F.lit(0).alias("rank"), (-F.col("pos")).alias("at"))
-    )
-    # A known name is found inside a longer one too: all beginnings are looked up.
     name = F.col("name")
-    used = (
-        matches.filter("kind = 'env_access'")
-        .select(*_FILE, "name")
-        .distinct()
-        .select(*_FILE, F.explode(F.transform(
-            F.sequence(F.lit(1), F.length(name)), lambda n: F.left(name, n)
-        )).alias("env"))
+    # A known name is found inside a longer one too, so all beginnings of a name
+    # are looked up; files share their names, so each is looked up once.
+    accessed = matches.filter("kind = 'env_access'").select("name").distinct()
+    beginnings = F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.left(name, n))
+    inside = (
+        accessed.select(name.alias("found"), F.explode(beginnings).alias("env"))
         .join(env, "env")
-        .select(*_FILE, "env", "target")
+        .select(F.lit("env_access").alias("kind"), "found", "env", "target")
     )
-    spelled = used.select(
-        *_FILE,
-        F.explode(F.array(
-            F.col("env"),
-            F.concat(F.lit("process.env."), "env"),
-            F.concat(F.lit("import.meta.env."), "env"),
-        )).alias("key"),
-        "target",
-        F.lit(1).alias("rank"),
-        F.lit(0).alias("at"),
+    exact = env.select(
+        F.explode(F.array(F.lit("env_constant"), F.lit("runtime_config"))).alias("kind"),
+        F.col("env").alias("found"), "env", "target",
     )
-    configured = (
-        matches.filter("kind = 'runtime_config'")
-        .withColumnRenamed("name", "env")
-        .join(env, "env")
-        .select(*_FILE, F.col("env").alias("key"), "target", F.lit(2).alias("rank"), F.col("pos").alias("at"))
+    is_constant, is_access = F.col("kind") == "env_constant", F.col("kind") == "env_access"
+    spelled = F.array(
+        F.col("env"), F.concat(F.lit("process.env."), "env"), F.concat(F.lit("import.meta.env."), "env")
     )
+    keys = F.when(is_constant, F.array(name)).when(is_access, spelled).otherwise(F.array("env"))
+    rank = F.when(is_constant, 0).when(is_access, 1).otherwise(2)
+    at = F.when(is_constant, -F.col("pos")).otherwise(F.col("pos"))
     return (
-        constants.unionByName(spelled)
-        .unionByName(configured)
+        matches.filter(F.col("kind").isin("env_constant", "env_access", "runtime_config"))
+        .withColumn("found", F.when(is_constant, F.col("route")).otherwise(name))
+        .join(small(exact.unionByName(inside)), ["kind", "found"])
+        .select(*_FILE, F.explode(keys).alias("key"), F.struct(rank, at).alias("place"), "target")
+        .repartition(*_FILE)  # serves the grouping, the maps and the joins by file
         .groupBy(*_FILE, "key")
-        .agg(F.min_by("target", F.struct("rank", "at")).alias("target"))
+        .agg(F.min_by("target", "place").alias("target"))
     )
 
 
@@ -174,15 +171,11 @@ def _binding_maps(bindings: DataFrame) -> DataFrame:
     )
 
 
-def _last_name(base: Column) -> Column:
-    return F.substring_index(base, ".", -1)
-
-
 def fetch_targets(matches: DataFrame, bindings: DataFrame) -> DataFrame:
     """``(service, path, base, target, prefix)`` of files that define ``apiFetch``."""
     base = F.col("name")
     return (
-        matches.filter("kind = 'definition' AND name IS NOT NULL")
+        matches.filter("kind = 'definition'")
         .join(_binding_maps(bindings), _FILE, "left")
         .select(
             *_FILE,
@@ -239,6 +232,7 @@ def template_fetch_calls(matches: DataFrame, bindings: DataFrame, env: DataFrame
 
 def with_routed_targets(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Look up the calls without a target in the served routes; drop those in neither."""
+    calls = stage(calls, "fetch-calls")
     known = calls.filter("target IS NOT NULL")
     open_calls = calls.filter("target IS NULL").drop("target")
     resolved = resolve_routes(open_calls, routes)

@@ -129,55 +129,83 @@ def _call(node):
     return out
 
 
-def _rows_of(node, parent):
-    """The rows a node gives rise to: none, one, or one per imported name.
+def _import_rows(node, parent):
+    if not node.module or not isinstance(parent, ast.Module):
+        return []
+    return [
+        {"kind": "import", "name": a.asname or a.name, "source": node.module, "imported": a.name}
+        for a in node.names
+    ]
 
-    The module itself has a row, so that every parsed file has at least one.
-    """
-    match node:
-        case ast.Module():
-            return [{"kind": "module"}]
-        case ast.ImportFrom(module=str(module)) if isinstance(parent, ast.Module):
-            return [
-                {"kind": "import", "name": a.asname or a.name, "source": module, "imported": a.name}
-                for a in node.names
-            ]
-        case ast.ClassDef():
-            bases = [getattr(b, "attr", None) or _name(b) or "" for b in node.bases]
-            return [{"kind": "class", "name": node.name, "bases": bases}]
-        case ast.FunctionDef() | ast.AsyncFunctionDef():
-            params = [a.arg for a in node.args.args]
-            return [{"kind": "function", "name": node.name, "params": params}]
-        case ast.Call():
-            return [{"kind": "call", **_call(node)}]
-        case ast.JoinedStr():
-            value = _expression(node)
-            return [{"kind": "fstring", "value": value}] if value.get("lead_attr") else []
-        case ast.AnnAssign(value=None):
-            return []
-        case ast.Assign(targets=[target], value=value) | ast.AnnAssign(target=target, value=value):
-            row = {
-                "kind": "assign" if isinstance(node, ast.Assign) else "annotated",
-                "name": _name(target),
-                "value": _expression(value),
-            }
-            row["peel_base"], row["peel_attr"] = _qualified(value)
-            if isinstance(value, ast.Call):
-                row |= _call(value)
-            if isinstance(target, ast.Attribute) and _name(target.value) == "self":
-                row["self_attr"] = target.attr
-            if isinstance(target, ast.Tuple):
-                row["tuple_names"] = [_name(e) for e in target.elts if _name(e)]
-            return [row]
-    return []
+
+def _class_rows(node, parent):
+    bases = [getattr(b, "attr", None) or _name(b) or "" for b in node.bases]
+    return [{"kind": "class", "name": node.name, "bases": bases}]
+
+
+def _function_rows(node, parent):
+    return [{"kind": "function", "name": node.name, "params": [a.arg for a in node.args.args]}]
+
+
+def _fstring_rows(node, parent):
+    value = _expression(node)
+    return [{"kind": "fstring", "value": value}] if value.get("lead_attr") else []
+
+
+def _assignment(kind, target, value):
+    row = {"kind": kind, "name": _name(target), "value": _expression(value)}
+    row["peel_base"], row["peel_attr"] = _qualified(value)
+    if isinstance(value, ast.Call):
+        row |= _call(value)
+    if isinstance(target, ast.Attribute) and _name(target.value) == "self":
+        row["self_attr"] = target.attr
+    if isinstance(target, ast.Tuple):
+        row["tuple_names"] = [_name(e) for e in target.elts if _name(e)]
+    return [row]
+
+
+def _assign_rows(node, parent):
+    return _assignment("assign", node.targets[0], node.value) if len(node.targets) == 1 else []
+
+
+def _annotated_rows(node, parent):
+    return _assignment("annotated", node.target, node.value) if node.value else []
+
+
+# Node type -> the rows a node gives rise to: none, one, or one per imported name.
+# The module itself has a row, so that every parsed file has at least one.
+_DESCRIBED = {
+    ast.Module: lambda node, parent: [{"kind": "module"}],
+    ast.ImportFrom: _import_rows,
+    ast.ClassDef: _class_rows,
+    ast.FunctionDef: _function_rows,
+    ast.AsyncFunctionDef: _function_rows,
+    ast.Call: lambda node, parent: [{"kind": "call", **_call(node)}],
+    ast.JoinedStr: _fstring_rows,
+    ast.Assign: _assign_rows,
+    ast.AnnAssign: _annotated_rows,
+}
+
+
+def _children(node):
+    """Child nodes in source-field order, without those that hold nothing."""
+    out = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            out += [child for child in value if isinstance(child, ast.AST) and child._fields]
+        elif isinstance(value, ast.AST) and value._fields:
+            out.append(value)
+    return out
 
 
 def _walk(tree):
-    """Yield ``(depth, entry, visit, scopes, node, parent, decorated)`` per node.
+    """Yield ``(depth, entry, visit, scopes, node, parent, decorated)``.
 
-    ``entry`` counts nodes as they are entered and ``visit`` as they are left, so
-    ``(depth, entry)`` sorts breadth-first.  ``scopes`` holds the classes and
-    functions around a node with their parents, itself included.
+    Only for nodes that are described.  ``entry`` counts nodes as they are entered
+    and ``visit`` as they are left, so ``(depth, entry)`` sorts breadth-first.
+    ``scopes`` holds the classes and functions around a node with their parents,
+    itself included.
     """
     entries = visits = 0
     stack = [(tree, None, 0, (), None, None)]
@@ -189,11 +217,12 @@ def _walk(tree):
             continue
         if isinstance(node, (ast.ClassDef, *_FUNCTIONS)):
             scopes = (*scopes, (node, parent))
-        stack.append((node, parent, depth, scopes, decorated, entries))
+        if type(node) in _DESCRIBED:
+            stack.append((node, parent, depth, scopes, decorated, entries))
         entries += 1
         decorators = node.decorator_list if isinstance(node, _FUNCTIONS) else ()
-        for child in reversed(list(ast.iter_child_nodes(node))):
-            owner = node if any(child is d for d in decorators) else None
+        for child in reversed(_children(node)):
+            owner = node if decorators and any(child is d for d in decorators) else None
             stack.append((child, node, depth + 1, scopes, owner, None))
 
 
@@ -209,7 +238,7 @@ def syntax_rows(content: str) -> list[dict]:
     found = [
         (depth, entry, visit, scopes, node, parent, decorated, row)
         for depth, entry, visit, scopes, node, parent, decorated in _walk(tree)
-        for row in _rows_of(node, parent)
+        for row in _DESCRIBED[type(node)](node, parent)
     ]
     found.sort(key=lambda item: item[:2])
     number = {id(item[4]): place for place, item in enumerate(found)}
