@@ -95,15 +95,15 @@ def endpoint_counts(facts: DataFrame, questions: DataFrame, services: DataFrame
 
 
 def discover_services(facts: DataFrame) -> DataFrame:
-    """Names of the services that have a contract."""
-    return facts.select("service").distinct()
+    """Names of the services that have a contract, sorted."""
+    return facts.select("service").distinct().orderBy("service")
 
 
 def unindexed_services(facts: DataFrame, services: DataFrame) -> DataFrame:
-    """Known services without a contract."""
-    return services.select("service").distinct().join(
-        discover_services(facts), "service", "left_anti"
-    )
+    """Known services without a contract, sorted."""
+    indexed = facts.select("service").distinct()
+    known = services.select("service").distinct()
+    return known.join(indexed, "service", "left_anti").orderBy("service")
 
 
 def _topic_facts(facts: DataFrame) -> DataFrame:
@@ -162,6 +162,7 @@ def orphan_topics(facts: DataFrame, role: str) -> DataFrame:
         per_service.filter(F.col("role") == role)
         .join(other, "topic", "left_anti")
         .select("topic", "service", "sites")
+        .orderBy("topic", "service")
     )
 
 
@@ -182,7 +183,7 @@ def no_orphans(facts: DataFrame) -> bool:
 
 
 def status(facts: DataFrame) -> DataFrame:
-    """Six counts per service; a service with an empty contract has zeros."""
+    """Six counts per service, sorted; a service with an empty contract has zeros."""
     counts = {
         "providers": schema.HTTP_PROVIDERS,
         "consumers": schema.HTTP_CONSUMERS,
@@ -193,4 +194,4 @@ def status(facts: DataFrame) -> DataFrame:
     }
     return facts.groupBy("service").agg(
         *[F.count_if(F.col("section") == name).alias(label) for label, name in counts.items()]
-    )
+    ).orderBy("service")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def _is_int(value: Column) -> Column:
     """Whole numbers, also as text or with a zero fraction, and booleans."""
     kind = _type(value)
     text = F.try_variant_get(value, "$", "string")
-    whole = F.rlike(F.trim(text), F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0*)?\z"))
+    whole = F.rlike(F.trim(text), F.lit(r"\A[+-]?[0-9]+(\.0*)?\z"))
     return F.when(kind.isin("BIGINT", "BOOLEAN"), F.lit(True)).when(
         kind == "STRING", whole
     ).when(
@@ -111,12 +109,11 @@ def _object_violation(document: Column, name: str) -> Column:
     return _violation(F.lit(name), F.lit(None), F.when(broken, "not an object"))
 
 
-def contract_violations(raw: DataFrame) -> DataFrame:
-    """``(repo, location, pos, rule)``: one row per broken rule of ``raw(repo, document)``.
+def violations(document: Column) -> Column:
+    """Array of ``struct(location, pos, rule)``, one entry per broken rule.
 
-    All checks of a document happen where it is read, without a shuffle.
+    ``document`` is the parsed text (``try_parse_json``).
     """
-    document = F.col("parsed")
     service = F.try_variant_get(document, "$.service", "variant")
     version = F.try_variant_get(document, "$.extractor_version", "variant")
     nowhere = F.lit(None)
@@ -132,30 +129,36 @@ def contract_violations(raw: DataFrame) -> DataFrame:
         _object_violation(document, "provides"),
         _object_violation(document, "consumes"),
     ]
-    lists = [_list_violations(document, section) for section in _RULES]
-    inside = reduce(lambda a, b: F.concat(a, b), [F.array(*top), *lists])
+    inside = F.concat(F.array(*top), *[_list_violations(document, section) for section in _RULES])
     found = F.when(
         document.isNull(), F.array(_violation(F.lit("document"), nowhere, F.lit("not JSON")))
     ).when(
         ~_type(document).startswith("OBJECT"),
         F.array(_violation(F.lit("document"), nowhere, F.lit("not an object"))),
     ).otherwise(inside)
+    return F.filter(found, lambda v: v.isNotNull())
+
+
+def contract_violations(raw: DataFrame) -> DataFrame:
+    """``(repo, location, pos, rule)``: one row per broken rule of ``raw(repo, document)``.
+
+    All checks of a document happen where it is read, without a shuffle.
+    """
     return (
         raw.withColumn("parsed", F.try_parse_json("document"))
-        .select("repo", F.explode(F.filter(found, lambda v: v.isNotNull())).alias("v"))
+        .withColumn("violations", violations(F.col("parsed")))
+        .select("repo", F.explode_outer("violations").alias("v"))
+        .filter("v IS NOT NULL")
         .select("repo", "v.location", "v.pos", "v.rule")
     )
 
 
 def contract_validity(raw: DataFrame) -> DataFrame:
     """``(repo, violations, valid)`` for every document."""
-    counted = contract_violations(raw).groupBy("repo").agg(F.count("*").alias("violations"))
+    broken = F.size(violations(F.col("parsed")))
     return (
-        raw.select("repo")
-        .join(counted, "repo", "left")
-        .select(
-            "repo",
-            F.coalesce("violations", F.lit(0)).alias("violations"),
-            F.col("violations").isNull().alias("valid"),
-        )
+        raw.withColumn("parsed", F.try_parse_json("document"))
+        .select("repo", broken.alias("violations"))
+        .withColumn("valid", F.col("violations") == 0)
+        .orderBy("repo")
     )

@@ -45,17 +45,6 @@ DOCUMENT_PATHS = {
     EXTRACTION_WARNINGS: "_extraction_warnings",
 }
 
-# A contract document as other tools write it (JSON, one per repository).
-DOCUMENT = (
-    "service STRING, extractor_version STRING, "
-    "provides STRUCT<http: ARRAY<STRUCT<method: STRING, path: STRING, handler: STRING, line: INT>>, "
-    "topics_published: ARRAY<STRUCT<topic: STRING, schema: STRING, event_schema: STRING, publisher: STRING, line: INT>>>, "
-    "consumes STRUCT<http: ARRAY<STRUCT<target: STRING, method: STRING, path: STRING, caller: STRING, line: INT>>, "
-    "topics_subscribed: ARRAY<STRUCT<topic: STRING, handler: STRING, line: INT>>>, "
-    "event_schemas ARRAY<STRUCT<class_name: STRING, file: STRING, line: INT>>, "
-    "_extraction_warnings ARRAY<STRUCT<kind: STRING, file: STRING, line: INT, message: STRING>>"
-)
-
 # Configuration tables.
 DIM_ENV = "side STRING, env STRING, target STRING"  # side: backend | frontend
 DIM_WRAPPERS = "kind STRING, name STRING, target STRING, prefix STRING"  # kind: object | function

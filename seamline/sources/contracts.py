@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed, schema
 from seamline.functions.paths import match_path, ord_key
+from seamline.operators.validate import violations
 from seamline.schema import FACTS, SECTIONS, struct_type
 
 
@@ -33,13 +34,13 @@ def header(services: DataFrame) -> DataFrame:
 def save_contracts(facts: DataFrame, root: str) -> None:
     """Replace the contracts of the services in ``facts``; leave all others alone.
 
-    Each service is a directory.  Rows are spread over tasks by service and file,
-    so one large service is written by many tasks; within a task they are sorted
-    by service and section, which lets readers skip what they do not ask for.
+    Each service is a directory.  Rebalancing brings a service's rows together but
+    splits those of a very large one, so that many tasks write it.  Within a task
+    rows are sorted by section, which lets readers skip what they do not ask for.
     """
     (
         facts.withColumn("repo", F.col("service"))
-        .repartition("repo", "section", "ord.file")
+        .hint("rebalance", F.col("repo"))
         .sortWithinPartitions("repo", "section")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -111,31 +112,52 @@ def show_contract(facts: DataFrame, service: str) -> DataFrame:
 
 
 def documents_to_facts(documents: DataFrame) -> DataFrame:
-    """Facts of ``documents(repo, document)``, JSON texts in the declared form.
+    """Facts of the valid ones of ``documents(repo, document)``, JSON texts.
 
     Returns the long table with ``repo``; see ``last_repository``.  Unknown fields
-    are ignored and missing lists are empty.
+    are ignored and missing lists are empty.  ``contract_violations`` tells what is
+    wrong with the documents left out.
     """
-    parsed = documents.select(
-        "repo", F.from_json("document", struct_type(schema.DOCUMENT)).alias("d")
-    ).select("repo", "d.*")
-    parts = [tagged(parsed.select("repo", "service"), schema.SERVICE)]
-    for section, path in schema.DOCUMENT_PATHS.items():
-        items = parsed.select(
-            "repo", "service", F.posexplode(F.col(path)).alias("pos", "item")
-        ).select("repo", "service", "pos", "item.*")
-        if section == schema.TOPICS_PUBLISHED:
-            items = items.withColumn("schema", F.coalesce("schema", "event_schema"))
-        if "path" in items.columns:
-            items = items.withColumn("norm_path", match_path(F.col("path")))
-        ordered = items.withColumn(
-            "ord", ord_key(0, F.array().cast("array<string>"), F.col("pos"))
+    parsed = (
+        documents.select("repo", F.try_parse_json("document").alias("d"))
+        .filter(F.size(violations(F.col("d"))) == 0)
+    )
+
+    def items(section: str) -> Column:
+        found = F.try_variant_get("d", f"$.{schema.DOCUMENT_PATHS[section]}", "array<variant>")
+        return F.transform(
+            F.coalesce(found, F.array().cast("array<variant>")),
+            lambda item, pos: F.struct(
+                F.lit(section).alias("section"), pos.alias("pos"), item.alias("item")
+            ),
         )
-        parts.append(tagged(ordered, section))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    head = F.array(F.struct(
+        F.lit(schema.SERVICE).alias("section"), F.lit(0).alias("pos"), F.col("d").alias("item")
+    ))
+    rows = parsed.select(
+        "repo",
+        F.try_variant_get("d", "$.service", "string").alias("service"),
+        F.explode(F.concat(head, *[items(s) for s in SECTIONS])).alias("e"),
+    )
+    is_head = F.col("e.section") == schema.SERVICE
+
+    def field(name: str, kind: str) -> Column:
+        value = F.try_variant_get("e.item", f"$.{name}", kind)
+        if name == "schema":  # either name is accepted
+            value = F.coalesce(value, F.try_variant_get("e.item", "$.event_schema", kind))
+        return F.when(~is_head, value)
+
+    given = {
+        "service": F.col("service"),
+        "section": F.col("e.section"),
+        "ord": ord_key(0, F.array().cast("array<string>"), F.col("e.pos")),
+        "norm_path": match_path(field("path", "string")),
+    }
+    return rows.select("repo", *[
+        given.get(f.name, field(f.name, f.dataType.simpleString())).cast(f.dataType).alias(f.name)
+        for f in struct_type(FACTS).fields
+    ])
 
 
 def read_documents(spark: SparkSession, root: str, name: str = "contracts.json") -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from seamline import fixed
 from seamline.functions.paths import file_name
+from seamline.plans.staging import small, stage
 from seamline.schema import SOURCE_FILES
 
 # Ship the readers with the task: executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Up to so many service names are broadcast, so that texts need not be shuffled.
+_MANY_SERVICES = 1_000_000
 _CONTENT = pa.field("content", pa.string())
 
 
@@ -28,13 +31,15 @@ def read_source_files(
     Spark's own file sources pass over names that start with ``_`` or ``.``, and
     ``__init__.py`` matters here, so tasks list and read the files: first each
     service's names, then, spread again by file, their contents.  One service
-    with most of the files is therefore read by all tasks.
+    with most of the files is therefore read by all tasks.  The texts are staged,
+    so that the many small files are opened once.
     """
     fs, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
     top = fs.get_file_info(FileSelector(base.rstrip("/")))
     names = [(entry.base_name,) for entry in top if entry.type == FileType.Directory]
     services = spark.createDataFrame(names, "service STRING")
-    return read_listed(list_files(services, root, suffixes, skip_dirs), root)
+    listed = list_files(services, root, suffixes, skip_dirs)
+    return stage(read_listed(listed, root), "source-files")
 
 
 def list_files(
@@ -98,8 +103,8 @@ def app_roots(files: DataFrame) -> DataFrame:
 
 def at_app_root(files: DataFrame) -> DataFrame:
     """Files below their service's application root, paths relative to it."""
-    roots = app_roots(files.select("service", "path"))
-    inside = files.join(roots.filter("app_root != ''"), "service", "left").filter(
+    nested = app_roots(files.select("service", "path")).filter("app_root != ''")
+    inside = files.join(small(nested, _MANY_SERVICES), "service", "left").filter(
         F.col("app_root").isNull() | F.startswith("path", F.col("app_root"))
     )
     return inside.select(
@@ -147,6 +152,5 @@ def frontend_files(files: DataFrame) -> DataFrame:
 
 def of_kind(files: DataFrame, services: DataFrame, kind: str) -> DataFrame:
     """Files of the services of one kind; a service not listed is a back end."""
-    if kind == "frontend":
-        return files.join(services.filter(F.col("kind") == kind), "service", "left_semi")
-    return files.join(services.filter(F.col("kind") == "frontend"), "service", "left_anti")
+    frontends = small(services.filter(F.col("kind") == "frontend"), _MANY_SERVICES)
+    return files.join(frontends, "service", "left_semi" if kind == "frontend" else "left_anti")

@@ -577,6 +577,10 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"service": "s", "provides": [], "event_schemas": [{"class_name": "C", "file": "f", "line": true}, 7]}',
         '["service"]',
         '{"service": "s", "_extraction_warnings": [{"kind": "k", "file": "f", "line": null, "message": "m"}]}',
+        '{"service": "full-@K@", "provides": {"topics_published": [{"topic": "t@K@", "event_schema": "E",'
+        ' "publisher": "p", "line": "@K@"}, {"topic": "u", "schema": "S", "publisher": "p", "line": 2.0}]},'
+        ' "consumes": {"http": [{"target": "x", "method": "PUT", "path": "/a", "caller": "c", "line": 3}],'
+        ' "topics_subscribed": [{"topic": "t@K@"}]}, "_extraction_warnings": []}',
     ]
     document = F.lit(None).cast("string")
     for number, kind in enumerate(kinds):

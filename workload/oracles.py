@@ -420,14 +420,19 @@ SELECT * FROM facts WHERE service != 'svc-2' OR section = 'http_providers'"""
 ORACLES["load_last_wins"] = f"""WITH {PUBLISHED}
 SELECT service, topic, publisher, CASE WHEN service = 'svc-1' THEN line ELSE line + 1000 END AS line
 FROM published"""
-ORACLES["documents_to_facts"] = """SELECT 'repo-' || p_partkey AS repo, 'svc-' || p_partkey AS service,
-  'GET' AS method, '/p/' || p_partkey AS path, 'h' AS handler, CAST(p_partkey AS INT) AS line
-FROM part WHERE p_partkey % 11 = 0
-UNION ALL SELECT 'repo-' || p_partkey, NULL, 'GET', '/p/' || p_partkey, 'h', CAST(p_partkey AS INT)
-FROM part WHERE p_partkey % 11 = 2
-UNION ALL SELECT 'repo-' || p_partkey, 's', 'GET', '/p/' || p_partkey, 'h', CAST(p_partkey AS INT)
-FROM part WHERE p_partkey % 11 = 4
-UNION ALL SELECT 'repo-' || p_partkey, 's', 'get', '5', NULL, NULL FROM part WHERE p_partkey % 11 = 4"""
+ORACLES["documents_to_facts"] = """WITH found AS (
+  SELECT p_partkey AS k, CASE p_partkey % 12 WHEN 0 THEN 'svc-' ELSE 'full-' END || p_partkey AS service,
+    unnest(CASE p_partkey % 12 WHEN 0 THEN [
+      {'section': 'service', 'seq': 0, 'method': NULL, 'path': NULL, 'target': NULL, 'topic': NULL, 'schema': NULL, 'line': NULL},
+      {'section': 'http_providers', 'seq': 0, 'method': 'GET', 'path': '/p/' || p_partkey, 'target': NULL, 'topic': NULL, 'schema': NULL, 'line': p_partkey::INT}]
+    ELSE [
+      {'section': 'service', 'seq': 0, 'method': NULL, 'path': NULL, 'target': NULL, 'topic': NULL, 'schema': NULL, 'line': NULL},
+      {'section': 'topics_published', 'seq': 0, 'method': NULL, 'path': NULL, 'target': NULL, 'topic': 't' || p_partkey, 'schema': 'E', 'line': p_partkey::INT},
+      {'section': 'topics_published', 'seq': 1, 'method': NULL, 'path': NULL, 'target': NULL, 'topic': 'u', 'schema': 'S', 'line': 2},
+      {'section': 'http_consumers', 'seq': 0, 'method': 'PUT', 'path': '/a', 'target': 'x', 'topic': NULL, 'schema': NULL, 'line': 3},
+      {'section': 'topics_subscribed', 'seq': 0, 'method': NULL, 'path': NULL, 'target': NULL, 'topic': 't' || p_partkey, 'schema': NULL, 'line': NULL}] END) AS f
+  FROM part WHERE p_partkey % 12 IN (0, 11))
+SELECT 'repo-' || k AS repo, service, f.section, f.seq, f.method, f.path, f.target, f.topic, f.schema, f.line FROM found"""
 # kind of document -> its violations (location, position, rule)
 _BROKEN = [
     (1, "document", "NULL", "not JSON"),
@@ -449,7 +454,7 @@ _BROKEN = [
 ]
 _VIOLATIONS = "violations AS (" + " UNION ALL ".join(
     f"SELECT 'repo-' || p_partkey AS repo, '{location}' AS location, CAST({pos} AS INT) AS pos, "
-    f"'{rule}' AS rule FROM part WHERE p_partkey % 11 = {kind}"
+    f"'{rule}' AS rule FROM part WHERE p_partkey % 12 = {kind}"
     for kind, location, pos, rule in _BROKEN
 ) + ")"
 ORACLES["contract_violations"] = f"WITH {_VIOLATIONS} SELECT * FROM violations"

@@ -436,10 +436,9 @@ def load_last_wins(spark, sf_dir):
 
 @query
 def documents_to_facts(spark, sf_dir):
-    items = contracts.documents_to_facts(inputs.raw_documents(spark, sf_dir))
-    return items.filter(F.col("section") == schema.HTTP_PROVIDERS).select(
-        "repo", "service", "method", "path", "handler", "line"
-    )
+    return contracts.documents_to_facts(inputs.raw_documents(spark, sf_dir)).select(
+        "repo", "service", "section", "ord.seq", "method", "path", "target", "topic", "schema", "line"
+    ).withColumn("seq", F.get("seq", F.lit(0)))
 
 
 @query
