@@ -162,11 +162,8 @@ def documents_to_facts(documents: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, name: str = "contracts.json") -> DataFrame:
     """``(repo, document)`` from ``<root>/<repo>/<name>``, whole texts."""
-    text = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name).text(root)
-    )
-    return text.select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("repo"),
-        F.col("value").alias("document"),
+    text = spark.read.option("pathGlobFilter", name).text(
+        root, wholetext=True, recursiveFileLookup=True
     )
+    repo = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    return text.select(F.url_decode(repo).alias("repo"), F.col("value").alias("document"))
