@@ -30,6 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _ROWS_PER_BATCH = 4096
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_SCOPES = (ast.ClassDef, *_FUNCTIONS)
 _DUMP_KEYWORD = "topic"
 _DUMP_WIDTH = fixed.DYNAMIC_TOPIC_WIDTH
 
@@ -187,14 +188,20 @@ _DESCRIBED = {
 }
 
 
+# Nodes with nothing described in them: names, constants, operators and the like.
+_LEAVES = {ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue}
+for _group in (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop):
+    _LEAVES.update(_group.__subclasses__())
+
+
 def _children(node):
-    """Child nodes in source-field order, without those that hold nothing."""
+    """Child nodes in source-field order, without leaves."""
     out = []
     for field in node._fields:
         value = getattr(node, field, None)
-        if isinstance(value, list):
-            out += [child for child in value if isinstance(child, ast.AST) and child._fields]
-        elif isinstance(value, ast.AST) and value._fields:
+        if value.__class__ is list:
+            out += [c for c in value if isinstance(c, ast.AST) and c.__class__ not in _LEAVES]
+        elif isinstance(value, ast.AST) and value.__class__ not in _LEAVES:
             out.append(value)
     return out
 
@@ -215,12 +222,13 @@ def _walk(tree):
             yield depth, entry, visits, scopes, node, parent, decorated
             visits += 1
             continue
-        if isinstance(node, (ast.ClassDef, *_FUNCTIONS)):
+        kind = node.__class__
+        if kind in _SCOPES:
             scopes = (*scopes, (node, parent))
-        if type(node) in _DESCRIBED:
+        if kind in _DESCRIBED:
             stack.append((node, parent, depth, scopes, decorated, entries))
         entries += 1
-        decorators = node.decorator_list if isinstance(node, _FUNCTIONS) else ()
+        decorators = node.decorator_list if kind in _FUNCTIONS else ()
         for child in reversed(_children(node)):
             owner = node if decorators and any(child is d for d in decorators) else None
             stack.append((child, node, depth + 1, scopes, owner, None))

@@ -1,0 +1 @@
+"""Nothing in scope is a stream: contracts are extracted from whole repositories."""
