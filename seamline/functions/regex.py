@@ -18,6 +18,8 @@ _START, _NEXT, _MATCH = "﷐", "﷑", "﷒"
 _MARKS = _START + _NEXT + _MATCH
 _REPLACEMENT = "�"
 
+_BLOCK = 256
+
 
 def markable(text: Column) -> Column:
     """``text`` without the marks: invalid characters read as U+FFFD."""
@@ -40,27 +42,58 @@ def marked_pieces(text: Column, pattern: str, groups: list[int]) -> Column:
     return F.split(marked, _START, -1)
 
 
-def matches(pieces: Column) -> Column:
-    """Array of ``struct(pos, line, groups)``, one entry per match; see ``group_values``."""
+def _after(piece: Column) -> Column:
+    """A piece without its mark: the match and the text up to the next one."""
+    return F.substring_index(piece, _MATCH, -1)
+
+
+def _numbered(block: Column, line: Column) -> Column:
+    """Matches of a block of pieces that starts on ``line``."""
 
     def add(state: Column, piece: Column) -> Column:
         entry = F.struct(
-            F.size(state["found"]).alias("pos"),
-            state["line"].alias("line"),
-            F.substring_index(piece, _MATCH, 1).alias("groups"),
+            state["line"].alias("line"), F.substring_index(piece, _MATCH, 1).alias("groups")
         )
-        after = F.substring_index(piece, _MATCH, -1)
         return F.struct(
-            (state["line"] + newlines(after)).alias("line"),
+            (state["line"] + newlines(_after(piece))).alias("line"),
             F.array_append(state["found"], entry).alias("found"),
         )
 
-    start = F.struct(
-        (newlines(F.get(pieces, F.lit(0))) + 1).alias("line"),
-        F.array().cast("array<struct<pos:int,line:int,groups:string>>").alias("found"),
-    )
+    empty = F.array().cast("array<struct<line:int,groups:string>>")
+    start = F.struct(line.alias("line"), empty.alias("found"))
+    return F.aggregate(block, start, add, lambda state: state["found"])
+
+
+def matches(pieces: Column) -> Column:
+    """Array of ``struct(pos, line, groups)``, one entry per match; see ``group_values``.
+
+    Running totals go block by block, as growing one long array entry by entry
+    would copy it each time.
+    """
+    first = newlines(F.get(pieces, F.lit(0))) + 1
     matched = F.slice(pieces, 2, F.size(pieces) - 1)
-    return F.aggregate(matched, start, add, lambda state: state["found"])
+    last_block = F.floor((F.size(pieces) - 2) / _BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(last_block, F.lit(0))),
+        lambda number: F.slice(matched, number * _BLOCK + 1, F.lit(_BLOCK)),
+    )
+    starts = F.aggregate(
+        blocks,
+        F.array(first),
+        lambda lines, block: F.array_append(
+            lines,
+            F.aggregate(
+                block, F.element_at(lines, -1), lambda line, piece: line + newlines(_after(piece))
+            ),
+        ),
+    )
+    numbered = F.zip_with(
+        blocks, starts, lambda block, line: F.when(block.isNotNull(), _numbered(block, line))
+    )
+    return F.transform(
+        F.flatten(F.filter(numbered, lambda block: block.isNotNull())),
+        lambda m, pos: F.struct(pos.alias("pos"), m["line"], m["groups"]),
+    )
 
 
 def group_values(groups: Column) -> Column:

@@ -55,8 +55,8 @@ def test_marks_in_a_text_are_replaced(spark):
 
 
 def test_many_matches_in_a_large_text(spark):
-    text = "".join("x" * 50 + "\n" + f"apiFetch('/p{i}')" for i in range(3000))
+    text = "".join("x" * 50 + "\n" + f"apiFetch('/p{i}')" for i in range(100_000))
     df = spark.createDataFrame([(text,)], "t STRING")
     cut = df.withColumn("cut", marked_pieces(F.col("t"), fixed.API_FETCH_CALL, [1]))
     (row,) = cut.select(matches(F.col("cut")).alias("m")).collect()
-    assert [(m.line, m.groups) for m in row.m] == [(i + 2, f"/p{i}") for i in range(3000)]
+    assert [(m.line, m.groups) for m in row.m] == [(i + 2, f"/p{i}") for i in range(100_000)]
