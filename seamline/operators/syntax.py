@@ -284,7 +284,8 @@ def py_nodes(files: DataFrame) -> DataFrame:
     def parse(batches):
         for batch in batches:
             rows = []
-            for file in batch.to_pylist():
+            for values in zip(*batch.columns):  # one file's text at a time
+                file = {name: value.as_py() for name, value in zip(batch.schema.names, values)}
                 content = file.pop("content")
                 rows.extend(file | row for row in syntax_rows(content))
                 if len(rows) >= _ROWS_PER_BATCH:
@@ -293,7 +294,7 @@ def py_nodes(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-    wanted = files.select(
+    wanted = files.filter(F.col("content").isNotNull()).select(
         "service",
         "path",
         F.contains("content", F.lit(fixed.PUBLISH_TEXT)).alias("has_publish"),

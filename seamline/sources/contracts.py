@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seamline import fixed, schema
 from seamline.functions.paths import match_path, ord_key
 from seamline.operators.validate import violations
+from seamline.plans.staging import small
 from seamline.schema import FACTS, SECTIONS, struct_type
 
 
@@ -58,14 +59,13 @@ def load_contracts(spark: SparkSession, root: str) -> DataFrame:
 def last_repository(stored: DataFrame) -> DataFrame:
     """Keep, for each service, the facts of the last repository that has it.
 
-    The winner is found from the header rows, one per repository.
+    The header rows, one per repository, tell which repositories lost a service.
+    Those are few, so dropping their facts moves nothing else.
     """
-    winner = (
-        stored.filter(F.col("section") == schema.SERVICE)
-        .groupBy("service")
-        .agg(F.max("repo").alias("repo"))
-    )
-    return stored.join(winner, ["service", "repo"], "left_semi").drop("repo")
+    claims = stored.filter(F.col("section") == schema.SERVICE).select("service", "repo").distinct()
+    last = claims.groupBy("service").agg(F.max("repo").alias("last"))
+    lost = claims.join(last, "service").filter("repo != last").select("service", "repo")
+    return stored.join(small(lost), ["service", "repo"], "left_anti").drop("repo")
 
 
 def load_one(spark: SparkSession, root: str, repo: str) -> DataFrame:

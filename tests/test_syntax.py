@@ -79,6 +79,13 @@ def test_odd_text_survives_the_trip(spark, sources):
     assert rows.filter("kind = 'assign' AND value.text = '?é'").count() == 1
 
 
+def test_missing_text_is_skipped(spark):
+    files = spark.createDataFrame(
+        [("s", "app/a.py", None), ("s", "app/b.py", "x = 1")], "service STRING, path STRING, content STRING"
+    )
+    assert sorted(r.path for r in py_nodes(files).collect()) == ["app/b.py", "app/b.py"]
+
+
 def test_very_deep_expressions(spark, sources):
     files = sources({"s": {"app/a.py": "x = " + " + ".join(["f(1)"] * 3000)}})
     assert py_nodes(files).filter("kind IN ('call', 'error')").count() in (1, 3000)
