@@ -44,9 +44,9 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
-    )
+    ))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
     rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.expr("concat('front-', l_suppkey % 5)").alias("service"),
@@ -585,6 +585,6 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = F.lit(None).cast("string")
     for number, kind in enumerate(kinds):
         document = F.when(k % len(kinds) == number, fill(kind, K=k)).otherwise(document)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(
         F.concat(F.lit("repo-"), k.cast("string")).alias("repo"), document.alias("document")
     )
