@@ -36,16 +36,15 @@ def components(links: DataFrame) -> DataFrame:
     logarithmic in the longest chain all links are stars.  Rounds are stored, so that a
     lost executor repeats little.  Without links the result is empty.
     """
-    stars = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "stars")
-    seen = None
+    stars = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = stars.filter("a <> b").distinct()
     while True:
         large = _toward_least(_directed(stars), larger=True)
         stars = stage(_toward_least(large, larger=False), "stars")
-        now = stars.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))
-        ).first()
-        if now == seen:
+        # All stars: a node has one link at most, and none if others link to it.
+        centres = stars.select(F.col("b").alias("a"), F.lit(True).alias("centre")).distinct()
+        unfinished = stars.groupBy("a").agg(F.count("*").alias("n")).join(centres, "a", "left")
+        if unfinished.filter("n > 1 OR centre").isEmpty():
             break
-        seen = now
     leaves = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -38,7 +38,7 @@ def map_texts(
     chosen = df.select(*(F.col(_quoted(c)) for c in keep), F.col(_quoted(text)).cast("string").alias("__text"))
     made = _parse_datatype_string(columns)
     schema = StructType([StructField(f.name, f.dataType) for f in chosen.schema.fields[:-1]] + made.fields)
-    arrow = to_arrow_schema(schema, timezone=df.sparkSession.conf.get("spark.sql.session.timeZone"))
+    arrow = to_arrow_schema(schema)
     n_kept = len(keep)
 
     def run(batches):

@@ -18,7 +18,8 @@ of shingles is by how many documents have them, rarest first.
 Documents that share a signature are candidates and are verified on the whole sets.
 Families of many copies are never expanded into all pairs: members of a signature are
 verified against one of them first; only members of different components that are left
-are compared with each other.
+are compared with each other, after a bound on how much they differ: a bitmap keeps the
+parity of the hashes in each place, so that common shingles cancel out.
 
 How the sets move.  A task sorts the shingles of a few million words and sends them in
 hash ranges, packed (6 bytes each).  What is in one document only stays there; the rest
@@ -46,13 +47,17 @@ UNIT_TOKENS = 1 << 21  # shingles in a unit, of 8 bytes
 UNIT_DOCS = 1 << 16  # a document's number in its unit has 16 bits
 LOCAL = 64  # documents of a unit; a shingle in more is sent as a count
 BUCKETS_PER_PARTITION = 8
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+SKETCH_LONGS = 16
 _U = np.uint64
 _DOC = _U(16)
 
 _PACKED = "bucket long, unit long, kind int, n int, data binary"
 _SHARED = "unit long, kind int, n int, data binary, more binary"
-_ANALYSED = "key long, n long, set_a long, set_b long, mean_df double, sigs array<long>, shared array<long>"
+_ANALYSED = (
+    "key long, n long, set_a long, set_b long, mean_df double, sigs array<long>, "
+    "shared array<long>, sketch array<long>"
+)
 # kinds of packed rows
 _KEYS, _COUNTS, _DOCS, _MANY = 0, 1, 2, 3
 
@@ -230,6 +235,13 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> np.n
     return np.concatenate([singles, pairs[: len(pairs) - needed + 1]])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of 64 * SKETCH_LONGS places."""
+    place = (textbuf.mix(tokens + _U(11)) % _U(64 * SKETCH_LONGS)).astype(np.int64)
+    odd = np.bincount(place, minlength=64 * SKETCH_LONGS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _analyse(percent: int):
     def run(table: pa.Table) -> pa.Table:
         keys, dfs, many_keys = [], [], None
@@ -256,21 +268,22 @@ def _analyse(percent: int):
         key, df = key[order] >> _DOC, df[order]
         ends = np.cumsum(np.bincount(doc, minlength=n_docs))
         begins = np.concatenate([[0], ends[:-1]])
-        sigs, shared, mean = [], [], np.zeros(n_docs)
+        sigs, shared, sketches, mean = [], [], [], np.zeros(n_docs)
         for k in range(n_docs):
             part = slice(begins[k], ends[k])
             found = signatures(int(sizes[k]), key[part], df[part], percent) if sizes[k] else []
             sigs.append(np.asarray(found, _U).view(np.int64))
             wanted = len(found) > 0
             shared.append(key[part].view(np.int64) if wanted else np.zeros(0, np.int64))
+            sketches.append(sketch(key[part]) if wanted else np.zeros(0, np.int64))
             mean[k] = df[part].sum() / sizes[k] if wanted else 0.0
         lists = lambda parts: pa.ListArray.from_arrays(
             pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()),
             pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()),
         )
         return pa.Table.from_arrays(
-            [pa.array(c) for c in (row_keys, sizes, set_a, set_b, mean)] + [lists(sigs), lists(shared)],
-            names=["key", "n", "set_a", "set_b", "mean_df", "sigs", "shared"],
+            [pa.array(c) for c in (row_keys, sizes, set_a, set_b, mean)] + [lists(sigs), lists(shared), lists(sketches)],
+            names=["key", "n", "set_a", "set_b", "mean_df", "sigs", "shared", "sketch"],
         )
 
     return run
@@ -359,11 +372,24 @@ def links(found: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = stage(components(edges), "shingle-labels")
         left = stage(_split_postings(left.drop("component"), labels), "shingle-left")
 
-    # All pairs of different components that share a signature.
-    one = left.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = left.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    rest = _by_size(one.join(two, "sig").filter("a < b AND c_a <> c_b"), percent)
-    rest = stage(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "shingle-tried")
+    # All pairs of different components that share a signature and may differ little enough.
+    sketched = nodes.select("key", (F.col("n") - F.size("shared")).alias("alone"), "sketch")
+    left = left.join(sketched, "key")
+    side = lambda c: left.select(
+        "sig", *(F.col(old).alias(f"{new}_{c}") for old, new in (
+            ("key", "k"), ("n", "n"), ("component", "c"), ("alone", "alone"), ("sketch", "sketch")
+        ))
+    )
+    differ = sum(
+        (F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_LONGS)),
+        F.col("alone_a") + F.col("alone_b"),
+    )
+    near = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))
+    apart = (F.col("k_a") < F.col("k_b")) & (F.col("c_a") != F.col("c_b"))
+    one, two = side("a"), side("b")
+    both = one.join(two, (one["sig"] == two["sig"]) & apart & near)
+    rest = both.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")).distinct()
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "shingle-tried")
     return same.union(edges).union(_verified(rest, nodes, percent))
 
 

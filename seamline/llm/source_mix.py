@@ -35,8 +35,9 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFra
 
 
 def row_hash(id_: Column, text: Column) -> Column:
-    """A hash of 60 bits, the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(id_, text), 64 - HASH_BITS)
+    """The first 60 bits of an MD5 of id and text, the same in every run and engine."""
+    both = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _key(source: Column) -> Column:
