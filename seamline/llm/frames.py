@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 from seamline.llm import textbuf
 
@@ -23,37 +23,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def map_texts(
-    df: DataFrame,
-    keep: Sequence[str],
-    text: str,
-    make: Callable[[pa.Array], dict],
-    columns: str,
-) -> DataFrame:
-    """The kept columns and what ``make`` finds in each text, a few MB of text at a time.
+def text_column(make: Callable[[pa.Array], dict], columns: str, kind: str = "string") -> Callable:
+    """A column function over texts, computed a few MB of text at a time.
 
-    ``make`` gets an Arrow array of texts and returns a value for each in every one of
-    ``columns`` (a DDL string).  Other columns of ``df`` are not read.
+    ``make`` gets an Arrow array of texts (or of bytes) and returns a value for each in
+    every one of ``columns``, a DDL string.  The result is a struct of them.
     """
-    chosen = df.select(*(F.col(_quoted(c)) for c in keep), F.col(_quoted(text)).cast("string").alias("__text"))
-    made = _parse_datatype_string(columns)
-    schema = StructType([StructField(f.name, f.dataType) for f in chosen.schema.fields[:-1]] + made.fields)
-    arrow = to_arrow_schema(schema)
-    n_kept = len(keep)
-
-    def run(batches):
-        for batch in batches:
-            for part in textbuf.slices(batch, "__text"):
-                found = make(part.column(n_kept))
-                arrays = [part.column(i).cast(arrow.field(i).type) for i in range(n_kept)]
-                for field in list(arrow)[n_kept:]:
-                    values = found[field.name]
-                    if not isinstance(values, (pa.Array, pa.ChunkedArray)):
-                        values = pa.array(values, field.type)
-                    arrays.append(values.cast(field.type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-
-    return chosen.mapInArrow(run, schema)
+    schema = to_arrow_schema(_parse_datatype_string(columns))
+
+    def part(texts: pa.Array) -> pa.Array:
+        found = make(texts)
+        arrays = []
+        for field in schema:
+            values = found[field.name]
+            arrays.append(values if isinstance(values, pa.Array) else pa.array(values, field.type))
+        return pa.StructArray.from_arrays(
+            [a.cast(f.type) for a, f in zip(arrays, schema)], fields=list(schema)
+        )
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.struct(list(schema)))
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.concat_arrays([part(piece.column(0)) for piece in textbuf.slices(batch)])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    whole = F.arrow_udf(run, _parse_datatype_string(columns))
+    return lambda column: whole(column.cast(kind))
 
 
 def _quoted(name: str) -> str:

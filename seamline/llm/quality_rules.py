@@ -7,13 +7,15 @@ one, comparing two, or asking what a rule alone rejects reads the bits, not the
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textbuf
-from seamline.llm.frames import map_texts
+from seamline.llm.frames import _quoted, text_column
 
 WINDOW = 5
 MEASURES = (
@@ -98,12 +100,25 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     other than the id and the text are not read, whatever their names.  An empty table
     gives an empty ledger.  Texts are measured where they are read: no shuffle.
     """
-    measured = map_texts(df, [id_col], text_col, measure, MEASURES)
-    bits = sum(
-        (F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, (_, rule) in enumerate(RULES)),
-        F.lit(0),
+    rows = df.select(
+        F.col(_quoted(id_col)).alias(id_col), text_column(measure, MEASURES)(F.col(_quoted(text_col))).alias("__m")
     )
-    return measured.withColumn("failed_bits", bits.cast("long"))
+    return rows.select(_quoted(id_col), "__m.*").withColumn("failed_bits", _failed_bits())
+
+
+def _failed_bits(measures: str = "") -> Column:
+    """The bits of the rules that fail; ``measures`` names the struct that holds the measures."""
+    bits = F.lit(0)
+    for bit, (_, rule) in enumerate(RULES):
+        bits = bits + F.when(F.expr(re.sub(r"\b(?=n_|word_)", measures, rule)), F.lit(1 << bit)).otherwise(0)
+    return bits.cast("long")
+
+
+def keep(df: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that no rule of the policy fails.  No shuffle."""
+    measured = df.withColumn("__m", text_column(measure, MEASURES)(F.col(_quoted(text_col))))
+    failed = _failed_bits("__m.").bitwiseAND(F.lit(mask(policy)))
+    return measured.filter(failed == 0).drop("__m")
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:

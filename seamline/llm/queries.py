@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import exact_dedup, quality_rules, sharding, shingle_join, source_mix
+from seamline.llm import (
+    exact_dedup, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, token_counts,
+)
 from seamline.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,23 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(documents(spark, sf_dir), model)
+
+
+@query
+def op3_pair_index_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = documents(spark, sf_dir).select("doc_id", pair_index_bpe.encode(F.col("text"), path).alias("t"))
+    decoded = pair_index_bpe.decode(F.col("t.ids"), path)
+    return encoded.select(
+        "doc_id", "t.n_tokens", F.sha2("t.ids", 256).alias("ids_sha256"),
+        F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op5_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir))
