@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import (
-    exact_dedup, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, token_counts,
+    exact_dedup, hmm_lm, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, surrogates,
+    token_counts, toxicity,
 )
-from seamline.llm.frames import documents
+from seamline.llm.frames import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +29,11 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), model)
 
 
+@query
+def op2_hmm_lm(spark, sf_dir):
+    return hmm_lm.score(documents(spark, sf_dir))
+
+
 @query
 def op3_pair_index_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,11 +45,21 @@ def op3_pair_index_bpe(spark, sf_dir):
     )
 
 
+@query
+def op4_surrogates(spark, sf_dir):
+    return surrogates.replace(documents(spark, sf_dir), key=surrogates.QUERY_KEY)
+
+
 @query
 def op5_source_mix(spark, sf_dir):
     return source_mix.mix(documents(spark, sf_dir))
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_exact_dedup(spark, sf_dir):
     found = exact_dedup.copy_groups(documents(spark, sf_dir), digest_all=True)

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from seamline.llm import textbuf
 from seamline.llm.components import components
 from seamline.llm.frames import _quoted, small_enough
+from seamline.llm.packed import pack, range_cuts, unpack
 from seamline.plans.staging import stage
 
 WORDS = 5
@@ -78,25 +79,6 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, sizes
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values: the first, then differences, low bytes of all first."""
-    if not len(values):
-        return b""
-    steps = np.diff(values, prepend=values[:1])
-    width = (int(steps.max()).bit_length() + 7) // 8
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return values[:1].astype("<u8").tobytes() + np.ascontiguousarray(planes.T).tobytes()
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, _U)
-    planes = np.frombuffer(data, np.uint8, offset=8).reshape(-1, n)
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, : len(planes)] = planes.T
-    return np.frombuffer(data, "<u8", 1)[0] + np.cumsum(steps.view("<u8").ravel(), dtype=_U)
-
-
 def _set_hash(keys: np.ndarray, n_docs: int) -> list[np.ndarray]:
     """Two sums over each document's hashes that tell sets apart."""
     docs = (keys & _U(0xFFFF)).astype(np.int64)
@@ -125,13 +107,12 @@ def _unit_rows(unit: int, keys: np.ndarray, row_keys: np.ndarray, sizes: np.ndar
         rows.append((buckets + unit % buckets, unit, _MANY, int(is_many.sum()), pack(keys[is_many])))
         counted = token[first[many]], run[many].astype(np.int64)
         keys = keys[~is_many]
-    edges = np.array([((b << 48) + buckets - 1) // buckets for b in range(1, buckets)], _U)
-    cuts = np.concatenate([[0], np.searchsorted(keys, edges << _DOC), [len(keys)]])
+    cuts = range_cuts(keys >> _DOC, buckets, 48)
     for bucket in np.flatnonzero(np.diff(cuts)):
         part = keys[cuts[bucket] : cuts[bucket + 1]]
         rows.append((int(bucket), unit, _KEYS, len(part), pack(part)))
     if many.any():
-        cuts = np.concatenate([[0], np.searchsorted(counted[0], edges), [len(counted[0])]])
+        cuts = range_cuts(counted[0], buckets, 48)
         for bucket in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[bucket], cuts[bucket + 1])
             data = counted[0][part].tobytes() + counted[1][part].tobytes()
