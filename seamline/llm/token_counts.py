@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +27,7 @@ from seamline.llm.frames import _quoted, text_column
 
 SPACE = "▁"  # fixed value: how the models write a space
 LIMIT = 4096
-_UNITS_KEPT = 500_000
+_UNITS_KEPT = 1_200_000
 _PAIRS_KEPT = 2_000_000
 _LONGEST_KEPT = 64
 
@@ -63,7 +64,6 @@ class PrefixCounter:
         self.n_stands = 0
         self.chains: dict[str, tuple | None] = {}
         self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.part = self._cuts()
 
@@ -196,19 +196,27 @@ class PrefixCounter:
                 if node is None:
                     break
                 end += 1
-        return np.array(counts[1:], np.int32).tobytes()
+        return array("i", counts[1:]).tobytes()
 
     def unit(self, text: str) -> bytes:
         """Counts after 1, 2, ... characters of a unit, as 32-bit integers."""
-        parts = self.part.findall(text) if self.part else [text]
+        if self.part is None or text.lstrip(SPACE).isalpha():
+            return self._kept(text, self._counts(text))
         found, before = [], 0
-        for part in parts:
-            counts = self.parts.get(part)
+        for part in self.part.findall(text):
+            counts = self.units.get(part)
             if counts is None:
-                counts = _kept(self.parts, part, self._counts(part))
+                counts = self._kept(part, self._counts(part))
             found.append(counts if not before else (np.frombuffer(counts, np.int32) + np.int32(before)).tobytes())
             before = int.from_bytes(found[-1][-4:], "little")
-        return _kept(self.units, text, b"".join(found) if len(found) > 1 else found[0])
+        return self._kept(text, b"".join(found)) if len(found) > 1 else found[0]
+
+    def _kept(self, text: str, counts: bytes) -> bytes:
+        if len(text) <= _LONGEST_KEPT:
+            if len(self.units) >= _UNITS_KEPT:
+                self.units.clear()
+            self.units[text] = counts
+        return counts
 
     def total(self, text: str) -> int:
         return int(self.prefixes(text)[-1])
@@ -230,14 +238,6 @@ class PrefixCounter:
         return table
 
 
-def _kept(known: dict[str, bytes], text: str, counts: bytes) -> bytes:
-    if len(text) <= _LONGEST_KEPT:
-        if len(known) >= _UNITS_KEPT:
-            known.clear()
-        known[text] = counts
-    return counts
-
-
 _counters: dict[str, PrefixCounter] = {}
 
 
