@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rest = texts.filter("NOT fits").select("toxic", "text").mapInArrow(measure, "toxic boolean, x array<double>").collect()
     y = np.array([r.toxic for r in rest], float)  # a fifth of the sample
-    x = np.array([r.x for r in rest]).reshape(len(y), len(candidates), -1)
+    x = np.array([r.x for r in rest], float).reshape(len(y), len(candidates), 4)
     best, least = candidates[0], np.inf
     for k, models in enumerate(candidates):
         models.weights = _logistic(x[:, k], y)

@@ -1,0 +1,501 @@
+"""Each operator against a plain version, on tables with awkward rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from seamline.llm import (
+    components, exact_dedup, hmm_lm, packed, pair_index_bpe, quality_rules, sharding, shingle_join,
+    source_mix, surrogates, textbuf, token_counts, toxicity,
+)
+from tests.llm.conftest import awkward_rows, lowered, plain, words
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def odd_texts():
+    rnd = random.Random(3)
+    letters = " \n\t▁.,'’aeiouthernsdlABC019é漢🙂　<>|#\x1c\xa0"
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 80))) for _ in range(300)]
+    runs = [" " * k for k in range(1, 40)] + ["a" + " " * k + "b" for k in range(1, 40)]
+    fixed = ["", "<s>x</s>", "a<|endoftext|> b<|endoftext|>", "▁▁x ▁", "word" * 500, "x" * 3000, "é ñ ½ ²"]
+    return made + runs + fixed + [r[1] or "" for r in awkward_rows()]
+
+
+# ------------------------------------------------------------ texts as arrays
+
+
+def test_words_windows_and_lines():
+    texts = [r[1] for r in awkward_rows()]
+    data, offsets = textbuf.buffers(pa.array(texts))
+    starts, ends, counts = textbuf.spans(data, offsets)
+    found = [bytes(data[a:b]).decode() for a, b in zip(starts, ends)]
+    assert found == [w for t in texts for w in words(t)]
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    hashes = textbuf.hash_spans(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(found))
+    _, places, n = textbuf.windows(hashes, counts)
+    assert n.tolist() == [max(len(words(t)) - 4, 0) for t in texts] and len(places) == n.sum()
+
+
+def test_long_words_are_hashed_whole():
+    long = "y" * (3 << 20)
+    data, offsets = textbuf.buffers(pa.array([long + "a b", long + "b b"]))
+    starts, ends, _ = textbuf.spans(data, offsets)
+    a, b, c, d = textbuf.hash_spans(data, starts, ends)
+    assert a != c and b == d
+
+
+def test_pack_round_trip():
+    rnd = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        values = np.sort(rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert (packed.unpack(packed.pack(values), n) == values).all()
+
+
+# ------------------------------------------------------------ 1 token counts
+
+
+def test_every_prefix_has_its_exact_count():
+    counter = token_counts.counter(open(PIECES, "rb").read())
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in odd_texts():
+        assert counter.total(text) == len(model.encode(text))
+    for text in odd_texts()[:120]:
+        table = counter.prefixes(text)
+        assert table.tolist() == [len(ids) for ids in model.encode([text[:n] for n in range(len(text) + 1)])]
+
+
+def test_count_tokens(awkward, clashing, empty):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    expected = sorted(
+        ((i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 100) for i, t, *_ in awkward_rows()),
+        key=repr,
+    )
+    for df in (awkward, clashing):
+        found = token_counts.count_tokens(df, PIECES, limit=100)
+        assert plain(found, "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
+    texts = {r[0]: r[1] for r in awkward_rows()}
+    for row in token_counts.count_tokens(awkward.filter("doc_id > 7"), PIECES, limit=100).collect():
+        text = texts[row.doc_id]
+        assert len(model.encode(text[: row.fit_chars])) <= 100
+        assert all(len(model.encode(text[:n])) > 100 for n in range(row.fit_chars + 1, min(len(text), row.fit_chars + 20)))
+    assert token_counts.count_tokens(empty, PIECES).count() == 0
+
+
+def test_questions_of_a_stored_table(spark):
+    df = spark.createDataFrame([("the quick brown fox",), ("",), (None,)], "text STRING")
+    df = df.withColumn("t", token_counts.prefix_table(F.col("text"), PIECES))
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    row = df.select(
+        token_counts.tokens_of_prefix(F.col("t"), F.lit(9)).alias("n"), token_counts.truncation(F.col("t"), 2).alias("fit")
+    ).first()
+    assert row.n == len(model.encode("the quick"))
+    assert len(model.encode("the quick brown fox"[: row.fit])) <= 2
+    assert [r.t for r in df.offset(1).collect()] == [[0], [0]]
+
+
+# ------------------------------------------------------------ 2 language model
+
+
+def test_forward_and_backward_match_plain_recursions(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "STRETCH", 7)
+    rnd = np.random.default_rng(5)
+    k, symbols = hmm_lm.STATES, hmm_lm._N_SYMBOLS
+    model = hmm_lm.Model(rnd.dirichlet(np.ones(k)), rnd.dirichlet(np.ones(k), k), rnd.dirichlet(np.ones(symbols), k).T)
+    lengths = np.array([1, 5, 7, 8, 30, 15, 2])
+    sequence = rnd.integers(0, 40, lengths.sum())
+    run = model.stretches(sequence, lengths)
+    found, sums = run.forward(), run.expected()
+    expected, likelihoods, at = np.zeros_like(sums), [], 0
+    for n in lengths:
+        o = sequence[at : at + n]
+        at += n
+        alpha, beta = np.zeros((n, k)), np.ones((n, k))
+        alpha[0] = model.initial * model.emission[o[0]]
+        for t in range(1, n):
+            alpha[t] = alpha[t - 1] @ model.transition * model.emission[o[t]]
+        for t in range(n - 2, -1, -1):
+            beta[t] = model.transition @ (model.emission[o[t + 1]] * beta[t + 1])
+        total = alpha[-1].sum()
+        likelihoods.append(math.log(total))
+        gamma = alpha * beta / total
+        np.add.at(expected, o, gamma)
+        expected[-1] += gamma[0]
+        for t in range(n - 1):
+            expected[symbols : symbols + k] += np.outer(alpha[t], model.emission[o[t + 1]] * beta[t + 1]) * model.transition / total
+    assert np.allclose(found, likelihoods) and np.allclose(sums, expected)
+
+
+def test_scores(awkward, clashing, empty):
+    rows = awkward_rows()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tokens = [[*words(lowered(t)), None] for _, t, *_ in rows]
+    counts = collections.Counter(w for (i, *_), ws in zip(rows, tokens) if not held(i) for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    expected = sorted(
+        ((i, held(i), len(ws), sum(counts[w] > 0 for w in ws), total,
+          round(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws), 6)) for (i, *_), ws in zip(rows, tokens)),
+        key=repr,
+    )
+    for df in (awkward, clashing):
+        found = hmm_lm.score(df, passes=2)
+        columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6))
+        assert plain(found, *columns) == expected
+        assert all(r.score < 0 and math.isfinite(r.score) for r in found.collect())
+    assert hmm_lm.score(empty).count() == 0
+
+
+def test_the_model_is_a_distribution(awkward):
+    texts = awkward.select(F.col("doc_id").alias("id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = hmm_lm.Counts(hmm_lm.vocabulary(texts)[0])
+    assert math.isclose(counts.overall.sum(), 1)
+    own = counts.symbol < hmm_lm.SYMBOLS
+    classes = (counts.words & hmm_lm._CLASS).astype(int)[~own]
+    share = np.bincount(classes, 10 ** counts.inside(counts.words[~own], counts.counts[~own]), hmm_lm.CLASSES)
+    unseen = 0.1 / counts.class_weight
+    assert np.allclose(share + unseen, 1)
+
+
+# ------------------------------------------------------------ 3 byte-level BPE
+
+
+def test_ids_and_texts_match_the_library():
+    mine, library = pair_index_bpe.tokenizer(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
+    texts = odd_texts()
+    for text, ids, encoding in zip(texts, mine.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == encoding.ids
+        assert mine.decode(ids) == library.decode(encoding.ids, skip_special_tokens=False) == text
+
+
+def test_short_and_long_words_are_merged_alike():
+    mine = pair_index_bpe.tokenizer(open(BYTES, "rb").read())
+    parts = [w.encode() for t in odd_texts() for w in words(t) if len(w) < 300]
+    assert mine._merged_arrays(parts) == [mine._merged_lists(w) for w in parts]
+
+
+def test_tokenize(awkward, clashing, empty):
+    library = Tokenizer.from_file(BYTES)
+    expected = sorted(((i, library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in awkward_rows()), key=repr)
+    for df in (awkward, clashing):
+        found = pair_index_bpe.tokenize(df, BYTES)
+        assert plain(found, "doc_id", pair_index_bpe.id_array(F.col("tokens.ids"))) == expected
+        assert set(df.columns) <= set(found.columns)
+        decoded = found.select("text", pair_index_bpe.decode(F.col("tokens.ids"), BYTES).alias("d"))
+        assert decoded.filter("coalesce(text, '') <> d").isEmpty()
+    assert pair_index_bpe.tokenize(empty, BYTES).count() == 0
+
+
+# ------------------------------------------------------------ 4 surrogates
+
+
+PERSONAL = [
+    (1, "Mr. John Smith wrote to jane.doe@example.com from 10.0.0.1."),
+    (2, "JANE.DOE@EXAMPLE.COM and Mr Smith, (212) 555-1234 or 212-555-1234, card 4111 1111 1111 1111"),
+    (3, "nothing here"), (4, None), (5, ""), (None, "Frau Müller, Господин Иванов"), (1, "Mr. John Smith wrote to jane.doe@example.com from 10.0.0.1."),
+]
+
+
+def test_surrogates_keep_kind_format_and_identity(spark):
+    df = spark.createDataFrame(PERSONAL, "doc_id LONG, text STRING").withColumn("kinds", F.lit("x"))
+    found = surrogates.replace(df, key="k").collect()
+    by_id = {r.doc_id: r for r in found}
+    assert len(found) == len(PERSONAL) and by_id[3].text == "nothing here" and by_id[4].text is None and by_id[5].text == ""
+    assert [by_id[n].n_entities for n in (1, 2, 3, 4)] == [3, 5, 0, 0]
+    for _, text in PERSONAL:
+        for start, end, *_ in surrogates.find(text or ""):
+            assert all(text[start:end] not in (r.text or "") for r in found)
+    mail = next(w for w in by_id[1].text.split() if "@" in w)
+    assert mail.upper() in by_id[2].text and by_id[2].kinds == "card,email,name,phone"
+    last = by_id[1].text.split(" wrote")[0].split(" ")[-1]
+    assert f"Mr {last}," in by_id[2].text
+    digits = ["".join(c for c in part if c.isdigit()) for part in by_id[2].text.split(", ")[1].split(" or ")]
+    assert digits[0] == digits[1]
+    card = by_id[2].text.rsplit("card ", 1)[1].replace(" ", "")
+    assert len(card) == 16 and surrogates._check_digit(card[:-1]) == card[-1]
+    assert any("Ѐ" <= c <= "ӿ" for c in by_id[None].text.split("Господин ")[1])
+
+
+def test_colliding_surrogates_try_again(spark, monkeypatch):
+    values = [("ssn", f"{n:09d}") for n in range(60)] + [("ip", "1.2.3.4")]
+
+    def few(kind, value, attempt, key):  # a narrow range, so that many collide at first
+        return str((int(value.replace(".", "")) * 7 + attempt * 13) % 97 + 1000)
+
+    monkeypatch.setattr(surrogates, "surrogate", few)
+    found = surrogates.mapping(spark.createDataFrame(values, "kind STRING, value STRING"), "k").collect()
+    assert sorted((r.kind, r.value) for r in found) == sorted(values)
+    assert len({(r.kind, r.stands) for r in found}) == len(values)
+    assert surrogates.mapping(spark.createDataFrame([], "kind STRING, value STRING"), "k").count() == 0
+
+
+# ------------------------------------------------------------ 5 mix
+
+
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[n % 3] for n, s in enumerate(order)}
+    total, capped = share * sum(sizes.values()), set()
+    while True:
+        rest = total - sum(most * sizes[s] for s in capped)
+        open_ = sum(weight[s] for s in order if s not in capped)
+        over = {s for s in order if s not in capped and rest * weight[s] / open_ > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in capped else rest * weight[s] / open_ for s in order}
+        capped |= over
+
+
+def test_mix(awkward, clashing, empty):
+    sizes = collections.Counter()
+    largest = collections.Counter()
+    for _, text, _, source, _ in awkward_rows():
+        sizes[source] += len(words(text))
+        largest[source] = max(largest[source], len(words(text)))
+    targets = plain_targets(sizes)
+    first = plain(source_mix.mix(awkward), "doc_id", "size", "source_size", "target", "taken")
+    assert first == plain(source_mix.mix(clashing), "doc_id", "size", "source_size", "target", "taken")
+    joined = source_mix.mix(awkward.withColumn("doc_id", F.concat_ws("|", F.coalesce("source", F.lit("null")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    taken = collections.Counter()
+    for row in joined.collect():
+        source = row.doc_id.split("|")[0]
+        source = None if source == "null" else source
+        assert row.source_size == sizes[source] and math.isclose(row.target, targets[source])
+        assert 0 <= row.taken <= 2 * row.size and (row.size == 0 or row.taken % row.size == 0)
+        taken[source] += row.taken
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= 2 * largest[source]  # equal rows move together
+    assert source_mix.mix(empty).count() == 0 and source_mix.take(empty).count() == 0
+
+
+def test_smaller_budgets_are_nested(awkward):
+    small = {(r.doc_id, r.size): r.taken for r in source_mix.mix(awkward, share=0.5, weights=(1, 1, 1)).collect()}
+    large = {(r.doc_id, r.size): r.taken for r in source_mix.mix(awkward, share=0.9, weights=(1, 1, 1)).collect()}
+    assert all(small[k] <= large[k] for k in small) and sum(small.values()) < sum(large.values())
+
+
+def test_take_repeats_rows_as_mix_says(clashing):
+    expected = sum(r.taken // r.size for r in source_mix.mix(clashing).collect() if r.size)
+    rows = source_mix.take(clashing)
+    assert rows.columns == clashing.columns
+    assert rows.filter(F.regexp_count("text", F.lit(source_mix.WORD)) > 0).count() == expected
+
+
+# ------------------------------------------------------------ 6 toxicity
+
+
+def test_toxicity_learns_and_scores_everything(spark, awkward, clashing, empty):
+    rnd = random.Random(2)
+    pool = [f"w{n}" for n in range(300)]
+    docs, labels = [], []
+    for n in range(600):
+        text = [rnd.choice(pool) for _ in range(rnd.randint(20, 200))]
+        toxic = n % 4 == 0
+        if toxic:
+            for _ in range(1 + len(text) // 30):
+                text.insert(rnd.randrange(len(text)), rnd.choice(["vile", "foul", "rotten"]))
+        docs.append((n, " ".join(text)))
+        labels.append((n, 1 if toxic else 0))
+    docs += [(700, None), (None, ""), (701, "vile")]
+    labels += [(0, None), (None, 1), (5000, 1)]
+    docs, truth = spark.createDataFrame(docs, "doc_id LONG, text STRING"), dict(labels[:600])
+    table = spark.createDataFrame(labels, "doc_id LONG, toxic INT")
+    found = toxicity.score(docs, table).collect()
+    assert len(found) == 603 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert held and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
+    none = spark.createDataFrame([], "doc_id LONG, toxic INT")
+    for labelled in (table, none):
+        assert toxicity.score(clashing, labelled).count() == len(awkward_rows())
+    assert toxicity.score(empty, table).count() == 0
+
+
+# ------------------------------------------------------------ 7 exact copies
+
+
+def plain_groups():
+    groups = collections.defaultdict(list)
+    for i, t, *_ in awkward_rows():
+        groups[lowered(t)].append(-1 if i is None else i)
+    return groups
+
+
+def test_copy_groups(awkward, clashing, empty):
+    groups = plain_groups()
+    expected = sorted(
+        ((i, None if max(groups[lowered(t)]) < 0 else max(groups[lowered(t)]), len(groups[lowered(t)]), hashlib.sha256(lowered(t).encode()).hexdigest())
+         for i, t, *_ in awkward_rows()), key=repr,
+    )
+    for df in (awkward, clashing):
+        found = exact_dedup.copy_groups(df, digest_all=True)
+        assert plain(found, "doc_id", "keep_id", "group_size", F.lower(F.hex("full_hash"))) == expected
+        kept = [r.doc_id for r in found.filter("kept").collect()]
+        assert sorted(-1 if k is None else k for k in kept) == sorted(max(g) for g in groups.values())
+    assert exact_dedup.copy_groups(empty).count() == 0
+
+
+def test_drop_copies(clashing, empty):
+    found = exact_dedup.drop_copies(clashing)
+    assert found.columns == clashing.columns
+    rows = [(r.doc_id, lowered(r.text)) for r in found.collect()]
+    assert sorted((k, max(v)) for k, v in plain_groups().items()) == sorted((t, -1 if i is None else i) for i, t in rows)
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+# ------------------------------------------------------------ 8 near copies
+
+
+def shingles(text):
+    w = words(lowered(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def plain_components(rows, percent=75):
+    """Component of each row, by comparing all rows."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    groups = collections.defaultdict(list)
+    for n in range(len(rows)):
+        groups[root(n)].append(n)
+    least = {g: min((rows[n][0] for n in members if rows[n][0] is not None), default=None) for g, members in groups.items()}
+    return sets, [root(n) for n in range(len(rows))], least
+
+
+def test_components_of_near_copies(awkward, clashing, empty):
+    rows = awkward_rows()
+    sets, roots, least = plain_components(rows)
+    expected = sorted(((r[0], len(sets[n]), least[roots[n]]) for n, r in enumerate(rows)), key=repr)
+    for df in (awkward, clashing):
+        assert plain(shingle_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == expected
+    assert shingle_join.near_duplicates(empty).count() == 0
+    with pytest.raises(ValueError):
+        shingle_join.near_duplicates(empty, percent=50)
+
+
+@pytest.mark.parametrize("rare,local", [(2, 3), (32, 64)])
+def test_families_of_all_degrees_of_likeness(spark, monkeypatch, rare, local):
+    """Families about the border, small and large ones, with frequent and rare shingles."""
+    monkeypatch.setattr(shingle_join, "RARE", rare)
+    monkeypatch.setattr(shingle_join, "LOCAL", local)
+    rnd = random.Random(rare)
+    rows, pool = [], [f"w{n}" for n in range(60)]
+    for family in range(12):
+        base = [rnd.choice(pool) + rnd.choice(["", f"f{family}"]) for _ in range(rnd.randint(3, 80))]
+        for _ in range(rnd.choice([2, 5, 40])):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(pool)
+            if rnd.random() < 0.5:
+                copy += [rnd.choice(pool) for _ in range(rnd.randint(0, len(base) // 3))]
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    for percent in (75, 60):
+        sets, roots, least = plain_components(rows, percent)
+        expected = sorted((r[0], len(sets[n]), least[roots[n]]) for n, r in enumerate(rows))
+        found = shingle_join.near_duplicates(df, percent=percent)
+        assert sorted(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == expected
+
+
+def test_one_of_each_group_stays(clashing, empty):
+    rows = awkward_rows()
+    sets, roots, least = plain_components(rows)
+    expected = sorted(repr(r[0]) for n, r in enumerate(rows) if not sets[n])
+    expected += [repr(least[g]) for g in set(roots) if sets[g]]
+    found = shingle_join.keep_one(clashing)
+    assert found.columns == clashing.columns
+    assert sorted(repr(r.doc_id) for r in found.collect()) == sorted(expected)
+    assert shingle_join.keep_one(empty).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(n, n + 1) for n in range(0, 60)] + [(100, n) for n in range(101, 140)] + [(7, 7)]
+    df = spark.createDataFrame(links, "a LONG, b LONG")
+    found = {r.node: r.component for r in components.components(df).collect()}
+    assert found == {n: 0 for n in range(61)} | {n: 100 for n in range(100, 140)}
+
+
+# ------------------------------------------------------------ 9 sharding
+
+
+def test_lookup_table_is_even_and_stable():
+    shards = [f"s{n}" for n in range(10)]
+    table = sharding.fill(shards, 1009)
+    assert max(collections.Counter(table).values()) - min(collections.Counter(table).values()) <= 1
+    fewer = sharding.fill(shards[:-1], 1009)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 9)
+    assert moved < 0.15 * 1009
+    for bad in (([], 7), (shards, 1000), (shards, 7), (shards, 1 << 20)):
+        with pytest.raises(ValueError):
+            sharding.fill(*bad)
+
+
+def test_place(awkward, clashing, empty):
+    table = sharding.fill(sharding.SHARDS, sharding.SLOTS)
+    slot = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % sharding.SLOTS
+    expected = sorted(((r[0], slot(r[0]), sharding.SHARDS[table[slot(r[0])]]) for r in awkward_rows()), key=repr)
+    for df in (awkward, clashing):
+        assert plain(sharding.place(df), "doc_id", "slot", "shard") == expected
+    assert sharding.place(empty).count() == 0
+
+
+def test_write_shards(spark, awkward, tmp_path):
+    sharding.write_shards(awkward, str(tmp_path / "out"), shards=["x", "y", "z"], slots=101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert plain(back, "doc_id", "text") == plain(awkward, "doc_id", "text")
+
+
+# ------------------------------------------------------------ 10 quality rules
+
+
+def plain_measures(text):
+    text = text or ""
+    w = words(text)
+    seen = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [line for line in text.split("\n") if words(line)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(covered))
+
+
+def test_ledger(awkward, clashing, empty):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    expected = sorted(((r[0], *plain_measures(r[1])) for r in awkward_rows()), key=repr)
+    for df in (awkward, clashing):
+        assert plain(quality_rules.ledger(df), *columns) == expected
+    assert quality_rules.ledger(empty).count() == 0
+
+
+def test_policies_read_the_bits(awkward, clashing):
+    ledger = quality_rules.ledger(awkward).cache()
+    rows = ledger.collect()
+    names = [name for name, _ in quality_rules.RULES]
+    for policy, rules in quality_rules.POLICIES.items():
+        failed = [{n for b, n in enumerate(names) if r.failed_bits >> b & 1} & set(rules) for r in rows]
+        assert quality_rules.apply_policy(ledger, policy).filter("kept").count() == sum(not f for f in failed)
+        assert quality_rules.keep(clashing, policy).count() == sum(not f for f in failed)
+        found = {r.rule: (r.failed, r.failed_alone, r.kept_without) for r in quality_rules.ablation(ledger, policy).collect()}
+        assert found == {
+            rule: (sum(rule in f for f in failed), sum(f == {rule} for f in failed), sum(not f - {rule} for f in failed)) for rule in rules
+        }
+    profile = quality_rules.rule_profile(ledger, "doc_id")
+    assert profile.count() == len({r.doc_id for r in rows})
