@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from seamline.llm import textbuf
 
@@ -52,6 +52,33 @@ def text_column(make: Callable[[pa.Array], dict], columns: str, kind: str = "str
     return lambda column: whole(column.cast(kind))
 
 
+def with_struct(df: DataFrame, text: str, make: Callable[[pa.Array], dict], columns: str, into: str) -> DataFrame:
+    """``df`` with a struct column ``into``, replacing one of that name.
+
+    Like ``text_column``, but the results leave the task a few MB at a time, for results
+    about as large as the texts.
+    """
+    names = [c for c in df.columns if c != into]
+    chosen = df.select(F.col(_quoted(text)).cast("string").alias("text"), *(F.col(_quoted(c)) for c in names))
+    chosen = chosen.toDF("text", *(f"c{k}" for k in range(len(names))))
+    made = _parse_datatype_string(columns)
+    arrow = to_arrow_schema(made)
+    schema = StructType([*chosen.schema.fields[1:], StructField("made", made)])
+
+    def run(batches):
+        for batch in batches:
+            for piece in textbuf.slices(batch, "text"):
+                found = make(piece.column(0))
+                arrays = [
+                    (found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], f.type)).cast(f.type)
+                    for f in arrow
+                ]
+                struct = pa.StructArray.from_arrays(arrays, fields=list(arrow))
+                yield pa.RecordBatch.from_arrays([*piece.columns[1:], struct], names=[*piece.schema.names[1:], "made"])
+
+    return chosen.mapInArrow(run, schema).toDF(*names, into)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -37,10 +37,10 @@ SYMBOLS = 8192
 CLASSES = 4096
 FREQUENT = 1 << 20
 PRIOR = 500.0  # tokens of the overall distribution that each state is given
-UNIT_TOKENS = 1 << 21
+UNIT_TOKENS = 1 << 20
 UNIT_DOCS = 1 << 16
 STRETCH = 1024
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 BUCKETS_PER_PARTITION = 4
 _END = SYMBOLS + CLASSES
 _N_SYMBOLS = _END + 1

@@ -19,10 +19,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from seamline.llm import textbuf
-from seamline.llm.frames import _quoted, text_column
+from seamline.llm.frames import text_column, with_struct
 
 # The characters that count as space, and the pattern that cuts texts into
 # words for this kind of vocabulary.
@@ -31,7 +30,7 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-_KEPT = 500_000
+_KEPT = 300_000
 _LONGEST_KEPT = 64
 _SHORT = 256
 _NONE = 1 << 30
@@ -250,21 +249,6 @@ def tokenizer(data: bytes) -> PairIndexTokenizer:
     return _tokenizers[name]
 
 
-def encode(text: Column, path: str) -> Column:
-    """The tokens of a text as ``struct<n_tokens long, ids binary>``.
-
-    Ids are packed as little-endian 32-bit integers.  A null text encodes like an empty
-    one, to no ids.
-    """
-    data = Path(path).read_bytes()
-
-    def make(texts: pa.Array) -> dict:
-        ids = tokenizer(data).encode([t or "" for t in texts.to_pylist()])
-        return {"n_tokens": np.array([len(i) // 4 for i in ids], np.int64), "ids": pa.array(ids, pa.binary())}
-
-    return text_column(make, "n_tokens long, ids binary")(text)
-
-
 def decode(ids: Column, path: str) -> Column:
     """The text of packed ids; null ids give an empty text."""
     data = Path(path).read_bytes()
@@ -287,10 +271,23 @@ def id_array(ids: Column) -> Column:
     return text_column(make, "ids array<int>", "binary")(ids)["ids"]
 
 
-def tokenize(df: DataFrame, path: str, text_col: str = "text", into: str = "tokens") -> DataFrame:
-    """``df`` with its texts' tokens in the struct column ``into``.
+def tokenize(
+    df: DataFrame, path: str, text_col: str = "text", into: str = "tokens", decoded: bool = False
+) -> DataFrame:
+    """``df`` with its texts' tokens in ``into``: ``struct<n_tokens long, ids binary>``.
 
-    Replaces a column of that name; all other columns stay, whatever their names.
-    Repeated rows are encoded alike; an empty table gives an empty result.
+    Ids are packed as little-endian 32-bit integers.  With ``decoded`` the struct also
+    has ``decoded``, the text that the ids decode to.  A null text encodes like an empty
+    one, to no ids.  ``into`` replaces a column of that name; all other columns stay,
+    whatever their names.  Repeated rows are encoded alike; an empty table gives an empty
+    result.
     """
-    return df.withColumn(into, encode(F.col(_quoted(text_col)), path))
+    data = Path(path).read_bytes()
+
+    def make(texts: pa.Array) -> dict:
+        of = tokenizer(data)
+        ids = of.encode([t or "" for t in texts.to_pylist()])
+        made = {"n_tokens": np.array([len(i) // 4 for i in ids], np.int64), "ids": pa.array(ids, pa.binary())}
+        return made | ({"decoded": [of.decode(i) for i in ids]} if decoded else {})
+
+    return with_struct(df, text_col, make, "n_tokens long, ids binary" + ", decoded string" * decoded, into)

@@ -37,11 +37,10 @@ def op2_hmm_lm(spark, sf_dir):
 @query
 def op3_pair_index_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = documents(spark, sf_dir).select("doc_id", pair_index_bpe.encode(F.col("text"), path).alias("t"))
-    decoded = pair_index_bpe.decode(F.col("t.ids"), path)
-    return encoded.select(
-        "doc_id", "t.n_tokens", F.sha2("t.ids", 256).alias("ids_sha256"),
-        F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return pair_index_bpe.tokenize(rows, path, decoded=True).select(
+        "doc_id", "tokens.n_tokens", F.sha2("tokens.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("tokens.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

@@ -44,7 +44,7 @@ from seamline.plans.staging import stage
 WORDS = 5
 PERCENT = 75
 RARE = 32
-UNIT_TOKENS = 1 << 21  # shingles in a unit, of 8 bytes
+UNIT_TOKENS = 1 << 20  # shingles in a unit, of 8 bytes
 UNIT_DOCS = 1 << 16  # a document's number in its unit has 16 bits
 LOCAL = 64  # documents of a unit; a shingle in more is sent as a count
 BUCKETS_PER_PARTITION = 8

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _HASH_BLOCK = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 5)
