@@ -30,7 +30,7 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-_KEPT = 300_000
+_KEPT = 200_000
 _LONGEST_KEPT = 64
 _SHORT = 256
 _NONE = 1 << 30

@@ -187,6 +187,7 @@ def _count_range(table: pa.Table) -> pa.Table:
             values = unpack(data, n) if kind == _KEYS else np.frombuffer(data, _U, n)
             more = np.minimum(df[shared], 0xFFFFFFFF).astype("<u4").tobytes()
             out.append((unit, kind, int(shared.sum()), pack(values[shared]), more))
+    textbuf.release()
     columns = list(zip(*out)) if out else [()] * 5
     types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.Table.from_arrays(

@@ -7,6 +7,7 @@ are told apart by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,15 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         end = min(max(end, row + 1), batch.num_rows)
         yield batch.slice(row, end - row)
         row = end
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
