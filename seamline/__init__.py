@@ -20,6 +20,7 @@ from seamline.sources.contracts import (
     discover_repositories,
     documents_to_facts,
     load_contracts,
+    load_documents,
     load_one,
     read_documents,
     save_contracts,
@@ -30,7 +31,8 @@ from seamline.sources.files import read_source_files
 __all__ = [
     "contract_drift", "contract_validity", "contract_violations", "discover_repositories",
     "discover_services", "documents_to_facts", "endpoint_counts", "endpoint_impact", "extract",
-    "extract_backend", "extract_frontend", "extraction_summary", "load_contracts", "load_one",
+    "extract_backend", "extract_frontend", "extraction_summary", "load_contracts", "load_documents",
+    "load_one",
     "no_orphans", "orphan_topics", "read_documents", "read_source_files", "resolve_routes",
     "save_contracts", "show_contract", "status", "subscriptions_without_handler", "topic_counts",
     "topic_impact", "unindexed_services",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +13,17 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Without that setting only a session in one process (``local``, ``local[...]``) gets a
+    folder of its own; anywhere else executors could not see what others have written.
     """
     conf = spark.sparkContext.getConf()
     configured = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
+    master = conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="seamline-")
+    own = f"file:/tmp/seamline-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 

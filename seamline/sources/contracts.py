@@ -35,12 +35,13 @@ def header(services: DataFrame) -> DataFrame:
 def save_contracts(facts: DataFrame, root: str) -> None:
     """Replace the contracts of the services in ``facts``; leave all others alone.
 
-    Each service is a directory.  Rebalancing brings a service's rows together but
+    Each repository is a directory; a service without a ``repo`` is its own.  Rebalancing brings a service's rows together but
     splits those of a very large one, so that many tasks write it.  Within a task
     rows are sorted by section, which lets readers skip what they do not ask for.
     """
+    repo = F.coalesce("repo", "service") if "repo" in facts.columns else F.col("service")
     (
-        facts.withColumn("repo", F.col("service"))
+        facts.withColumn("repo", repo)
         .hint("rebalance", F.col("repo"))
         .sortWithinPartitions("repo", "section")
         .write.mode("overwrite")
@@ -68,6 +69,12 @@ def last_repository(stored: DataFrame) -> DataFrame:
     return stored.join(small(lost), ["service", "repo"], "left_anti").drop("repo")
 
 
+def load_documents(spark: SparkSession, root: str, name: str = "contracts.json") -> DataFrame:
+    """All facts of the valid documents ``<root>/<repo>/<name>``; of two repositories that
+    claim a service the last one counts."""
+    return last_repository(documents_to_facts(read_documents(spark, root, name)))
+
+
 def load_one(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """Facts of one repository; only its directory is read."""
     stored = spark.read.schema(struct_type(FACTS).add("repo", "string")).parquet(root)
@@ -162,8 +169,6 @@ def documents_to_facts(documents: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, name: str = "contracts.json") -> DataFrame:
     """``(repo, document)`` from ``<root>/<repo>/<name>``, whole texts."""
-    text = spark.read.option("pathGlobFilter", name).text(
-        root, wholetext=True, recursiveFileLookup=True
-    )
+    text = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True)
     repo = F.element_at(F.split("_metadata.file_path", "/"), -2)
     return text.select(F.url_decode(repo).alias("repo"), F.col("value").alias("document"))

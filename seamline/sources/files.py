@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 
 import pyarrow as pa
@@ -45,7 +46,10 @@ def read_source_files(
 def list_files(
     services: DataFrame, root: str, suffixes: tuple[str, ...], skip_dirs: tuple[str, ...]
 ) -> DataFrame:
-    """``(service, path)`` of the files below each service's directory."""
+    """``(service, path)`` of the files below each service's directory.
+
+    Links to directories are not followed, so that no file is listed twice.
+    """
 
     def names(batches):
         fs, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
@@ -56,7 +60,8 @@ def list_files(
                 while pending:
                     for entry in fs.get_file_info(FileSelector(pending.pop())):
                         if entry.type == FileType.Directory:
-                            if entry.base_name not in skip_dirs:
+                            linked = isinstance(fs, LocalFileSystem) and os.path.islink(entry.path)
+                            if entry.base_name not in skip_dirs and not linked:
                                 pending.append(entry.path)
                         elif entry.base_name.endswith(suffixes or ("",)):
                             paths.append(entry.path[len(start) + 1 :])
@@ -66,7 +71,11 @@ def list_files(
 
 
 def read_listed(listed: DataFrame, root: str) -> DataFrame:
-    """Contents of listed files; unreadable ones are left out."""
+    """Contents of listed files.
+
+    Files that are gone, or may not be read, are left out.  Any other failure is raised,
+    so that Spark tries the task again rather than lose a file.
+    """
 
     def contents(batches):
         fs, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
@@ -75,7 +84,7 @@ def read_listed(listed: DataFrame, root: str) -> DataFrame:
                 try:
                     with fs.open_input_stream(f"{base.rstrip('/')}/{row['service']}/{row['path']}") as file:
                         text = file.read().decode("utf-8", "replace")
-                except OSError:
+                except (FileNotFoundError, PermissionError):
                     continue
                 row["content"] = text.replace("\r\n", "\n").replace("\r", "\n")
                 yield pa.RecordBatch.from_pylist([row], schema=batch.schema.append(_CONTENT))
