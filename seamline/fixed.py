@@ -11,6 +11,7 @@ HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 HTTP_VERBS = ["get", "post", "put", "patch", "delete", "head", "options"]
 DEFAULT_METHOD = "GET"
 PARAM = "{param}"
+UNNAMED_PART = "param"
 
 # contract documents
 EXTRACTOR_VERSION = "0.1.0"

@@ -16,15 +16,33 @@ _UNICODE = "(?U)"
 # Unicode noncharacters: no text meant for interchange holds them.
 _START, _NEXT, _MATCH = "﷐", "﷑", "﷒"
 _MARKS = _START + _NEXT + _MATCH
-_REPLACEMENT = "�"
+
+# What stands for a mark, or the escape itself, in a text that holds one all the same.
+_ESCAPE = "﷓"
+_STAND_INS = {
+    _ESCAPE: _ESCAPE + "﷔",
+    _START: _ESCAPE + "﷕",
+    _NEXT: _ESCAPE + "﷖",
+    _MATCH: _ESCAPE + "﷗",
+}
 
 _BLOCK = 256
 
 
 def markable(text: Column) -> Column:
-    """``text`` without the marks: invalid characters read as U+FFFD."""
-    found = F.rlike(text, F.lit(f"[{_MARKS}]"))
-    return F.when(found, F.translate(text, _MARKS, _REPLACEMENT * len(_MARKS))).otherwise(text)
+    """``text`` with the marks it holds itself escaped; ``restored`` undoes it."""
+    escaped = text
+    for mark, stand_in in _STAND_INS.items():
+        escaped = F.replace(escaped, F.lit(mark), F.lit(stand_in))
+    return F.when(F.rlike(text, F.lit(f"[{_MARKS}{_ESCAPE}]")), escaped).otherwise(text)
+
+
+def restored(text: Column) -> Column:
+    """A part of a ``markable`` text as it was."""
+    plain = text
+    for mark, stand_in in reversed(_STAND_INS.items()):
+        plain = F.replace(plain, F.lit(stand_in), F.lit(mark))
+    return F.when(F.contains(text, F.lit(_ESCAPE)), plain).otherwise(text)
 
 
 def newlines(text: Column) -> Column:
@@ -98,7 +116,9 @@ def matches(pieces: Column) -> Column:
 
 def group_values(groups: Column) -> Column:
     """The copied groups as an array; those that took no part in the match are empty."""
-    return F.split(groups, _NEXT, -1)
+    values = F.split(groups, _NEXT, -1)
+    held = F.contains(groups, F.lit(_ESCAPE))
+    return F.when(held, F.transform(values, restored)).otherwise(values)
 
 
 def first_group(text: Column, pattern: Column, number: int) -> Column:

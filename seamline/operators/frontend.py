@@ -13,7 +13,14 @@ from seamline.functions.paths import (
     method_or_default,
     ord_key,
 )
-from seamline.functions.regex import first_group, group_values, markable, marked_pieces, matches
+from seamline.functions.regex import (
+    first_group,
+    group_values,
+    markable,
+    marked_pieces,
+    matches,
+    restored,
+)
 from seamline.operators.resolve import resolve_routes
 from seamline.plans.staging import small, stage
 
@@ -66,7 +73,7 @@ def frontend_matches(files: DataFrame) -> DataFrame:
         "service",
         "path",
         "base",
-        F.when(F.col("base").isNotNull(), F.regexp_replace(url, r"/+\z", "")).alias("prefix"),
+        F.when(F.col("base").isNotNull(), restored(F.regexp_replace(url, r"/+\z", ""))).alias("prefix"),
         *[_pieces(text, kind).alias(kind) for kind in _PATTERNS],
     )
     definition = F.lit("definition").alias("kind"), F.lit(0), F.lit(0), F.lit("")

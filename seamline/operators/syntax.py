@@ -35,15 +35,28 @@ _DUMP_KEYWORD = "topic"
 _DUMP_WIDTH = fixed.DYNAMIC_TOPIC_WIDTH
 
 
-def _peel(node):
-    """The expression under method chains and ``or`` fallbacks."""
-    while True:
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
-            node = node.func.value
-        elif isinstance(node, ast.BoolOp) and isinstance(node.op, ast.Or):
-            node = node.values[0]
-        else:
-            return node
+_NO_ANCHOR = (None, None)
+_SHOWN_BY = {ast.Name: "id", ast.Attribute: "attr"}
+
+
+def _anchor(node):
+    """``(name, attribute)`` that an expression hangs on.
+
+    The walk leaves children before parents and stores this in every node it leaves,
+    so a method call or a fallback takes the anchor its first operand already has.
+    """
+    match node:
+        case ast.Attribute(value=ast.Name(id=name), attr=attribute):
+            return name, attribute
+        case ast.Call(func=ast.Attribute(value=first)):
+            return _stored_anchor(first)
+        case ast.BoolOp(op=ast.Or(), values=[first, *_]):
+            return _stored_anchor(first)
+    return _NO_ANCHOR
+
+
+def _stored_anchor(node):
+    return getattr(node, "anchor", _NO_ANCHOR)
 
 
 def _name(node):
@@ -67,14 +80,15 @@ def _kind(node):
     return "other"
 
 
-def _rendered(value):
-    """One piece of an f-string, variables shown by their last name."""
-    if isinstance(value, ast.Constant):
-        return str(value.value)
-    match value.value:
-        case ast.Name(id=shown) | ast.Attribute(attr=shown):
-            return "{" + shown + "}"
-    return "{param}"
+def _fstring_parts(pieces):
+    """The pieces of an f-string, expressions shown by their last name."""
+    for piece in pieces:
+        inner = getattr(piece, "value", None)
+        if isinstance(piece, ast.FormattedValue):
+            shown = getattr(inner, _SHOWN_BY.get(type(inner), ""), fixed.UNNAMED_PART)
+            yield _text(f"{{{shown}}}")
+        else:
+            yield _text(str(inner))
 
 
 def _text(text):
@@ -82,14 +96,6 @@ def _text(text):
     return text.encode("utf-8", "replace").decode()
 
 
-def _qualified(node):
-    """``(base, attribute)`` of ``base.attribute`` under chains and fallbacks."""
-    node = _peel(node)
-    if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
-        return node.value.id, node.attr
-    return None, None
-
-
 def _expression(node, dump=False):
     """Describe an expression; for nested calls, the innermost first argument."""
     leaf = node
@@ -104,9 +110,9 @@ def _expression(node, dump=False):
         case ast.Attribute(attr=text, value=base):
             out["text"], out["base"] = text, _name(base)
         case ast.JoinedStr(values=values):
-            out["parts"] = [_text(_rendered(v)) for v in values]
+            out["parts"] = list(_fstring_parts(values))
             if values and isinstance(values[0], ast.FormattedValue):
-                out["lead_base"], out["lead_attr"] = _qualified(values[0].value)
+                out["lead_base"], out["lead_attr"] = _stored_anchor(values[0].value)
     if dump:
         out["dump"] = _text(ast.dump(node)[:_DUMP_WIDTH])
     return out
@@ -155,7 +161,7 @@ def _fstring_rows(node, parent):
 
 def _assignment(kind, target, value):
     row = {"kind": kind, "name": _name(target), "value": _expression(value)}
-    row["peel_base"], row["peel_attr"] = _qualified(value)
+    row["peel_base"], row["peel_attr"] = _stored_anchor(value)
     if isinstance(value, ast.Call):
         row |= _call(value)
     if isinstance(target, ast.Attribute) and _name(target.value) == "self":
@@ -188,6 +194,9 @@ _DESCRIBED = {
 }
 
 
+# Expressions that can hang on a name and an attribute.
+_ANCHORED = {ast.Attribute, ast.Call, ast.BoolOp}
+
 # Nodes with nothing described in them: names, constants, operators and the like.
 _LEAVES = {ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue}
 for _group in (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop):
@@ -218,14 +227,17 @@ def _walk(tree):
     stack = [(tree, None, 0, (), None, None)]
     while stack:
         node, parent, depth, scopes, decorated, entry = stack.pop()
+        kind = node.__class__
         if entry is not None:
-            yield depth, entry, visits, scopes, node, parent, decorated
-            visits += 1
+            if kind in _ANCHORED:
+                node.anchor = _anchor(node)
+            if kind in _DESCRIBED:
+                yield depth, entry, visits, scopes, node, parent, decorated
+                visits += 1
             continue
-        kind = node.__class__
         if kind in _SCOPES:
             scopes = (*scopes, (node, parent))
-        if kind in _DESCRIBED:
+        if kind in _DESCRIBED or kind in _ANCHORED:
             stack.append((node, parent, depth, scopes, decorated, entries))
         entries += 1
         decorators = node.decorator_list if kind in _FUNCTIONS else ()
@@ -235,13 +247,19 @@ def _walk(tree):
 
 
 def syntax_rows(content: str) -> list[dict]:
-    """Syntax rows of one file; a single ``error`` row if it cannot be parsed."""
+    """Syntax rows of one file; a single ``error`` row if it is no Python.
+
+    A file that only the parser's limits refuse gives one ``too_deep`` row.
+    """
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+    except (SyntaxError, ValueError) as error:
         line = getattr(error, "lineno", None) or 0
         text = str(getattr(error, "msg", None) or error)
         return [{"kind": "error", "line": line, "name": text, "node_id": 0, "visit_id": 0}]
+    except (RecursionError, MemoryError):
+        text = "nested too deeply"
+        return [{"kind": "too_deep", "line": 0, "name": text, "node_id": 0, "visit_id": 0}]
 
     found = [
         (depth, entry, visit, scopes, node, parent, decorated, row)

@@ -32,24 +32,29 @@ def _type(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _is_int(value: Column) -> Column:
-    """Whole numbers, also as text or with a zero fraction, and booleans."""
+def whole_number(value: Column) -> Column:
+    """The BIGINT that a value stands for, or null if it is none.
+
+    Whole numbers, also as text or with a zero fraction, and booleans.  Reading and
+    validating both go by this, so a line is either kept or reported.
+    """
     kind = _type(value)
-    text = F.try_variant_get(value, "$", "string")
-    whole = F.rlike(F.trim(text), F.lit(r"\A[+-]?[0-9]+(\.0*)?\z"))
-    return F.when(kind.isin("BIGINT", "BOOLEAN"), F.lit(True)).when(
-        kind == "STRING", whole
+    text = F.trim(F.try_variant_get(value, "$", "string"))
+    digits = F.regexp_replace(text, r"_|\.0*\z", "")
+    real = F.try_variant_get(value, "$", "double")
+    return F.when(
+        kind.isin("BIGINT", "STRING") | kind.startswith("DECIMAL"),
+        F.when(F.rlike(text, F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0*)?\z")), digits.try_cast("bigint")),
     ).when(
-        kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"),
-        F.try_variant_get(value, "$", "double") == F.floor(F.try_variant_get(value, "$", "double")),
-    ).otherwise(F.lit(False))
+        kind.isin("DOUBLE", "FLOAT"), F.when(real == F.floor(real), F.floor(real))
+    ).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
 
 
 def _wrong(value: Column, kind: str, nullable: bool) -> Column:
     """Rule a present value breaks, or null."""
     is_string = _type(value) == "STRING"
     if kind == "int":
-        broken = F.when(~_is_int(value), "not an integer")
+        broken = F.when(whole_number(value).isNull(), "not an integer")
     elif kind == "method":
         known = F.try_variant_get(value, "$", "string").isin(fixed.HTTP_METHODS)
         broken = F.when(~is_string | ~known, "unknown method")
@@ -73,6 +78,8 @@ def _field_violations(item: Column, pos: Column, section: str) -> list[Column]:
         value = F.try_variant_get(item, f"$.{name}", "variant")
         missing = F.lit("missing") if required else F.lit(None).cast("string")
         rule = F.when(value.isNull(), missing).otherwise(_wrong(value, kind, nullable))
+        if name == "event_schema":  # the second name of "schema", which comes first
+            rule = F.when(F.try_variant_get(item, "$.schema", "variant").isNull(), rule)
         out.append(_violation(F.lit(f"{place}.{name}"), pos, rule))
     if section in _CLOSED:
         keys = F.map_keys(F.try_variant_get(item, "$", "map<string,variant>"))

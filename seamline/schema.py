@@ -14,7 +14,7 @@ FACTS = (
     "service STRING, section STRING, ord " + ORD + ", "
     "method STRING, path STRING, norm_path STRING, handler STRING, target STRING, "
     "caller STRING, topic STRING, schema STRING, publisher STRING, "
-    "class_name STRING, file STRING, kind STRING, message STRING, line INT"
+    "class_name STRING, file STRING, kind STRING, message STRING, line BIGINT"
 )
 
 SERVICE = "service"

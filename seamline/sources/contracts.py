@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline import fixed, schema
 from seamline.functions.paths import match_path, ord_key
-from seamline.operators.validate import violations
+from seamline.operators.validate import violations, whole_number
 from seamline.plans.staging import small
 from seamline.schema import FACTS, SECTIONS, struct_type
 
@@ -151,8 +151,13 @@ def documents_to_facts(documents: DataFrame) -> DataFrame:
 
     def field(name: str, kind: str) -> Column:
         value = F.try_variant_get("e.item", f"$.{name}", kind)
-        if name == "schema":  # either name is accepted
-            value = F.coalesce(value, F.try_variant_get("e.item", "$.event_schema", kind))
+        if name == "line":
+            value = whole_number(F.try_variant_get("e.item", "$.line", "variant"))
+        if name == "schema":  # either name is accepted; the first counts, null or not
+            value = F.when(
+                F.try_variant_get("e.item", "$.schema", "variant").isNull(),
+                F.try_variant_get("e.item", "$.event_schema", kind),
+            ).otherwise(value)
         return F.when(~is_head, value)
 
     given = {

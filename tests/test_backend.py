@@ -27,39 +27,38 @@ async def on_lent(body):
 LITERAL = '''async def announce(bus, book):
     await bus.publish(topic="book.added", event_type="added", data=book)
 '''
-FROM_SETTINGS = '''from app.core.config import settings
+FROM_SETTINGS = '''import app.core.config
 
 
-async def announce(bus, book):
-    await bus.publish(
-        topic=settings.TOPIC_BOOKS,
-        data=book,
-    )
+class Shelf:
+    def restock(self, settings, copies):
+        for copy in copies:
+            if copy.lost:
+                self.line.publish("ignored", topic=settings.TOPIC_BOOKS)
 '''
-WRAPPER = '''async def _send(topic, event_type, data):
-    bus = _bus()
-    await bus.publish(topic=topic, event_type=event_type, data=data)
+WRAPPER = '''def nightly():
+    relay(data=None, event_type="overdue", topic="book.overdue")
 
 
-async def trigger():
-    await _send(topic="book.wrapped", event_type="w", data={})
+class Line:
+    def relay(self, topic): self.queue.publish(topic=topic)
 '''
 CLIENT = '''import httpx
 
-from app.core.config import settings
 
+class Members:
+    base_url = None
 
-class UsersClient:
-    def __init__(self) -> None:
-        self.base_url = settings.USERS_URL
+    def __init__(self, settings):
+        self.base_url, self.retries = "", 3
+        self.base_url = settings.USERS_URL or ""
 
-    async def find(self, user_id):
-        client = httpx.AsyncClient(base_url=self.base_url)
-        return await client.get(f"/users/{user_id}")
+    def rename(self, key, card):
+        with httpx.Client() as http:
+            http.patch(f"/members/{key}/cards/{card.number}", timeout=5)
 
-    async def create(self, body):
-        client = httpx.AsyncClient(base_url=self.base_url)
-        return await client.post("/users", json=body)
+    def forget(self, key):
+        self.session.delete("/members")
 '''
 
 
@@ -110,7 +109,7 @@ def literal_topic():
 def topic_from_settings_with_default():
     config = 'class Settings:\n    TOPIC_BOOKS: str = "books.all"\n'
     get = yield ({"app/services/a.py": FROM_SETTINGS, "app/core/config.py": config})
-    assert get(schema.TOPICS_PUBLISHED) == [("books.all", None, "app/services/a.py::announce", 5)]
+    assert get(schema.TOPICS_PUBLISHED) == [("books.all", None, "app/services/a.py::restock", 8)]
     assert get(schema.EXTRACTION_WARNINGS) == []
 
 
@@ -120,16 +119,16 @@ def unresolved_topic_warns_and_is_never_dropped_silently():
     get = yield ({"app/services/a.py": FROM_SETTINGS, "app/core/config.py": config})
     assert get(schema.TOPICS_PUBLISHED) == []
     ((kind, file, line, message),) = get(schema.EXTRACTION_WARNINGS)
-    assert (kind, file, line) == ("unresolved_settings_topic", "app/services/a.py", 5)
+    assert (kind, file, line) == ("unresolved_settings_topic", "app/services/a.py", 8)
     assert "settings.TOPIC_BOOKS" in message
 
 
 @case
 def publishing_through_a_helper():
     get = yield ({"app/services/a.py": WRAPPER})
-    assert get(schema.TOPICS_PUBLISHED) == [("book.wrapped", None, "app/services/a.py::trigger", 7)]
+    assert get(schema.TOPICS_PUBLISHED) == [("book.overdue", None, "app/services/a.py::nightly", 2)]
     ((kind, _, line, message),) = get(schema.EXTRACTION_WARNINGS)
-    assert (kind, line) == ("dynamic_topic", 3)
+    assert (kind, line) == ("dynamic_topic", 6)
     assert message == "topic is a dynamic expression (Name(id='topic', ctx=Load()))"
 
 
@@ -175,12 +174,18 @@ def broken_schema_file_is_a_warning():
     ]
 
 
+@case
+def too_deep_a_file_is_a_warning():
+    get = yield ({"app/a.py": "x = " + "-" * 50_000 + "1\n"})
+    assert [w[:2] for w in get(schema.EXTRACTION_WARNINGS)] == [("unparsable_file", "app/a.py")]
+
+
 @case
 def client_class():
     get = yield ({"app/services/users.py": CLIENT})
     assert get(schema.HTTP_CONSUMERS) == [
-        ("users", "GET", "/users/{user_id}", "app/services/users.py::UsersClient.find", 12),
-        ("users", "POST", "/users", "app/services/users.py::UsersClient.create", 16),
+        ("users", "DELETE", "/members", "app/services/users.py::Members.forget", 16),
+        ("users", "PATCH", "/members/{key}/cards/{number}", "app/services/users.py::Members.rename", 13),
     ]
 
 

@@ -117,11 +117,29 @@ def test_validation(spark):
 
 
 def test_lines_are_read_as_validated(spark):
-    lines = ['"7"', "3.0", "true", "12"]
+    lines = ['"7"', "3.0", "true", "12", '"2.0"', "3000000000", '" 3000000000"', '"1_000"', "2e3"]
     items = ", ".join('{"class_name": "c", "file": "f", "line": %s}' % line for line in lines)
     facts = facts_of(spark, ("r", '{"service": "s", "event_schemas": [%s]}' % items))
     found = facts.filter("class_name IS NOT NULL").orderBy("ord").collect()
-    assert [r.line for r in found] == [7, 3, 1, 12]
+    assert [r.line for r in found] == [7, 3, 1, 12, 2, 3000000000, 3000000000, 1000, 2000]
+
+
+def test_what_is_no_line_is_reported(spark):
+    for line in ('"1__0"', '"x"', "1.5", "1" + "0" * 30, '""', "null"):
+        item = '{"class_name": "c", "file": "f", "line": %s}' % line
+        text = '{"service": "s", "event_schemas": [%s]}' % item
+        raw = spark.createDataFrame([("r", text)], "repo STRING, document STRING")
+        assert validate.contract_violations(raw).count() == 1, line
+        assert facts_of(spark, ("r", text)).isEmpty()
+
+
+def test_the_first_name_of_a_schema_counts(spark):
+    both = '{"topic": "t", "schema": null, "event_schema": "E", "publisher": "p", "line": 1}'
+    odd = '{"topic": "t", "schema": "A", "event_schema": 5, "publisher": "p", "line": 2}'
+    one = '{"topic": "t", "event_schema": "E", "publisher": "p", "line": 3}'
+    text = '{"service": "s", "provides": {"topics_published": [%s, %s, %s]}}' % (both, odd, one)
+    found = facts_of(spark, ("r", text)).filter("topic IS NOT NULL").orderBy("line").collect()
+    assert [r.schema for r in found] == [None, "A", "E"]
 
 
 def test_drift(spark):

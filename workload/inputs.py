@@ -488,8 +488,8 @@ orders_client.request("trace", "/odd")
 """
 
 
-def python_files(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    """A small service per customer: the named parts of it, or all."""
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small service of eleven files per customer."""
     k = F.col("c_custkey")
     values = dict(
         SEG=F.lower("c_mktsegment"), N=F.col("c_nationkey"), N4=F.col("c_nationkey") % 4,
@@ -538,8 +538,7 @@ def python_files(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     }
     chosen = [
         F.struct(path.alias("path"), content.alias("content"))
-        for name, (path, content) in made.items()
-        if name in (parts or made)
+        for path, content in made.values()
     ]
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     return spread(customers).select(
@@ -550,7 +549,7 @@ def python_files(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
 
 def nested_python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with every second service's ``app/`` one directory down."""
-    files = python_files(spark, sf_dir, "events", "client")
+    files = python_files(spark, sf_dir)
     odd = F.element_at(F.split("service", "-"), -1).cast("long") % 2 == 1
     return files.withColumn(
         "path", F.when(odd, F.concat("service", F.lit("/"), "path")).otherwise(F.col("path"))

@@ -237,7 +237,10 @@ SELECT service, CASE WHEN k % 2 = 1 THEN service || '/' ELSE '' END AS app_root
 # Counted by hand from the templates; ``loop``, ``shadow``, ``broken`` and
 # ``unmounted`` are the variants a service can have.
 ORACLES["app_root_files"] = f"""WITH {CUSTOMERS}
-SELECT service, unnest(['app/schemas/events.py', 'app/services/client.py']) AS path FROM services"""
+SELECT service, unnest([config, 'app/schemas/events.py', 'app/api/endpoints/orders.py', 'app/api/api.py',
+  'app/main.py', 'app/extra/__init__.py', 'app/api/_private.py', 'app/services/publisher.py',
+  'app/services/client.py', 'app/api/use.py',
+  CASE WHEN k % 6 = 0 THEN 'app/extra.py' ELSE 'scripts/extra.py' END]) AS path FROM services"""
 ORACLES["py_node_counts"] = f"""WITH {CUSTOMERS}, variants AS (
   SELECT service, (k % 7 = 0)::INT AS loop, (k % 6 = 0)::INT AS shadow, (k % 11 = 0)::INT AS broken,
     (k % 5 = 1)::INT AS unmounted FROM services),
@@ -285,6 +288,11 @@ service, k, 'app.main', 'FastAPI', 'fastapi.FastAPI', 'router' FROM services
 service, k, 'app.main', 'api_router', 'app.api.api', 'api_router' FROM services
 service, k, 'app.main', 'settings', 'app.core.config.settings', 'router' FROM services
 service, k, 'app.extra', 'APIRouter', 'fastapi.APIRouter', 'router' FROM services
+service, k, 'app.schemas.events', 'BaseModel', 'pydantic.BaseModel', 'router' FROM services
+service, k, 'app.services.publisher', 'settings', 'app.core.config.settings', 'router' FROM services
+service, k, 'app.services.publisher', 'OrderPlaced', 'app.schemas.events.OrderPlaced', 'router' FROM services
+service, k, 'app.services.client', 'settings', 'app.core.config.settings', 'router' FROM services
+service, k, 'app.api.use', 'orders_client', 'app.services.client.orders_client', 'router' FROM services
 ''')}
   UNION ALL SELECT service, k, 'app.api.endpoints.orders', 'api_router', 'app.api.api', 'api_router' FROM services WHERE k % 7 = 0
   UNION ALL SELECT service, k, CASE WHEN k % 3 = 0 THEN 'app.config' ELSE 'app.core.config' END, 'BaseSettings', 'pydantic.BaseSettings', 'router' FROM services WHERE k % 11 != 0)

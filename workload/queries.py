@@ -222,9 +222,9 @@ def fe_consumers_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- back end
 
 
-def _nodes(spark, sf_dir, *parts):
+def _nodes(spark, sf_dir):
     return stage(
-        py_nodes(files.python_files(inputs.python_files(spark, sf_dir, *parts))), "py-nodes", "kind"
+        py_nodes(files.python_files(inputs.python_files(spark, sf_dir))), "py-nodes", "kind"
     )
 
 
@@ -257,26 +257,23 @@ def py_node_counts(spark, sf_dir):
 
 @query
 def py_settings_class(spark, sf_dir):
-    return settings.publisher_settings(_nodes(spark, sf_dir, "config"))
+    return settings.publisher_settings(_nodes(spark, sf_dir))
 
 
 @query
 def py_settings_any(spark, sf_dir):
-    existing = inputs.python_files(spark, sf_dir, "config").select("service", "path")
-    return settings.route_settings(_nodes(spark, sf_dir, "config"), existing)
+    existing = inputs.python_files(spark, sf_dir).select("service", "path")
+    return settings.route_settings(_nodes(spark, sf_dir), existing)
 
 
 @query
 def py_event_schemas(spark, sf_dir):
-    return schemas.event_schemas(_nodes(spark, sf_dir, "events")).drop("ord")
-
-
-_ROUTE_PARTS = ("config", "orders", "api", "main", "package", "private", "shadow")
+    return schemas.event_schemas(_nodes(spark, sf_dir)).drop("ord")
 
 
 def _route_inputs(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, *_ROUTE_PARTS)
-    existing = inputs.python_files(spark, sf_dir, "config").select("service", "path")
+    nodes = _nodes(spark, sf_dir)
+    existing = inputs.python_files(spark, sf_dir).select("service", "path")
     return routes.route_nodes(nodes), settings.route_settings(nodes, existing)
 
 
@@ -303,8 +300,8 @@ def py_decorators(spark, sf_dir):
 
 
 def _providers(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, *_ROUTE_PARTS)
-    existing = inputs.python_files(spark, sf_dir, "config").select("service", "path")
+    nodes = _nodes(spark, sf_dir)
+    existing = inputs.python_files(spark, sf_dir).select("service", "path")
     return routes.http_providers(nodes, settings.route_settings(nodes, existing))
 
 
@@ -318,9 +315,6 @@ def subscribers_from_routes(spark, sf_dir):
     return subscribers.topics_subscribed(_providers(spark, sf_dir)).drop("ord")
 
 
-_PUBLISHER_PARTS = ("config", "events", "publisher")
-
-
 def _topics(nodes):
     return publishers.resolve_topics(
         publishers.publish_sites(nodes), settings.publisher_settings(nodes)
@@ -329,25 +323,25 @@ def _topics(nodes):
 
 @query
 def publish_sites(spark, sf_dir):
-    sites = publishers.publish_sites(_nodes(spark, sf_dir, "publisher"))
+    sites = publishers.publish_sites(_nodes(spark, sf_dir))
     return sites.select("service", "path", "function", "line", F.col("topic.kind").alias("topic_kind"))
 
 
 @query
 def publish_warnings(spark, sf_dir):
-    topics = _topics(_nodes(spark, sf_dir, *_PUBLISHER_PARTS))
+    topics = _topics(_nodes(spark, sf_dir))
     return publishers.topic_warnings(topics).drop("ord")
 
 
 @query
 def publish_schema(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, *_PUBLISHER_PARTS)
+    nodes = _nodes(spark, sf_dir)
     made = publishers.function_schemas(nodes, schemas.event_schemas(nodes))
     return publishers.topics_published(_topics(nodes), made).drop("ord")
 
 
-def _client_inputs(spark, sf_dir, *parts):
-    nodes = _nodes(spark, sf_dir, "client", *parts)
+def _client_inputs(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
     return nodes, clients.client_nodes(nodes), extract.env_side(inputs.env_dim(spark), "backend")
 
 
@@ -382,7 +376,7 @@ def client_wrapper_calls(spark, sf_dir):
 
 @query
 def client_singleton_calls(spark, sf_dir):
-    nodes, own, env = _client_inputs(spark, sf_dir, "use")
+    nodes, own, env = _client_inputs(spark, sf_dir)
     known = clients.singletons(own, clients.class_targets(own, env))
     calls = clients.singleton_calls(nodes, known, clients.proxy_methods(own), env)
     return clients.split_methods(calls)[0].drop("ord", "norm_path")
