@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their tokens: ``n_tokens`` and packed ``ids``."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = pair_index_bpe.tokenize(docs, path)
+    found = pair_index_bpe.tokenize(docs, path, keep=["doc_id", "lang", "source"])
     return found.select("doc_id", "lang", "source", "tokens.n_tokens", "tokens.ids")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from seamline.llm import textbuf
 
@@ -52,20 +53,30 @@ def text_column(make: Callable[[pa.Array], dict], columns: str, kind: str = "str
     return lambda column: whole(column.cast(kind))
 
 
-def with_struct(df: DataFrame, text: str, make: Callable[[pa.Array], dict], columns: str, into: str) -> DataFrame:
+def with_struct(
+    df: DataFrame, text: str, make: Callable[[pa.Array], dict], columns: str, into: str,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """``df`` with a struct column ``into``, replacing one of that name.
 
     Like ``text_column``, but the results leave the task a few MB at a time, for results
-    about as large as the texts.
+    about as large as the texts.  ``keep`` names the columns of ``df`` to keep, all if
+    not given; only these and the texts reach the workers, and each only once.
     """
-    names = [c for c in df.columns if c != into]
-    chosen = df.select(F.col(_quoted(text)).cast("string").alias("text"), *(F.col(_quoted(c)) for c in names))
-    chosen = chosen.toDF("text", *(f"c{k}" for k in range(len(names))))
+    names = [c for c in (df.columns if keep is None else keep) if c != into]
+    plain = text in df.columns and df.schema[text].dataType == StringType()
+    others = [c for c in names if not (plain and c == text)]
+    chosen = df.select(F.col(_quoted(text)).cast("string").alias("text"), *(F.col(_quoted(c)) for c in others))
+    chosen = chosen.toDF("text", *(f"sent{k}" for k in range(len(others))))
+    places = [1 + others.index(c) if c in others else 0 for c in names]
     made = _parse_datatype_string(columns)
     arrow = to_arrow_schema(made)
-    schema = StructType([*chosen.schema.fields[1:], StructField("made", made)])
+    kept = [StructField(f"c{k}", chosen.schema[place].dataType) for k, place in enumerate(places)]
+    schema = StructType([*kept, StructField("made", made)])
 
     def run(batches):
+        gc.collect()  # what earlier stages have left in this worker
+        textbuf.release()
         for batch in batches:
             for piece in textbuf.slices(batch, "text"):
                 found = make(piece.column(0))
@@ -74,7 +85,7 @@ def with_struct(df: DataFrame, text: str, make: Callable[[pa.Array], dict], colu
                     for f in arrow
                 ]
                 struct = pa.StructArray.from_arrays(arrays, fields=list(arrow))
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], struct], names=[*piece.schema.names[1:], "made"])
+                yield pa.RecordBatch.from_arrays([*map(piece.column, places), struct], names=schema.names)
 
     return chosen.mapInArrow(run, schema).toDF(*names, into)
 

@@ -272,14 +272,15 @@ def id_array(ids: Column) -> Column:
 
 
 def tokenize(
-    df: DataFrame, path: str, text_col: str = "text", into: str = "tokens", decoded: bool = False
+    df: DataFrame, path: str, text_col: str = "text", into: str = "tokens", decoded: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with its texts' tokens in ``into``: ``struct<n_tokens long, ids binary>``.
 
     Ids are packed as little-endian 32-bit integers.  With ``decoded`` the struct also
     has ``decoded``, the text that the ids decode to.  A null text encodes like an empty
     one, to no ids.  ``into`` replaces a column of that name; all other columns stay,
-    whatever their names.  Repeated rows are encoded alike; an empty table gives an empty
+    whatever their names, or those that ``keep`` lists.  Repeated rows are encoded alike; an empty table gives an empty
     result.
     """
     data = Path(path).read_bytes()
@@ -290,4 +291,4 @@ def tokenize(
         made = {"n_tokens": np.array([len(i) // 4 for i in ids], np.int64), "ids": pa.array(ids, pa.binary())}
         return made | ({"decoded": [of.decode(i) for i in ids]} if decoded else {})
 
-    return with_struct(df, text_col, make, "n_tokens long, ids binary" + ", decoded string" * decoded, into)
+    return with_struct(df, text_col, make, "n_tokens long, ids binary" + ", decoded string" * decoded, into, keep)

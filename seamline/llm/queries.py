@@ -37,8 +37,8 @@ def op2_hmm_lm(spark, sf_dir):
 @query
 def op3_pair_index_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = documents(spark, sf_dir).select("doc_id", "text")
-    return pair_index_bpe.tokenize(rows, path, decoded=True).select(
+    found = pair_index_bpe.tokenize(documents(spark, sf_dir), path, decoded=True, keep=["doc_id"])
+    return found.select(
         "doc_id", "tokens.n_tokens", F.sha2("tokens.ids", 256).alias("ids_sha256"),
         F.sha2(F.col("tokens.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

@@ -143,6 +143,8 @@ def _units(buckets: int):
                     tokens, docs = tokens + len(keys), docs + len(sizes)
         if held:
             yield _unit(unit, held, buckets)
+        held = []
+        textbuf.release()
 
     return run
 

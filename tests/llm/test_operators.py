@@ -499,3 +499,15 @@ def test_policies_read_the_bits(awkward, clashing):
         }
     profile = quality_rules.rule_profile(ledger, "doc_id")
     assert profile.count() == len({r.doc_id for r in rows})
+
+
+def test_tokenize_keeps_the_columns_asked_for(awkward, clashing):
+    whole = plain(pair_index_bpe.tokenize(awkward, BYTES), "doc_id", "text", "tokens")
+    some = pair_index_bpe.tokenize(clashing, BYTES, keep=["text", "doc_id", "bucket"])
+    assert some.columns == ["text", "doc_id", "bucket", "tokens"]
+    assert plain(some, "doc_id", "text", "tokens") == whole
+    assert {r.bucket for r in some.select("bucket").collect()} == {"extra"}
+    bare = pair_index_bpe.tokenize(clashing, BYTES, keep=[])
+    assert bare.columns == ["tokens"] and sorted(map(repr, bare.collect())) == sorted(
+        repr(r) for r in pair_index_bpe.tokenize(awkward, BYTES).select("tokens").collect()
+    )
