@@ -17,7 +17,7 @@ from seamline.plans.staging import stage
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.keep(docs, "v2")
+    return quality_rules.keep(docs, "v3")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

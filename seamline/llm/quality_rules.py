@@ -31,12 +31,16 @@ RULES = (
     ("symbols", "n_symbols > n_words"),
     ("repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
     ("many_words", "n_words > 1000000"),
+    ("some_symbols", "10 * n_symbols > n_words"),
+    ("short_mean_word", "2 * word_chars < 5 * n_words"),
+    ("some_repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines"),
 )
 BASE = ("few_words", "repeated_windows")
 POLICIES = {
     "base": BASE,
     "v1": BASE + ("long_words", "short_words", "symbols"),
     "v2": BASE + ("long_words", "short_words", "symbols", "repeated_lines"),
+    "v3": BASE + ("long_words", "some_symbols", "short_mean_word", "some_repeated_lines"),
 }
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True

@@ -501,6 +501,20 @@ def test_policies_read_the_bits(awkward, clashing):
     assert profile.count() == len({r.doc_id for r in rows})
 
 
+def test_the_latest_policy_rejects_junk_and_keeps_labelled_good_documents(spark):
+    menu = " | ".join(f"item{n}" for n in range(20))
+    lines = "\n".join(f"w{n} x{n} y{n} z{n}\nend" for n in range(6))
+    short = " ".join(chr(97 + n) + chr(97 + k) for n in range(6) for k in range(6))
+    good = " ".join(f"word{n}" for n in range(40))
+    rows = spark.createDataFrame([(1, menu), (2, short), (3, lines), (4, good)], "doc_id LONG, text STRING")
+    assert {r.doc_id for r in quality_rules.keep(rows, "v2").collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in quality_rules.keep(rows, "v3").collect()} == {4}
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ledger = quality_rules.ledger(docs).join(labels.filter("quality = 1"), "doc_id")
+    v2, v3 = (quality_rules.apply_policy(ledger, p).filter("kept").count() for p in ("v2", "v3"))
+    assert v2 == v3 > 0
+
+
 def test_tokenize_keeps_the_columns_asked_for(awkward, clashing):
     whole = plain(pair_index_bpe.tokenize(awkward, BYTES), "doc_id", "text", "tokens")
     some = pair_index_bpe.tokenize(clashing, BYTES, keep=["text", "doc_id", "bucket"])
