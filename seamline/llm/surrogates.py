@@ -3,8 +3,10 @@
 An entity found in a text is replaced by one made with a keyed hash of its value: the
 same value gives the same surrogate in every text, in every spelling, and another value
 gives another.  Digits become digits, letters become letters of the same script and case;
-a card number keeps its check digit right, an address its ranges, a name the gender of
-its title and its script.
+a card number keeps its check digit right, an address its ranges.  Each word of a name is
+a value of its own, so that people of one surname share its surrogate and differ in their
+first names; first names keep the gender of their title, all words their script, and an
+initial is the one of the names that it stands for.
 
 Distinct values with equal surrogates, and surrogates that are real values of the corpus,
 are found by grouping the table of distinct values; the values that lose are given
@@ -17,6 +19,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +45,8 @@ ENDINGS = {
     "cyrillic": {"male": ("н", "р", "й"), "female": ("я", "на", "ия"), "any": ("ль",)},
     "greek": {"male": ("ς", "ος"), "female": ("α", "η"), "any": ("ω",)},
 }
+# Letters that initials are exchanged among, and words of a name that stay as they are.
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _TITLES = "|".join(sorted(map(re.escape, MALE + FEMALE + NEUTRAL), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]+"
 KINDS = {
@@ -51,6 +58,7 @@ KINDS = {
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{2,4}\)|\d{3}(?=[ .-]))(?:[ .-]?\d{2,4}){2,4}(?![\w])",
     "name": rf"(?<!\w)(?:{_TITLES})\.? (?P<name>{_NAME}(?: {_NAME})?)",
 }
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _ANY = re.compile("|".join(f"(?P<{kind}_>{pattern.replace('(?P<name>', '(?P<person>').replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, pattern in KINDS.items()))
 _HINT = re.compile(rf"[0-9@]|(?:{_TITLES})|[a-fA-F]{{32}}")
 
@@ -73,7 +81,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of every entity of a text, from left to right.
 
     The value is what stays the same in other spellings: digits of a number, an address
-    in lower case, a name's last word with its script and gender.
+    in lower case, a name's words with the gender of its title (see ``values``).
     """
     if not _HINT.search(text):
         return []
@@ -88,7 +96,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if len(words) == 2 and not words[1][0].isupper():
                 words, end = words[:1], start + len(words[0])
-            value = f"{_gender(m.group()[: m.start('person') - m.start()])}|{_script(words[-1])}|{words[-1].casefold()}"
+            value = f"{_gender(m.group()[: m.start('person') - m.start()])}|{' '.join(words)}"
         elif kind in ("card", "phone", "ssn"):
             value = re.sub(r"\D", "", m.group())
             if not 7 <= len(value) <= 19 or (kind == "phone" and len(value) > 15):
@@ -99,6 +107,30 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def _words(spelled: str, gender: str) -> list[tuple[int, int, str]]:
+    """Start, end and value of every word of a name: gender, script and the word.
+
+    The last word, the surname, is the same for every title; in scripts whose surnames
+    have a gender it has the title's.
+    """
+    spans = [m.span() for m in _WORD.finditer(spelled)]
+    last = max(spelled.rfind(c) for c in " \t\n\r\f\v\xa0") + 1
+    out = []
+    for start, end in spans:
+        word = spelled[start:end].casefold().replace("’", "'")
+        script = _script(word)
+        out.append((start, end, f"{'any' if start >= last and script == 'latin' else gender}|{script}|{word}"))
+    return out
+
+
+def values(kind: str, value: str) -> list[str]:
+    """The values of an entity that have a surrogate each: of a name every word, apart."""
+    if kind != "name":
+        return [value]
+    gender, spelled = value.split("|", 1)
+    return [v for *_, v in _words(spelled, gender) if len(v.rsplit("|", 1)[1]) > 1]
+
+
 class _Stream:
     """Numbers from a keyed hash."""
 
@@ -126,11 +158,11 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
     """The value that stands in for a value; a longer one if many attempts have failed."""
     draw = _Stream(key, kind, value, str(attempt))
     if kind == "name":
-        gender, script, _ = value.split("|", 2)
+        gender, script, word = value.split("|", 2)
         parts = SYLLABLES[script]
         ends = ENDINGS[script][gender]
         name = "".join(parts[draw.below(len(parts))] for _ in range(4 + attempt // 4)) + ends[draw.below(len(ends))]
-        return f"{gender}|{script}|{name}"
+        return _initial(word[0], script, key) + name[1:]  # so that an initial stands for the same name
     if kind == "ip":
         return ".".join(str(draw.below(256)) for _ in range(4))
     if kind == "card":
@@ -149,6 +181,19 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
     return "".join(str(draw.below(10)) for _ in value)
 
 
+@lru_cache(4096)
+def _initial(letter: str, script: str, key: str) -> str:
+    """Another letter for a letter, no two alike."""
+    letters = list(ALPHABETS[script])
+    draw = _Stream(key, "initial", script)
+    for n in range(len(letters) - 1, 0, -1):
+        k = draw.below(n + 1)
+        letters[n], letters[k] = letters[k], letters[n]
+    plain = unicodedata.normalize("NFKD", letter)[0]
+    at = ALPHABETS[script].find(plain)
+    return letters[at if at >= 0 else ord(plain) % len(letters)]
+
+
 def _letters(text: str, draw: _Stream) -> str:
     """Letters for letters and digits for digits; the rest stays."""
     return "".join(
@@ -156,22 +201,27 @@ def _letters(text: str, draw: _Stream) -> str:
     )
 
 
-def render(kind: str, spelled: str, stands: str) -> str:
-    """A surrogate in the spelling of the entity it replaces."""
+def render(kind: str, spelled: str, value: str, stands_for: Callable[[str, str], str], key: str) -> str:
+    """An entity's surrogate in its spelling; ``stands_for`` gives that of a kind and value."""
+    if kind == "name":
+        parts, at = [], 0
+        for start, end, word in _words(spelled, value.split("|", 1)[0]):
+            _, script, plain = word.split("|", 2)
+            made = stands_for(kind, word) if len(plain) > 1 else _initial(plain, script, key)
+            real = spelled[start:end]
+            whole = real.isupper() and (len(real) > 1 or len(made) == 1)
+            parts += [spelled[at:start], made.upper() if whole else made.capitalize() if real[0].isupper() else made]
+            at = end
+        return "".join([*parts, spelled[at:]])
+    stands = stands_for(kind, value)
     if kind in ("card", "phone", "ssn"):
         digits = iter(stands)
         return re.sub(r"\d", lambda _: next(digits), spelled)
-    if kind == "name":
-        last = stands.split("|", 2)[2]
-        words = spelled.split(" ")
-        # A first name is made from the same surrogate, so that both stay together.
-        made = [last[::-1] if n < len(words) - 1 else last for n in range(len(words))]
-        return " ".join(m.upper() if w.isupper() else m.capitalize() for m, w in zip(made, words))
     return stands.upper() if spelled.isupper() else stands
 
 
 def _entities(texts: pa.Array) -> dict:
-    return {"entities": [[{"kind": k, "value": v} for _, _, k, v in find(t or "")] for t in texts.to_pylist()]}
+    return {"entities": [[{"kind": k, "value": v} for _, _, k, e in find(t or "") for v in values(k, e)] for t in texts.to_pylist()]}
 
 
 def mapping(entities: DataFrame, key: str) -> DataFrame:
@@ -179,7 +229,8 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
 
     In each round the values whose surrogate another has, or that is a real value, try
     again; of several values with one surrogate the one settled first keeps it, then the
-    least.
+    least.  A word of a name whose title tells no gender has the surrogate it has under a
+    title that does, if there is one.
     """
 
     def make(attempt_of):
@@ -190,19 +241,30 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
 
         return attempt_of.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, stands string")
 
-    values = stage(entities.select("kind", "value").distinct(), "surrogate-values")
-    settled = stage(make(values.withColumn("attempt", F.lit(0))), "surrogates")
+    every = stage(entities.select("kind", "value").distinct(), "surrogate-values")
+    word = F.regexp_replace("value", r"^\w+\|", "")
+    name, open_ = F.col("kind") == "name", F.col("value").startswith("any|")
+    told = every.filter(name & ~open_).groupBy(word.alias("word")).agg(F.max("value").alias("as"))
+    alike = every.filter(name & open_).select("kind", "value", word.alias("word")).join(told, "word")
+    alike = stage(alike.select("kind", "value", "as"), "surrogate-alike")
+    taken = every.join(alike, ["kind", "value"], "left_anti")
+    settled = stage(make(taken.withColumn("attempt", F.lit(0))), "surrogates")
+    spelled = F.when(name, F.substring_index("value", "|", -1)).otherwise(F.col("value"))
+    real = every.select("kind", spelled.alias("stands"), F.lit(True).alias("real")).distinct()
     while True:
         first = settled.groupBy("kind", "stands").agg(F.min(F.struct("attempt", "value")).alias("first"))
-        real = values.select("kind", F.col("value").alias("stands"), F.lit(True).alias("real"))
         judged = settled.join(first, ["kind", "stands"]).join(real, ["kind", "stands"], "left")
         lost = (F.col("first.value") != F.col("value")) | F.coalesce("real", F.lit(False))
         judged = stage(judged.select("kind", "value", "attempt", "stands", lost.alias("lost")), "surrogates-judged")
         again = judged.filter("lost")
         if again.isEmpty():
-            return judged.drop("lost")
+            break
         fresh = make(again.withColumn("attempt", F.col("attempt") + 1))
         settled = stage(judged.filter("NOT lost").drop("lost").union(fresh), "surrogates")
+    settled = judged.drop("lost")
+    given = settled.select("kind", F.col("value").alias("as"), "attempt", "stands")
+    joined = alike.join(given, ["kind", "as"]).select("kind", "value", F.greatest("attempt", F.lit(1)).alias("attempt"), "stands")
+    return settled.union(joined)
 
 
 def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,8 +299,8 @@ def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "te
             other = {(k, v): s for k, v, s in json.loads(again or "[]")}
             parts, at, found = [], 0, find(text)
             for start, end, kind, value in found:
-                stands = other.get((kind, value)) or surrogate(kind, value, 0, key)
-                parts += [text[at:start], render(kind, text[start:end], stands)]
+                stands_for = lambda k, v: other.get((k, v)) or surrogate(k, v, 0, key)
+                parts += [text[at:start], render(kind, text[start:end], value, stands_for, key)]
                 at = end
             out["text"].append("".join([*parts, text[at:]]))
             out["n_entities"].append(len(found))

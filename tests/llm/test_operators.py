@@ -227,6 +227,15 @@ def test_surrogates_keep_kind_format_and_identity(spark):
     assert any("Ѐ" <= c <= "ӿ" for c in by_id[None].text.split("Господин ")[1])
 
 
+def test_people_of_one_surname_differ_and_titles_do_not(spark):
+    rows = [(1, "Mr John Smith"), (2, "Mr Adam Smith"), (3, "Dr John Smith"), (4, "Dr Smith"), (5, "Mr Smith"), (6, "Mrs Ann Smith")]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = {r.doc_id: r.text.split(" ")[1:] for r in surrogates.replace(df, key="k").collect()}
+    assert found[1] != found[2] and found[1][1] == found[2][1] == found[4][0] == found[5][0] == found[6][1]
+    assert found[1] == found[3] and len({found[n][0] for n in (1, 2, 6)}) == 3
+    assert not {w for words in found.values() for w in words} & {"John", "Adam", "Ann", "Smith"}
+
+
 def test_colliding_surrogates_try_again(spark, monkeypatch):
     values = [("ssn", f"{n:09d}") for n in range(60)] + [("ip", "1.2.3.4")]
 
