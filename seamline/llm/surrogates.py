@@ -47,8 +47,13 @@ ENDINGS = {
 }
 # Letters that initials are exchanged among, and words of a name that stay as they are.
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
-_TITLES = "|".join(sorted(map(re.escape, MALE + FEMALE + NEUTRAL), key=len, reverse=True))
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
+PARTICLES = tuple("van von der den de del della di da dos das do du la le las los el al bin ben ibn ter ten zu zur zum y e af av".split())
+_TITLES = "|".join(sorted({re.escape(t) for title in MALE + FEMALE + NEUTRAL for t in (title, title.upper())}, key=len, reverse=True))
+_PART = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
+_GAP = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"  # one line break at most
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)})\b{_GAP}|d['’])"
+# A word needs a capital, which find() looks at: re has no class for it.
+_NAME = rf"{_SMALL}*{_PART}\.?(?:[-‐‑]{_PART}\.?)*"
 KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w])",
@@ -56,10 +61,13 @@ KINDS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w])",
     "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{2,4}\)|\d{3}(?=[ .-]))(?:[ .-]?\d{2,4}){2,4}(?![\w])",
-    "name": rf"(?<!\w)(?:{_TITLES})\.? (?P<name>{_NAME}(?: {_NAME})?)",
+    "name": rf"(?<!\w)(?P<title>(?:{_TITLES})(?:\.\s*|\s+)(?:(?:Dr|DR|Prof|PROF)(?:\.\s*|\s+))*)(?={_NAME})",
 }
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_ANY = re.compile("|".join(f"(?P<{kind}_>{pattern.replace('(?P<name>', '(?P<person>').replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, pattern in KINDS.items()))
+_WORD = re.compile(_PART)
+_ONE = re.compile(f"(?P<small>{_SMALL}*)(?P<rest>{_NAME[len(_SMALL) + 1:]})")
+_BETWEEN = re.compile(_GAP)
+_STOPS = re.compile(rf"(?!Don\b|DON\b)(?:{_TITLES})\b")
+_ANY = re.compile("|".join(f"(?P<{kind}_>{pattern.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, pattern in KINDS.items()))
 _HINT = re.compile(rf"[0-9@]|(?:{_TITLES})|[a-fA-F]{{32}}")
 
 
@@ -73,10 +81,23 @@ def _script(name: str) -> str:
 
 
 def _gender(title: str) -> str:
-    word = title.rstrip(". ")
+    word = re.match(r"\w+", title)[0].title()
     return "male" if word in MALE else "female" if word in FEMALE else "any"
 
 
+def _name_end(text: str, start: int) -> int:
+    """Where the name that begins at ``start`` ends; ``start`` if none does."""
+    end = at = start
+    while (one := _ONE.match(text, at)) and one["rest"][0].isupper() and not _STOPS.match(one["rest"]):
+        end = one.end()
+        if one["rest"].endswith(".") and not re.fullmatch(r"(?:\w\.[-‐‑]?)+", one["rest"]):
+            return end - 1  # the end of a sentence
+        if not (gap := _BETWEEN.match(text, end)):
+            break
+        at = gap.end()
+    return end
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of every entity of a text, from left to right.
 
@@ -85,18 +106,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """
     if not _HINT.search(text):
         return []
-    found = []
-    for m in _ANY.finditer(text):
+    found, at = [], 0
+    while m := _ANY.search(text, at):
+        at = m.end()
         kind = m.lastgroup[:-1] if m.lastgroup.endswith("_") else next(k for k in KINDS if m[f"{k}_"])
         start, end = m.span()
         if kind == "name":
-            start, end = m.span("person")
-            words = m["person"].split(" ")
-            if not words[0][0].isupper():
+            start, end = m.end(), _name_end(text, m.end())
+            if start == end:
+                at = end
                 continue
-            if len(words) == 2 and not words[1][0].isupper():
-                words, end = words[:1], start + len(words[0])
-            value = f"{_gender(m.group()[: m.start('person') - m.start()])}|{' '.join(words)}"
+            at = end
+            value = f"{_gender(m['title'])}|{text[start:end]}"
         elif kind in ("card", "phone", "ssn"):
             value = re.sub(r"\D", "", m.group())
             if not 7 <= len(value) <= 19 or (kind == "phone" and len(value) > 15):
@@ -104,22 +125,52 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         else:
             value = m.group().lower()
         found.append((start, end, kind, value))
-    return found
+    return _mentioned(text, found)
+
+
+def _mentioned(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``found`` and the places, outside of them, where words of its names stand without a title."""
+    known: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind == "name":
+            gender, spelled = value.split("|", 1)
+            for *_, word in _words(spelled, gender):
+                plain = word.rsplit("|", 1)[1]
+                if len(plain) > 1 and (plain not in known or known[plain].startswith("any|")):
+                    known[plain] = word
+    if not known:
+        return found
+    out, at = [], 0
+    for start, end, kind, value in [*found, (len(text), len(text), "", "")]:
+        for m in _WORD.finditer(text, at, start):
+            spelled = re.sub(r"['’]s$", "", m.group())
+            word = known.get(spelled.casefold().replace("’", "'"))
+            if word and spelled[0].isupper():
+                out.append((m.start(), m.start() + len(spelled), "name", f"{word.split('|')[0]}!|{spelled}"))
+        at = end
+        if kind:
+            out.append((start, end, kind, value))
+    return out
 
 
 def _words(spelled: str, gender: str) -> list[tuple[int, int, str]]:
     """Start, end and value of every word of a name: gender, script and the word.
 
     The last word, the surname, is the same for every title; in scripts whose surnames
-    have a gender it has the title's.
+    have a gender it has the title's.  A gender with ``!`` holds for every word.
     """
-    spans = [m.span() for m in _WORD.finditer(spelled)]
+    spans = [m.span() for m in _WORD.finditer(spelled) if m.group() not in PARTICLES]
     last = max(spelled.rfind(c) for c in " \t\n\r\f\v\xa0") + 1
     out = []
     for start, end in spans:
+        if spelled[start:end][:2] in ("d'", "d’"):
+            start += 2
         word = spelled[start:end].casefold().replace("’", "'")
+        if word.endswith("'s"):
+            word, end = word[:-2], end - 2
         script = _script(word)
-        out.append((start, end, f"{'any' if start >= last and script == 'latin' else gender}|{script}|{word}"))
+        of = gender[:-1] if gender.endswith("!") else "any" if start >= last and script == "latin" else gender
+        out.append((start, end, f"{of}|{script}|{word}"))
     return out
 
 

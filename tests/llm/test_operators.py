@@ -236,6 +236,18 @@ def test_people_of_one_surname_differ_and_titles_do_not(spark):
     assert not {w for words in found.values() for w in words} & {"John", "Adam", "Ann", "Smith"}
 
 
+@pytest.mark.parametrize("text, names", [
+    ("MR JOHN SMITH, hi", {"JOHN", "SMITH"}), ("Mr. J. Smith wrote", {"J. Smith"}), ("Mr O'Brien", {"O'Brien"}),
+    ("Mr\nJohn Smith", {"John", "Smith"}), ("Mr  John Smith", {"John", "Smith"}), ("Mrs Smith-Jones", {"Smith", "Jones"}),
+    ("Mr John Paul Smith said", {"John", "Paul", "Smith"}), ("Herr Ludwig van der Berg", {"Ludwig", "Berg"}),
+    ("Mr John Smith came. Smith left, John's hat and Smith’s dog", {"John", "Smith"}),
+])
+def test_names_of_every_shape_are_replaced(spark, text, names):
+    out = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id LONG, text STRING"), key="k").first().text
+    assert not [n for n in names if n in out]
+    assert out.split()[0] == text.split()[0] and len(out.split()) == len(text.split())
+
+
 def test_colliding_surrogates_try_again(spark, monkeypatch):
     values = [("ssn", f"{n:09d}") for n in range(60)] + [("ip", "1.2.3.4")]
 
