@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable
@@ -54,21 +55,29 @@ _GAP = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"  # one line break at most
 _SMALL = rf"(?:(?:{'|'.join(PARTICLES)})\b{_GAP}|d['’])"
 # A word needs a capital, which find() looks at: re has no class for it.
 _NAME = rf"{_SMALL}*{_PART}\.?(?:[-‐‑]{_PART}\.?)*"
+_ADDRESS = r"\w\u0300-\u036f\u0900-\u0dff\u0e00-\u0eff"  # letters, digits and the marks that belong to them
+_LABEL = rf"[{_ADDRESS}-]+"
+KEY_PREFIX = r"(?:A[KS]IA|(?:sk|pk|rk)[-_](?:live_|test_|proj-|ant-)?|gh[pousr]_|github_pat_|glpat-|hf_|xox[abeoprs]-|AIza|eyJ)"
 KINDS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\w])",
+    "email": rf"(?<![{_ADDRESS}.+%'’&-])[{_ADDRESS}.+%'’&-]*[{_ADDRESS}+%&-]@{_LABEL}(?:[.。]{_LABEL})*[.。](?:xn--[A-Za-z0-9-]+|[A-Za-z]{{2,}}|(?:(?![A-Za-z0-9_])[{_ADDRESS}]){{2,}})",
+    "secret": rf"(?<![A-Za-z0-9])(?:(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?![A-Za-z0-9])|A[KS]IA[0-9A-Z]{{16,}}|{KEY_PREFIX}(?=[\w-]{{0,400}}\d)[\w-]{{16,}}(?:\.[\w-]+)*)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?:(?<=:)\d{1,3}(?:\.\d{1,3}){3})?(?![\w:]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w])",
-    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{2,4}\)|\d{3}(?=[ .-]))(?:[ .-]?\d{2,4}){2,4}(?![\w])",
+    "card": r"(?<![\w])\d{4}(?:(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|(?P<wide>[ -])\d{6}(?P=wide)\d{4,5})(?![\w])",
+    "phone": (
+        r"(?<![\w.+])(?:(?:(?:\+|00 ?)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})|\(\d{2,4}\)|\d{3}(?=[ .-]))(?:[ .-]?\d{2,4}){2,4}"
+        r"|0\d(?P<two>[ .-]?)\d{2}(?:(?P=two)\d{2}){3}|(?<!\d:)0\d{1,4}(?:[ /.-]\d{5,8}|(?P<same>[ /-])\d{3,4}(?P=same)\d{3,4})"
+        r"|\d{2}[ -]\d{3}[ -]\d{2}[ -]\d{2}|[01]?\d{10})(?![\w])"
+    ),
     "name": rf"(?<!\w)(?P<title>(?:{_TITLES})(?:\.\s*|\s+)(?:(?:Dr|DR|Prof|PROF)(?:\.\s*|\s+))*)(?={_NAME})",
 }
 _WORD = re.compile(_PART)
 _ONE = re.compile(f"(?P<small>{_SMALL}*)(?P<rest>{_NAME[len(_SMALL) + 1:]})")
 _BETWEEN = re.compile(_GAP)
 _STOPS = re.compile(rf"(?!Don\b|DON\b)(?:{_TITLES})\b")
-_ANY = re.compile("|".join(f"(?P<{kind}_>{pattern.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, pattern in KINDS.items()))
-_HINT = re.compile(rf"[0-9@]|(?:{_TITLES})|[a-fA-F]{{32}}")
+_ANY = re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in KINDS.items()))
+_HINT = re.compile(rf"[0-9@]|::|(?:{_TITLES})|[a-zA-Z]{{20}}|(?:[0-9A-Fa-f]+:){{3}}")
 
 
 def _script(name: str) -> str:
@@ -109,7 +118,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found, at = [], 0
     while m := _ANY.search(text, at):
         at = m.end()
-        kind = m.lastgroup[:-1] if m.lastgroup.endswith("_") else next(k for k in KINDS if m[f"{k}_"])
+        kind = next(k for k in KINDS if m[f"{k}_"])
         start, end = m.span()
         if kind == "name":
             start, end = m.end(), _name_end(text, m.end())
@@ -122,6 +131,19 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             value = re.sub(r"\D", "", m.group())
             if not 7 <= len(value) <= 19 or (kind == "phone" and len(value) > 15):
                 continue
+        elif kind == "ip6":
+            try:
+                kind, value = "ip", ipaddress.IPv6Address(m.group()).compressed
+            except ValueError:
+                at = m.start() + m.group().find(":") + 1  # a time, or the like
+                continue
+            if not re.search("[0-9a-f]", value):
+                continue
+        elif kind == "secret" and not re.fullmatch("[0-9a-f]+|[0-9A-F]+", m.group()):
+            value = m.group()  # a key's case counts
+        elif kind == "email":
+            start += re.match(r"[.+%'’&-]*", m.group()).end()
+            value = text[start:end].lower()
         else:
             value = m.group().lower()
         found.append((start, end, kind, value))
@@ -214,6 +236,8 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
         ends = ENDINGS[script][gender]
         name = "".join(parts[draw.below(len(parts))] for _ in range(4 + attempt // 4)) + ends[draw.below(len(ends))]
         return _initial(word[0], script, key) + name[1:]  # so that an initial stands for the same name
+    if kind == "ip" and ":" in value:
+        return "2001:" + ":".join(f"{draw.below(0xFFFF) + 1:x}" for _ in range(7))
     if kind == "ip":
         return ".".join(str(draw.below(256)) for _ in range(4))
     if kind == "card":
@@ -222,11 +246,15 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
         return digits + (_check_digit(digits) if right else str(draw.below(10)))
     if kind == "email":
         local, domain = value.split("@")
-        name, _, end = domain.rpartition(".")
-        return f"{_letters(local, draw)}@{_letters(name, draw)}.{end}"
+        name, _, end = domain.replace("。", ".").rpartition(".")
+        more = "".join(chr(97 + draw.below(26)) for _ in range(attempt // 4))
+        return f"{_letters(local, draw)}{more}@{_letters(name, draw)}.{end}"
     if kind == "phone":
-        keep = max(0, len(value) - 10)  # the country stays
+        keep = max(0, len(value) - 10) or int(value[0] == "0")  # the country stays, or the 0 before an area
         return value[:keep] + "".join(str(draw.below(10)) for _ in value[keep:])
+    if kind == "secret" and not re.fullmatch("[0-9a-f]+", value):
+        kept = re.match(KEY_PREFIX, value).end()
+        return value[:kept] + _letters(value[kept:], draw)
     if kind == "secret":
         return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
     return "".join(str(draw.below(10)) for _ in value)
@@ -246,9 +274,10 @@ def _initial(letter: str, script: str, key: str) -> str:
 
 
 def _letters(text: str, draw: _Stream) -> str:
-    """Letters for letters and digits for digits; the rest stays."""
+    """Letters for letters, in their case, and digits for digits; other ASCII stays."""
     return "".join(
-        str(draw.below(10)) if c.isdigit() else chr(97 + draw.below(26)) if c.isalpha() else c for c in text
+        str(draw.below(10)) if c.isdigit() else c if c.isascii() and not c.isalpha() else chr((65 if c.isupper() else 97) + draw.below(26))
+        for c in text
     )
 
 
@@ -268,7 +297,7 @@ def render(kind: str, spelled: str, value: str, stands_for: Callable[[str, str],
     if kind in ("card", "phone", "ssn"):
         digits = iter(stands)
         return re.sub(r"\d", lambda _: next(digits), spelled)
-    return stands.upper() if spelled.isupper() else stands
+    return stands.upper() if spelled.isupper() and value.islower() else stands
 
 
 def _entities(texts: pa.Array) -> dict:
