@@ -10,8 +10,8 @@ words and by its root.  It is fitted, and the discount chosen among
 ``DISCOUNTS``, on labelled rows that the models have not seen.
 
 The models are fitted on a bounded sample: of each class the ``sample`` labelled rows
-with the smallest hash.  N-grams seen at least twice, and at least once in
-``MOST_NGRAMS`` words of the sample, are sent to all tasks; so at most that many are.
+with the smallest hash.  N-grams seen at least ``LEAST_SEEN`` times are sent to all tasks,
+at every size of the sample; only the sample bounds how many these are.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from seamline.llm.frames import _quoted, text_column
 from seamline.plans.staging import stage
 
 SAMPLE = 12000
-MOST_NGRAMS = 1 << 21
+LEAST_SEEN = 2
 DISCOUNTS = (0.75, 3, 6)  # of the smaller class
 SURPLUS = 2.0  # the log-ratio of a word beyond which it speaks for toxicity by itself
 FIT_FIFTHS = 4  # of five parts of the sample; the rest sets the logistic function
@@ -106,7 +106,7 @@ class Models:
         totals = by_word.agg(F.count("*"), F.sum("contexts"), *(taken(s, d) for s, _, d in every)).first()
         n_words, n_pairs, *masses = (float(v or 0) for v in totals)
 
-        known = F.col("ordinary") + F.col("toxic") >= max(2, -(-int(tokens.sum()) // MOST_NGRAMS))
+        known = F.col("ordinary") + F.col("toxic") >= LEAST_SEEN
         words = by_word.filter(known).join(by_context, "word", "left").fillna(0).toArrow()
         words = words.take(pa.array(np.argsort(_column(words, "word", _U))))
         pairs = bigrams.filter(known).select("context", "word", *sides).toArrow()

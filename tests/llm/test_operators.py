@@ -363,6 +363,14 @@ def test_toxicity_learns_and_scores_everything(spark, awkward, clashing, empty):
     assert toxicity.score(empty, table).count() == 0
 
 
+def test_a_rare_expression_stays_known_in_a_large_sample(spark):
+    rows = [(n, 7, 100_000, 0) for n in range(60)] + [(100, 200, 1, 1), (100, 300, 0, 1)]
+    bigrams = spark.createDataFrame(rows, "context LONG, word LONG, ordinary LONG, toxic LONG").repartition(2)
+    for models in toxicity.Models.fit(bigrams):
+        assert 200 in models.words and toxicity._bigram(np.array([100], np.uint64), np.array([200], np.uint64))[0] in models.bigrams
+        assert 300 not in models.words
+
+
 # ------------------------------------------------------------ 7 exact copies
 
 
