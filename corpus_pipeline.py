@@ -36,10 +36,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their tokens: ``n_tokens`` and packed ``ids``."""
+    """Documents with their tokens, ``n_tokens`` and packed ``ids``, and whether these decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = pair_index_bpe.tokenize(docs, path, keep=["doc_id", "lang", "source"])
-    return found.select("doc_id", "lang", "source", "tokens.n_tokens", "tokens.ids")
+    found = pair_index_bpe.tokenize(docs, path, keep=["doc_id", "lang", "source"], checked=True)
+    return found.select("doc_id", "lang", "source", "tokens.n_tokens", "tokens.ids", "tokens.round_trip")
 
 
 STAGES = [

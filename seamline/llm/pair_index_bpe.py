@@ -273,12 +273,13 @@ def id_array(ids: Column) -> Column:
 
 def tokenize(
     df: DataFrame, path: str, text_col: str = "text", into: str = "tokens", decoded: bool = False,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, checked: bool = False,
 ) -> DataFrame:
     """``df`` with its texts' tokens in ``into``: ``struct<n_tokens long, ids binary>``.
 
     Ids are packed as little-endian 32-bit integers.  With ``decoded`` the struct also
-    has ``decoded``, the text that the ids decode to.  A null text encodes like an empty
+    has ``decoded``, the text that the ids decode to; with ``checked`` it has ``round_trip``,
+    whether that is the text, found in the task.  A null text encodes like an empty
     one, to no ids.  ``into`` replaces a column of that name; all other columns stay,
     whatever their names, or those that ``keep`` lists.  Repeated rows are encoded alike; an empty table gives an empty
     result.
@@ -287,8 +288,11 @@ def tokenize(
 
     def make(texts: pa.Array) -> dict:
         of = tokenizer(data)
-        ids = of.encode([t or "" for t in texts.to_pylist()])
+        plain = [t or "" for t in texts.to_pylist()]
+        ids = of.encode(plain)
         made = {"n_tokens": np.array([len(i) // 4 for i in ids], np.int64), "ids": pa.array(ids, pa.binary())}
+        if checked:
+            made["round_trip"] = [of.decode(i) == t for i, t in zip(ids, plain)]
         return made | ({"decoded": [of.decode(i) for i in ids]} if decoded else {})
 
-    return with_struct(df, text_col, make, "n_tokens long, ids binary" + ", decoded string" * decoded, into, keep)
+    return with_struct(df, text_col, make, "n_tokens long, ids binary" + ", round_trip boolean" * checked + ", decoded string" * decoded, into, keep)

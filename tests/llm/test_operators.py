@@ -566,6 +566,13 @@ def test_the_latest_policy_rejects_junk_and_keeps_labelled_good_documents(spark)
     assert v2 == v3 > 0
 
 
+def test_the_pipeline_decodes_every_document(awkward):
+    import corpus_pipeline
+
+    found = corpus_pipeline.tokens(None, awkward, "").collect()
+    assert len(found) == len(awkward_rows()) and all(r.round_trip for r in found)
+
+
 def test_tokenize_keeps_the_columns_asked_for(awkward, clashing):
     whole = plain(pair_index_bpe.tokenize(awkward, BYTES), "doc_id", "text", "tokens")
     some = pair_index_bpe.tokenize(clashing, BYTES, keep=["text", "doc_id", "bucket"])
