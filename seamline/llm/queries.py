@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import (
-    exact_dedup, hmm_lm, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, surrogates,
-    token_counts, toxicity,
+    exact_dedup, hmm_lm, packing, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, surrogates,
+    token_alignment, token_counts, toxicity,
 )
 from seamline.llm.frames import documents, table
 
@@ -87,3 +87,14 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed_base.alias("base_failed"), "kept", "n_lines", "failed_bits",
     )
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(documents(spark, sf_dir), *paths)
+
+
+@query
+def op12_packing(spark, sf_dir):
+    return packing.pack_pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
