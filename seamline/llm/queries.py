@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamline.llm import (
-    exact_dedup, hmm_lm, packing, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, surrogates,
+    conversations, exact_dedup, hmm_lm, packing, pair_index_bpe, quality_rules, sharding, shingle_join, source_mix, surrogates,
     token_alignment, token_counts, toxicity,
 )
 from seamline.llm.frames import documents, table
@@ -98,3 +98,9 @@ def op11_token_alignment(spark, sf_dir):
 @query
 def op12_packing(spark, sf_dir):
     return packing.pack_pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit(rows, conversations.damage(rows))
