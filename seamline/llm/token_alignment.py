@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -122,7 +122,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, cuts: str) -> tuple[np.ndar
     space = np.isin(two, _TWO) | np.isin(three, _THREE)
     at = np.delete(at, far[space])
     filled = offsets[:-1][np.diff(offsets) > 0]
-    starts = np.union1d(at, filled)
+    starts, _ = distinct(np.concatenate([at, filled]))
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
@@ -130,12 +130,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, cuts: str) -> tuple[np.ndar
 class Aligner:
     """Groups and links of texts, and the distinct pairs of each stretch."""
 
-    def __init__(self, a: ByteVocabulary, b: PieceVocabulary):
+    def __init__(self, a: ByteVocabulary, b: PieceVocabulary, named: bool = True):
         if " " not in b.cuts or not b.adds_space:
             raise ValueError("needs a piece model that sets a space before a text and whose pieces end before spaces")
         self.a, self.b, self.pairs = a, b, Pairs(a.size, b.size)
-        self._a_names = [[b"%d%c" % (k, end) for k in range(a.size)] for end in b",|"]
-        self._b_names = [[b"%d%c" % (k, end) for k in range(b.size)] for end in b",;"]
+        self._names = named and [[b"%d%c" % (k, end) for k in range(of.size)] for of, ends in ((a, b",|"), (b, b",;")) for end in ends]
         self._white = set(re.findall(f"[{SPACES}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))))
         self.clear()
 
@@ -144,30 +143,36 @@ class Aligner:
         self.n_a, self.n_b, self.n_groups, self.n_links = (_Values() for _ in range(4))
         self.first, self.n_pairs, self.code, self.times = (_Values() for _ in range(4))
         self.bad = _Values(bool)
-        self.names: list[bytes] = []
+        self.names: list[bytes] = []  # the groups of each row, written out
 
-    def _of_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _of_a(self, texts: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text by A.  Texts that end in a visible character are read in one go."""
+        last = [t[-1] for t in texts]
+        apart = np.array([c <= 32 and _WHITE[c] or c >= 128 and t.decode()[-1] in self._white for c, t in zip(last, texts)], bool)
         counts = np.zeros(len(texts), np.int64)
-        apart = np.array([t[-1] in self._white for t in texts], bool)
-        joined = self.a.encode("".join(t for t, own in zip(texts, apart) if not own), special=False)
-        lengths = np.array([len(t.encode()) for t, own in zip(texts, apart) if not own], np.int64)
+        together = b"".join(t for t, own in zip(texts, apart.tolist()) if not own) if apart.any() else b"".join(texts)
+        joined = self.a.encode(together.decode(), special=False)
         ends = np.cumsum(self.a.lengths[joined])
-        counts[~apart] = np.diff(np.searchsorted(ends, np.cumsum(lengths), side="right"), prepend=0)
-        alone = [self.a.encode(texts[k], special=False) for k in np.flatnonzero(apart)]
+        counts[~apart] = np.diff(np.searchsorted(ends, np.cumsum(lengths[~apart]), side="right"), prepend=0)
+        alone = [self.a.encode(texts[k].decode(), special=False) for k in np.flatnonzero(apart)]
         counts[apart] = [len(ids) for ids in alone]
         source = np.concatenate([joined, *alone]).astype(np.int64)
+        if not len(alone):
+            return source, counts
         first = np.zeros(len(texts), np.int64)
         order = np.argsort(apart, kind="stable")
         first[order] = np.cumsum(counts[order]) - counts[order]
         return source[gather(first, counts)], counts
 
     @staticmethod
-    def _differs(ids: np.ndarray, counts: np.ndarray, pieces: list[bytes], texts: list[bytes]) -> np.ndarray:
+    def _differs(ids: np.ndarray, counts: np.ndarray, of, texts: list[bytes], lengths: np.ndarray) -> np.ndarray:
         """Which texts are not the joined bytes of their tokens."""
-        made = [pieces[k] for k in ids.tolist()]
-        ends = np.cumsum(counts).tolist()
-        return np.array([b"".join(made[e - n : e]) != t for e, n, t in zip(ends, counts.tolist(), texts)], bool)
+        made = [of.pieces[k] for k in ids.tolist()]
+        ends = np.cumsum(counts)
+        sizes = np.append(0, np.cumsum(of.lengths[ids]))[np.append(0, ends)]
+        if np.array_equal(np.diff(sizes), lengths) and b"".join(made) == b"".join(texts):
+            return np.zeros(len(texts), bool)
+        return np.array([b"".join(made[e - n : e]) != t for e, n, t in zip(ends.tolist(), counts.tolist(), texts)], bool)
 
     def add(self, texts: list[bytes]) -> None:
         """Align texts as a whole each and append what was found, in their order."""
@@ -175,15 +180,15 @@ class Aligner:
             self._add(texts[k : k + _AT_ONCE])
 
     def _add(self, texts: list[bytes]) -> None:
-        plain = [t.decode() for t in texts]
-        a, a_counts = self._of_a(plain)
-        lists = self.b.encode(plain)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        a, a_counts = self._of_a(texts, lengths)
+        lists = self.b.encode(texts)
         b_counts = np.fromiter(map(len, lists), np.int64, len(lists))
         b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_counts.sum()))
-        bad = self._differs(a, a_counts, self.a.pieces, texts) | self._differs(b, b_counts, self.b.pieces, texts)
-        a, b = a[np.repeat(~bad, a_counts)], b[np.repeat(~bad, b_counts)]
-        a_counts, b_counts = np.where(bad, 0, a_counts), np.where(bad, 0, b_counts)
-        lengths = np.where(bad, 0, np.fromiter(map(len, texts), np.int64, len(texts)))
+        bad = self._differs(a, a_counts, self.a, texts, lengths) | self._differs(b, b_counts, self.b, texts, lengths)
+        if bad.any():
+            a, b = a[np.repeat(~bad, a_counts)], b[np.repeat(~bad, b_counts)]
+            a_counts, b_counts, lengths = (np.where(bad, 0, n) for n in (a_counts, b_counts, lengths))
         a_ends, b_ends, ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]), np.cumsum(lengths)
         both = a_ends[b_ends[np.searchsorted(b_ends, a_ends)] == a_ends]
         a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
@@ -203,7 +208,8 @@ class Aligner:
         self.n_groups.add(np.bincount(owner, minlength=len(texts)))
         self.n_links.add(links)
         self.bad.add(bad)
-        self.names += self._named(a, b, a_group, b_group, a_counts + b_counts)
+        if self._names:
+            self.names += self._named(a, b, a_group, b_group, a_counts + b_counts)
 
     def _linked(self, a, b, a_group, n_a, n_b, owner) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs of each text, in order of text and code, and how many links each has."""
@@ -211,7 +217,7 @@ class Aligner:
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         each = np.where(size > _LARGE, 0, n_b)[a_group]
         links = self.pairs.code(np.repeat(a, each), b[gather(first_b[a_group], each)])
-        code, times = np.unique((np.repeat(owner[a_group], each) << _PAIR_BITS) | links, return_counts=True)
+        code, times = distinct((np.repeat(owner[a_group], each) << _PAIR_BITS) | links)
         more = [(code, times)]
         for g in np.flatnonzero(size > _LARGE):
             of_a, times_a = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
@@ -224,10 +230,11 @@ class Aligner:
         """The groups of each text as ``a1,a2|b1;``, joined."""
         a_last = np.append(np.diff(a_group) > 0, True)[: len(a)].tolist()
         b_last = np.append(np.diff(b_group) > 0, True)[: len(b)].tolist()
-        names = [self._a_names[end][k] for k, end in zip(a.tolist(), a_last)]
-        names += [self._b_names[end][k] for k, end in zip(b.tolist(), b_last)]
+        within, at_end, from_b, from_b_end = self._names
+        names = [at_end[k] if end else within[k] for k, end in zip(a.tolist(), a_last)]
+        names += [from_b_end[k] if end else from_b[k] for k, end in zip(b.tolist(), b_last)]
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        names = [names[k] for k in order.tolist()]
+        names = list(map(names.__getitem__, order.tolist()))
         ends = np.cumsum(counts).tolist()
         return [b"".join(names[e - n : e]) for e, n in zip(ends, counts.tolist())]
 
@@ -236,7 +243,7 @@ class Aligner:
 
         A text that its tokens do not give back has none.
         """
-        if len(self.row) > _STRETCHES_KEPT or len(self.names) > 2 * _STRETCHES_KEPT:
+        if len(self.bad) > _STRETCHES_KEPT:
             self.clear()
         texts = pc.fill_null(texts, "")
         texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise("", texts, " "))
@@ -244,24 +251,25 @@ class Aligner:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         starts, ends, counts = stretches(data, offsets, self.b.cuts)
-        hashes, place, inverse = np.unique(textbuf.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        known = list(map(self.row.get, hashes.tolist()))
-        new = [k for k, row in enumerate(known) if row is None]
-        if new:
-            spans = [(int(starts[place[k]]), int(ends[place[k]])) for k in new]
-            row = len(self.names)
-            self.add([data[i:j].tobytes() for i, j in spans])
-            for k, (i, j) in zip(new, spans):
-                known[k] = row
-                if j - i <= _LONGEST_KEPT:
-                    self.row[int(hashes[k])] = row
-                row += 1
-        rows, text = np.array(known)[inverse], textbuf.of_text(counts)
-        broken = np.unique(text[self.bad[rows]])
+        hashes = textbuf.hash_spans(data, starts, ends)
+        order = np.argsort(hashes)
+        first = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] ^ _U(1)))
+        place, keys = order[first], hashes[order[first]].tolist()
+        known = np.fromiter(map(self.row.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            known[new] = len(self.bad) + np.arange(len(new))
+            raw, begin, end = data.tobytes(), starts[place[new]], ends[place[new]]
+            self.add([raw[i:j] for i, j in zip(begin.tolist(), end.tolist())])
+            kept = new[end - begin <= _LONGEST_KEPT]
+            self.row.update(zip(map(keys.__getitem__, kept.tolist()), known[kept].tolist()))
+        rows, text = np.empty(len(hashes), np.int64), textbuf.of_text(counts)
+        rows[order] = np.repeat(known, np.diff(first, append=len(order)))
+        broken, _ = distinct(text[self.bad[rows]])
         if len(broken):
             stays = ~np.isin(text, broken)
             rows, text = rows[stays], text[stays]
-            first = len(self.names)
+            first = len(self.bad)
             self.add([data[offsets[k] : offsets[k + 1]].tobytes() for k in broken])
             whole = ~self.bad[first : first + len(broken)]
             rows = np.concatenate([rows, np.flatnonzero(whole) + first])
@@ -274,10 +282,17 @@ class Aligner:
 
     def documents_with(self, text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs of some texts, and how many of the texts hold each."""
-        both = np.unique((text << 32) | rows)
+        both, _ = distinct((text << 32) | rows)
         text, rows = both >> 32, both & 0xFFFFFFFF
-        held = (np.repeat(text, self.n_pairs[rows]) << _PAIR_BITS) | self.code[self.pairs_of(rows)]
-        return np.unique(np.unique(held) & ((1 << _PAIR_BITS) - 1), return_counts=True)
+        held, _ = distinct((np.repeat(text, self.n_pairs[rows]) << _PAIR_BITS) | self.code[self.pairs_of(rows)])
+        return distinct(held & ((1 << _PAIR_BITS) - 1))
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(first, append=len(values))
 
 
 def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,11 +306,15 @@ def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _aligners: dict[tuple, Aligner] = {}
 
 
-def aligner(a: bytes, b: bytes) -> Aligner:
-    """The aligner of two files, made once in each process."""
-    key = hashlib.sha256(a).digest(), hashlib.sha256(b).digest()
+def aligner(a: bytes, b: bytes, named: bool = True) -> Aligner:
+    """The aligner of two files, made once in each process; ``named`` ones write groups out.
+
+    Only the last is held.
+    """
+    key = hashlib.sha256(a).digest(), hashlib.sha256(b).digest(), named
     if key not in _aligners:
-        _aligners[key] = Aligner(vocabulary(ByteVocabulary, a), vocabulary(PieceVocabulary, b))
+        _aligners.clear()
+        _aligners[key] = Aligner(vocabulary(ByteVocabulary, a), vocabulary(PieceVocabulary, b), named)
     return _aligners[key]
 
 
@@ -317,7 +336,7 @@ def _blocks(df: DataFrame, a: bytes, b: bytes) -> DataFrame:
     types = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches):
-        of = aligner(a, b)
+        of = aligner(a, b, named=False)
         block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
         def close():
@@ -515,13 +534,14 @@ class CorpusPairs:
             n, (text, rows) = piece.num_rows, of.texts(piece.column(1))
             order = np.argsort(text, kind="stable")
             text, rows = text[order], rows[order]
-            distinct, inverse = np.unique(rows, return_inverse=True)
-            at = of.pairs_of(distinct)
+            each, _ = distinct(rows)
+            inverse = np.searchsorted(each, rows)
+            at = of.pairs_of(each)
             place = np.searchsorted(codes, of.code[at])
             if len(at) and not np.array_equal(codes[place], of.code[at]):
                 raise RuntimeError("the second pass links a pair that the first has not seen")
-            owner = np.repeat(np.arange(len(distinct)), of.n_pairs[distinct])
-            sums = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+            owner = np.repeat(np.arange(len(each)), of.n_pairs[each])
+            sums = [np.zeros(len(each), np.int64) for _ in range(2)]
             np.add.at(sums[0], owner, of.times[at] * highest[place])
             np.add.at(sums[1], owner, of.times[at] * counts[place])
             values = [of.n_a[rows], of.n_b[rows], of.n_groups[rows], of.n_links[rows], sums[0][inverse], sums[1][inverse]]
@@ -530,7 +550,7 @@ class CorpusPairs:
                 total = np.zeros(n, np.int64)
                 np.add.at(total, text, value)
                 totals.append(pa.array(total))
-            names = [of.names[row] for row in rows.tolist()]
+            names = list(map(of.names.__getitem__, rows.tolist()))
             ends = np.cumsum(np.bincount(text, minlength=n)).tolist()
             joined = [b"".join(names[i:j])[:-1] for i, j in zip([0, *ends], ends)]
             digests = [hashlib.sha256(j).hexdigest() if j else "" for j in joined]

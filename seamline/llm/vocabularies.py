@@ -94,7 +94,7 @@ class PieceVocabulary:
         # Before these characters, after a visible one, no piece goes on.
         self.cuts = "".join(c for c in "\t\n\v\f\r" if c not in inside) + " " * (SPACE not in inside)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str] | list[bytes]) -> list[list[int]]:
         return self._model.encode(texts, num_threads=1)
 
 
