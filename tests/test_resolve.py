@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from seamline.operators import resolve
 from seamline.operators.resolve import resolve_routes
 
 
@@ -26,7 +29,11 @@ def expected(method, path, routes):
     return best and best[1]
 
 
-def test_same_as_comparing_with_every_route(spark):
+@pytest.mark.parametrize("masks, buckets", [(4096, 1 << 20), (3, 4)])
+def test_same_as_comparing_with_every_route(spark, monkeypatch, masks, buckets):
+    """Masks tried in several passes and buckets that hold many keys change nothing."""
+    monkeypatch.setattr(resolve, "_MASKS", masks)
+    monkeypatch.setattr(resolve, "_BUCKETS", buckets)
     rng = random.Random(3)
     words = ["a", "b", "{id}", "[x]", "${y}", "{}", "", "c"]
     paths = lambda n: ["/" + "/".join(rng.choice(words) for _ in range(rng.randrange(0, 5))) + rng.choice(["", "/"]) for _ in range(n)]
@@ -47,3 +54,22 @@ def test_a_popular_prefix_keeps_all_calls(spark):
     routes = spark.createDataFrame([("GET", "/hot", "hot", 0)], "method STRING, path STRING, service STRING, ord INT")
     calls = spark.range(20000).selectExpr("'GET' AS method", "concat('/hot/', id) AS path")
     assert resolve_routes(calls, routes).filter("target = 'hot'").count() == 20000
+
+
+def test_calls_are_shuffled_by_route_key_only(spark):
+    """No exchange deals rows out by a length, and keys are sifted before they are dealt out."""
+    routes = spark.createDataFrame(
+        [("GET", f"/a/{n}/{{id}}", "s", n) for n in range(50)], "method STRING, path STRING, service STRING, ord INT"
+    )
+    calls = spark.range(1000).selectExpr("'GET' AS method", "concat('/a/', id, '/x/y') AS path")
+    found = resolve_routes(calls, routes)
+    plan = found._jdf.queryExecution().toString()
+    assert "hashpartitioning(length" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "LeftSemi" in plan and found.count() == 50
+
+
+def test_no_routes_and_no_calls(spark):
+    some = spark.createDataFrame([("GET", "/a", "s", 0)], "method STRING, path STRING, service STRING, ord INT")
+    calls = some.select("method", "path")
+    assert resolve_routes(calls, some.limit(0)).count() == 0
+    assert resolve_routes(calls.limit(0), some).count() == 0

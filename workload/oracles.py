@@ -52,6 +52,10 @@ SERVED = r"""served AS (
 ASKED = r"""asked AS (
   SELECT question, method, regexp_replace(path, '\{[^}]*\}', '{param}', 'g') AS normal FROM questions)"""
 ENDPOINTS = f"{PROVIDERS}, {CONSUMERS}, {QUESTIONS}, {SERVED}, {ASKED}"
+INDEXED = """indexed AS (
+  SELECT service FROM providers UNION SELECT service FROM consumers UNION SELECT service FROM published
+  UNION SELECT service FROM subscribed UNION SELECT service FROM event_classes
+  UNION SELECT service FROM warnings)"""
 COUNTED = """counted AS (
   SELECT question, count(*) FILTER (role = 'provider') AS providers,
     count(*) FILTER (role = 'consumer') AS consumers
@@ -79,16 +83,14 @@ SELECT question, method, path, regexp_replace(path, '\\{{[^}}]*\\}}', '{{param}}
 UNION ALL SELECT '/' || replace(r_name, ' ', '-'), NULL, NULL, NULL, false FROM region"""
 ORACLES["endpoint_consumer_counts"] = f"""WITH {ENDPOINTS}, {COUNTED}
 SELECT question, providers, consumers FROM counted"""
-ORACLES["endpoint_unindexed"] = f"""WITH {ENDPOINTS}, {COUNTED}, {KNOWN}
+ORACLES["endpoint_unindexed"] = f"""WITH {ALL_FACTS}, {QUESTIONS}, {SERVED}, {ASKED}, {COUNTED}, {INDEXED}, {KNOWN}
 SELECT question, CASE WHEN consumers > 0 THEN 0 ELSE (
-  SELECT count(*) FROM known WHERE service NOT IN (SELECT service FROM served)) END AS unindexed
+  SELECT count(*) FROM known WHERE service NOT IN (SELECT service FROM indexed)) END AS unindexed
 FROM counted"""
-ORACLES["unindexed_services"] = f"""WITH {ENDPOINTS}, {KNOWN}
-SELECT service FROM known WHERE service NOT IN (SELECT service FROM served)"""
-ORACLES["discover_services"] = f"""WITH {ALL_FACTS}
-SELECT service FROM providers UNION SELECT service FROM consumers UNION SELECT service FROM published
-UNION SELECT service FROM subscribed UNION SELECT service FROM event_classes
-UNION SELECT service FROM warnings"""
+ORACLES["unindexed_services"] = f"""WITH {ALL_FACTS}, {INDEXED}, {KNOWN}
+SELECT service FROM known WHERE service NOT IN (SELECT service FROM indexed)"""
+ORACLES["discover_services"] = f"""WITH {ALL_FACTS}, {INDEXED}
+SELECT service FROM indexed"""
 ORACLES["topic_impact"] = f"""WITH {TOPICS}
 SELECT topic, role, service, place, schema, line,
   coalesce(place, 'None') || ':' || coalesce(CAST(line AS VARCHAR), 'None') AS location
@@ -129,14 +131,15 @@ ORACLES["path_norm_route"] = r"""SELECT page_id, regexp_replace(regexp_replace(
 ORACLES["file_to_module"] = """SELECT p_partkey,
   'app.' || lower(p_type) || '.' || replace(p_name, ' ', '_')
   || CASE p_size % 3 WHEN 2 THEN '.x.pyi' ELSE '' END AS module FROM part"""
-ORACLES["resolve_routes"] = rf"""WITH addresses AS (
+ORACLES["resolve_routes"] = rf"""WITH {PROVIDERS}, {CONSUMERS}, addresses AS (
   SELECT page_id, html, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS page,
     regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM pages),
 routes AS (
   SELECT 0 AS rank, page_id, 'GET' AS method, '/' || section AS path, 'section-' || section AS service FROM addresses
   UNION ALL SELECT 1, page_id, 'POST', '/' || section || '/{{id}}', 'item-' || section FROM addresses
   UNION ALL SELECT 2, page_id, 'PUT', '/{{any}}/[id]/', 'fallback' FROM addresses
-  UNION ALL SELECT 3, page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END, page, 'page-' || page_id % 5 FROM addresses),
+  UNION ALL SELECT 3, page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END, page, 'page-' || page_id % 5 FROM addresses
+  UNION ALL SELECT 4, p_partkey, method, path, service FROM providers),
 firsts AS (
   SELECT method, path, arg_min(service, rank::BIGINT * 1000000000 + page_id) AS service,
     min(rank::BIGINT * 1000000000 + page_id) AS ord FROM routes GROUP BY method, path),
@@ -146,7 +149,7 @@ calls AS (
   SELECT DISTINCT method, path FROM (
     SELECT ['GET', 'post', 'DELETE'][page_id % 3 + 1] AS method,
       unnest(list_concat([page], regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS path
-    FROM addresses)),
+    FROM addresses) UNION SELECT method, path FROM consumers),
 asked AS (
   SELECT method, path, string_split(trim({_ROUTER}, '/'), '/') AS c FROM calls),
 scored AS (

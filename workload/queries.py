@@ -35,6 +35,10 @@ def _endpoint_facts(spark, sf_dir):
     return inputs.facts(spark, sf_dir, schema.HTTP_PROVIDERS, schema.HTTP_CONSUMERS)
 
 
+def _all_facts(spark, sf_dir):
+    return inputs.with_headers(inputs.facts(spark, sf_dir))
+
+
 def _topic_facts(spark, sf_dir):
     return inputs.facts(spark, sf_dir, schema.TOPICS_PUBLISHED, schema.TOPICS_SUBSCRIBED)
 
@@ -59,7 +63,7 @@ def endpoint_consumer_counts(spark, sf_dir):
 @query
 def endpoint_unindexed(spark, sf_dir):
     return impact.endpoint_counts(
-        _endpoint_facts(spark, sf_dir),
+        _all_facts(spark, sf_dir),
         inputs.endpoint_questions(spark, sf_dir),
         inputs.known_services(spark, sf_dir),
     ).select("question", "unindexed")
@@ -67,9 +71,7 @@ def endpoint_unindexed(spark, sf_dir):
 
 @query
 def unindexed_services(spark, sf_dir):
-    return impact.unindexed_services(
-        _endpoint_facts(spark, sf_dir), inputs.known_services(spark, sf_dir)
-    )
+    return impact.unindexed_services(_all_facts(spark, sf_dir), inputs.known_services(spark, sf_dir))
 
 
 @query
@@ -150,9 +152,14 @@ def file_to_module(spark, sf_dir):
 
 @query
 def resolve_routes(spark, sf_dir):
-    return resolve.resolve_routes(
-        inputs.page_calls(spark, sf_dir), inputs.page_routes(spark, sf_dir)
+    calls = inputs.page_calls(spark, sf_dir).unionByName(
+        inputs.consumers(spark, sf_dir).select("method", "path")
+    )
+    served = inputs.providers(spark, sf_dir).select(
+        "method", "path", "service",
+        F.struct(F.lit(4).alias("rank"), F.col("p_partkey").alias("page_id")).alias("ord"),
     )
+    return resolve.resolve_routes(calls, inputs.page_routes(spark, sf_dir).unionByName(served))
 
 
 # ---------------------------------------------------------------- front end
