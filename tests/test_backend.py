@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seamline import extract_backend, schema
 from seamline.operators import routes
 from seamline.operators.impact import section
+from seamline.plans.staging import stage
 from tests.conftest import rows
 
 ROUTER = '''from fastapi import APIRouter
@@ -400,6 +401,22 @@ def test_prefixes_on_random_include_graphs(spark):
     assert found == {k: climb(k, own, edges) for k in names}
 
 
+@pytest.mark.parametrize("length, rounds", [(64, 7), (1, 1), (100, 8)])
+def test_a_chain_of_includes_takes_a_logarithm_of_rounds(spark, monkeypatch, length, rounds):
+    staged = []
+    monkeypatch.setattr(routes, "stage", lambda df, name, *by: staged.append(name) or stage(df, name, *by))
+    edges = [("s", f"m{i}", "r", (f"m{i + 1}", "r", f"/{i}")) for i in range(length)]
+    edge_df = spark.createDataFrame(
+        edges, "service STRING, child_module STRING, child_router STRING, "
+        "parent STRUCT<module: STRING, router: STRING, prefix: STRING>",
+    )
+    own = spark.createDataFrame([("s", f"m{length}", "r", "/top")], "service STRING, module STRING, router STRING, prefix STRING")
+    wanted = spark.createDataFrame([("s", f"m{i}", "r") for i in range(length + 1)], "service STRING, module STRING, router STRING")
+    found = {r.module: r.prefix for r in routes.full_prefixes(wanted, own, edge_df).collect()}
+    assert found == {f"m{i}": "/top" + "".join(f"/{k}" for k in range(length - 1, i - 1, -1)) for i in range(length + 1)}
+    assert staged.count("router-jumps") == rounds and "router-climb" not in staged
+
+
 def test_document_order_of_calls(spark, sources, env):
     code = '''import httpx
 def late(): httpx.get(f"{settings.USERS_URL}/4")
