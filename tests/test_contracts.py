@@ -5,7 +5,7 @@ import pytest
 import seamline as s
 from seamline import schema
 from seamline.operators import validate
-from seamline.sources import contracts
+from seamline.sources import contracts, files
 from seamline.sources.files import read_source_files
 from tests.conftest import rows
 from tests.test_impact import DOCUMENTS
@@ -61,11 +61,11 @@ def test_read_documents(spark, tmp_path):
 
 
 def test_read_source_files(spark, tmp_path):
-    files = {
+    texts = {
         "one/app/__init__.py": "x\r\ny\rz\n", "one/app/_private.py": "é", "one/.hidden/a.py": "1",
         "two/a b+c%20.py": "2", "two/skip/a.py": "3", "two/a.ts": "4", "top.py": "5", "one/app/empty.py": "",
     }
-    for path, text in files.items():
+    for path, text in texts.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(text.encode())
     got = read_source_files(spark, str(tmp_path), (".py",), ("skip",))
@@ -75,6 +75,55 @@ def test_read_source_files(spark, tmp_path):
     ], key=repr)
 
 
+def test_one_service_with_many_directories_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"big/app/d{k % 3}/p{k}").mkdir(parents=True)
+        (tmp_path / f"big/app/d{k % 3}/p{k}/__init__.py").write_text(str(k))
+    (tmp_path / "big/app/d0/again").symlink_to(tmp_path / "big/app", target_is_directory=True)
+    tasks = []
+    real = files.stage
+    monkeypatch.setattr(files, "_DIRS_A_TASK", 30)
+    monkeypatch.setattr(files, "stage", lambda df, name, *by: tasks.append((name, df.rdd.getNumPartitions())) or real(df, name, *by))
+    listed = files.list_files(spark, files.file_location(spark, str(tmp_path)), (".py",))
+    assert listed.count() == 300
+    assert tasks == [("source-level", tasks[0][1]), *[("source-level", 1)] * 3, ("source-level", 10)]
+
+
+def test_a_file_that_cannot_be_read_is_a_warning(spark, tmp_path, env, wrappers):
+    for path in ("api/app/a.py", "api/app/gone.py", "api/other/gone.py", "web/src/gone.ts", "web/src/gone.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    location = files.file_location(spark, f"file://{tmp_path}")
+    listed = files.list_files(spark, location).cache()
+    assert listed.count() == 5
+    for path in tmp_path.rglob("gone.*"):
+        path.unlink()
+    read = files.read_listed(listed, location).cache()
+    assert rows(read, "service", "path", "reason") == sorted([
+        ("api", "app/a.py", None), ("api", "app/gone.py", "no such file"), ("api", "other/gone.py", "no such file"),
+        ("web", "src/gone.ts", "no such file"), ("web", "src/gone.md", "no such file"),
+    ], key=repr)
+    services = spark.createDataFrame([("web", "frontend")], schema.DIM_SERVICES)
+    found = s.extract(read, services, env, wrappers).filter("section = 'extraction_warnings'")
+    assert rows(found, "service", "kind", "file", "message") == [
+        ("api", "unreadable_file", "app/gone.py", "file could not be read: no such file"),
+        ("web", "unreadable_file", "src/gone.ts", "file could not be read: no such file"),
+    ]
+
+
+def test_locations(spark):
+    assert files.file_location(spark, "s3a://bucket/repos/") == "s3://bucket/repos"
+    assert files.file_location(spark, "file:///a/b") == files.file_location(spark, "/a/b/") == "/a/b"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://names:8020/")
+    try:
+        assert files.file_location(spark, "/repos") == "hdfs://names:8020/repos"
+        assert files.file_location(spark, "file:/repos") == "/repos"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 BROKEN = {
     "{": [("document", None, "not JSON")],
     "[]": [("document", None, "not an object")],

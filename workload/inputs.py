@@ -587,3 +587,34 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "part").select("p_partkey")).select(
         F.concat(F.lit("repo-"), k.cast("string")).alias("repo"), document.alias("document")
     )
+
+
+def source_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Write source trees below ``root``: one per supplier, and one with a directory per part."""
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    name = F.concat(F.lit("svc-"), k.cast("string"))
+    own = [
+        ("app/main.py", F.concat(F.lit("x = "), k.cast("string"), F.lit("\r\n"))), ("app/__init__.py", F.lit("")),
+        ("app/api/_private.py", F.concat(F.lit("# "), "s_name")), (".github/run.py", F.lit("1")),
+        ("node_modules/a/b.py", F.lit("2")), ("app/readme.md", F.lit("3")), ("a b+c%20.py", F.lit("é")),
+    ]
+    files = [F.struct(F.lit(path).alias("path"), text.alias("content")) for path, text in own]
+    small_ones = table(spark, sf_dir, "supplier").select(name.alias("service"), F.explode(F.array(*files)).alias("f"))
+    deep = F.concat(F.lit("app/d"), (p % 10).cast("string"), F.lit("/p"), p.cast("string"), F.lit("/__init__.py"))
+    large = table(spark, sf_dir, "part").select(F.lit("large").alias("service"), deep.alias("path"), F.col("p_name").alias("content"))
+    rows = small_ones.select("service", "f.path", "f.content").unionByName(large)
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        fs, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{base}/{row['service']}/{row['path']}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as file:
+                    file.write(row["content"].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.repartition(8).mapInArrow(write, "n LONG").write.format("noop").mode("overwrite").save()

@@ -235,6 +235,13 @@ _FILES = """python_files AS (
 ORACLES["scan_python_files"] = f"""WITH {CUSTOMERS}, {_FILES}
 SELECT service, path, 'routes' AS scan FROM python_files
 UNION ALL SELECT service, 'app/services/client.py', 'clients' FROM services"""
+ORACLES["read_source_tree"] = """WITH own AS (
+  SELECT 'svc-' || s_suppkey AS service, unnest([
+    {'path': 'app/main.py', 'content': 'x = ' || s_suppkey || chr(10)}, {'path': 'app/__init__.py', 'content': ''},
+    {'path': 'app/api/_private.py', 'content': '# ' || s_name}, {'path': '.github/run.py', 'content': '1'},
+    {'path': 'a b+c%20.py', 'content': 'é'}]) AS f FROM supplier)
+SELECT service, f.path AS path, f.content AS content, CAST(NULL AS VARCHAR) AS reason FROM own
+UNION ALL SELECT 'large', 'app/d' || p_partkey % 10 || '/p' || p_partkey || '/__init__.py', p_name, NULL FROM part"""
 ORACLES["app_root"] = f"""WITH {CUSTOMERS}
 SELECT service, CASE WHEN k % 2 = 1 THEN service || '/' ELSE '' END AS app_root FROM services"""
 # Counted by hand from the templates; ``loop``, ``shadow``, ``broken`` and

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -245,6 +246,13 @@ def scan_python_files(spark, sf_dir):
     return in_routes.unionByName(in_clients)
 
 
+@query
+def read_source_tree(spark, sf_dir):
+    root = files.file_location(spark, f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}")
+    inputs.source_tree(spark, sf_dir, root)
+    return files.read_source_files(spark, root, (".py",), ("node_modules",))
+
+
 @query
 def app_root(spark, sf_dir):
     return files.app_roots(inputs.nested_python_files(spark, sf_dir))
