@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seamline import fixed, schema
 from seamline.functions.paths import match_path, ord_key
 from seamline.operators.validate import violations, whole_number
-from seamline.plans.staging import small
+from seamline.plans.staging import numbered, small
 from seamline.schema import FACTS, SECTIONS, struct_type
 
 
@@ -32,29 +36,67 @@ def header(services: DataFrame) -> DataFrame:
     return tagged(services.select("service").distinct(), schema.SERVICE)
 
 
+def _stored(*partitions: str) -> StructType:
+    schema_ = struct_type(FACTS)
+    for name in partitions:
+        schema_ = schema_.add(name, "string")
+    return schema_
+
+
 def save_contracts(facts: DataFrame, root: str) -> None:
     """Replace the contracts of the services in ``facts``; leave all others alone.
 
-    Each repository is a directory; a service without a ``repo`` is its own.  Rebalancing brings a service's rows together but
-    splits those of a very large one, so that many tasks write it.  Within a task
-    rows are sorted by section, which lets readers skip what they do not ask for.
+    Facts go to a folder of their own, named by a version that ascends with time; one row
+    per repository in ``commits`` then makes them the ones that count.  Readers take each
+    repository's last committed version, so that a job that dies on the way leaves the
+    contracts as they were.  A service without a ``repo`` is its own repository.
+    Rebalancing brings a repository's rows together but splits those of a very large one,
+    so that many tasks write it.  Within a task rows are sorted by section, which lets
+    readers skip what they do not ask for.
     """
+    spark = facts.sparkSession
     repo = F.coalesce("repo", "service") if "repo" in facts.columns else F.col("service")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    written = f"{root.rstrip('/')}/facts/version={version}"
     (
         facts.withColumn("repo", repo)
         .hint("rebalance", F.col("repo"))
         .sortWithinPartitions("repo", "section")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo")
-        .parquet(root)
+        .write.partitionBy("repo")
+        .parquet(written)
     )
+    saved = spark.read.schema(_stored("repo")).parquet(written).select("repo").distinct()
+    saved.select(F.lit(version).alias("version"), "repo").coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/commits")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """``(version, repo)``: the version of each repository that counts."""
+    commits = spark.read.schema("version STRING, repo STRING").parquet(f"{root.rstrip('/')}/commits")
+    return commits.groupBy("repo").agg(F.max("version").alias("version")).select("version", "repo")
+
+
+def stored_contracts(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """The facts that count of all repositories, or of one, with ``repo``."""
+    stored, current = spark.read.schema(_stored("version", "repo")).parquet(f"{root.rstrip('/')}/facts"), committed(spark, root)
+    if repo is not None:
+        stored, current = stored.filter(F.col("repo") == repo), current.filter(F.col("repo") == repo)
+    return stored.join(small(current), ["version", "repo"], "left_semi").drop("version")
+
+
+def drop_old_versions(spark: SparkSession, root: str) -> None:
+    """Delete folders of versions that no repository needs; not while others save contracts."""
+    path = f"{root.rstrip('/')}/facts"
+    needed = {f"version={row.version}" for row in committed(spark, root).select("version").distinct().toLocalIterator()}
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(folder):
+        if entry.getPath().getName().startswith("version=") and entry.getPath().getName() not in needed:
+            fs.delete(entry.getPath(), True)
 
 
 def load_contracts(spark: SparkSession, root: str) -> DataFrame:
     """All facts.  If two repositories claim a service, the last one counts."""
-    stored = spark.read.schema(struct_type(FACTS).add("repo", "string")).parquet(root)
-    return last_repository(stored)
+    return last_repository(stored_contracts(spark, root))
 
 
 def last_repository(stored: DataFrame) -> DataFrame:
@@ -76,15 +118,27 @@ def load_documents(spark: SparkSession, root: str, name: str = "contracts.json")
 
 
 def load_one(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """Facts of one repository; only its directory is read."""
-    stored = spark.read.schema(struct_type(FACTS).add("repo", "string")).parquet(root)
-    return stored.filter(F.col("repo") == repo).drop("repo")
+    """Facts of one repository; only its directories are read."""
+    return stored_contracts(spark, root, repo).drop("repo")
 
 
 def discover_repositories(spark: SparkSession, root: str) -> DataFrame:
     """Names of the repositories that hold a contract, sorted."""
-    stored = spark.read.schema(struct_type(FACTS).add("repo", "string")).parquet(root)
-    return stored.select("repo").distinct().orderBy("repo")
+    return committed(spark, root).select("repo").orderBy("repo")
+
+
+def with_positions(facts: DataFrame) -> DataFrame:
+    """Facts with ``position``, their place in the service's document, and ``item``, that in their list.
+
+    Facts of one place are in the order of their columns.
+    """
+    sections = F.array(*[F.lit(name) for name in (schema.SERVICE, *SECTIONS)])
+    named = dict.fromkeys(c for columns in SECTIONS.values() for c in columns)
+    order = [F.array_position(sections, F.col("section")), F.col("ord"), F.struct(*[c for c in facts.columns if c in named])]
+    placed = numbered(facts, ["service"], order, "position")
+    first = placed.groupBy("service", "section").agg(F.min("position").alias("begin"))
+    listed = placed.join(small(first), ["service", "section"])
+    return listed.withColumn("item", F.col("position") - F.col("begin")).select(*facts.columns, "position", "item")
 
 
 def document_items(facts: DataFrame) -> DataFrame:

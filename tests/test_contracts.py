@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 import seamline as s
 from seamline import schema
 from seamline.operators import validate
+from seamline.plans.staging import numbered
 from seamline.sources import contracts, files
 from seamline.sources.files import read_source_files
 from tests.conftest import rows
@@ -31,6 +33,50 @@ def test_save_replaces_only_the_given_services(spark, tmp_path):
     assert one.count() == 5
 
 
+def test_a_write_that_dies_half_way_leaves_the_old_contracts(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "contracts")
+    first = facts_of(spark, *DOCUMENTS).drop("repo")
+    s.save_contracts(first, root)
+    old = rows(s.load_contracts(spark, root), *first.columns)
+
+    broken = first.withColumn("line", F.when(F.col("section") == "http_providers", F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        s.save_contracts(broken, root)
+    assert rows(s.load_contracts(spark, root), *first.columns) == old
+
+    def die(*_):
+        raise RuntimeError("killed before the commit")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(type(spark.read), "schema", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            s.save_contracts(first.withColumn("line", F.col("line") + 1), root)
+    assert rows(s.load_contracts(spark, root), *first.columns) == old
+    s.save_contracts(first.withColumn("line", F.col("line") + 1), root)
+    assert rows(s.load_contracts(spark, root), *first.columns) != old
+    contracts.drop_old_versions(spark, root)
+    assert len(list((tmp_path / "contracts" / "facts").glob("version=*"))) == 1
+    assert rows(s.load_contracts(spark, root), "service") == rows(first, "service")
+
+
+def test_positions_of_a_service_that_lies_in_many_parts(spark):
+    facts = spark.range(0, 5000, 1, 7).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("service"),
+        ((F.col("id") * 7919) % 5000).alias("n"),
+    )
+    parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = numbered(facts, ["service"], [F.col("n")], "place").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
+    by = {}
+    for r in sorted(placed, key=lambda r: (r.service, r.n)):
+        assert r.place == by.get(r.service, 0)
+        by[r.service] = r.place + 1
+    assert sum(by.values()) == 5000 and by["hot"] == 4000
+
+
 def test_last_repository_of_a_service_counts(spark):
     stored = facts_of(
         spark,
@@ -124,6 +170,23 @@ def test_locations(spark):
         conf.set("fs.defaultFS", before)
 
 
+def test_calls_are_routed_to_stored_services_that_are_not_extracted_anew(spark, sources, env, wrappers):
+    provider = '{"service": "%s", "provides": {"http": [{"method": "GET", "path": "%s", "handler": "h", "line": 1}]}}'
+    stored = facts_of(
+        spark, ("api", provider % ("api", "/old")), ("far", provider % ("far", "/far/{id}")), ("web", provider % ("web", "/own"))
+    ).drop("repo")
+    services = spark.createDataFrame([("web", "frontend")], schema.DIM_SERVICES)
+    files = sources({
+        "api": {"app/a.py": '@router.get("/new")\ndef b(): pass\n'},
+        "web": {"src/a.ts": "apiFetch('/new')\napiFetch('/old')\napiFetch('/far/1')\napiFetch('/own')\n"},
+    })
+    found = lambda *more: rows(
+        s.extract(files, services, env, wrappers, *more).filter("section = 'http_consumers'"), "path", "target"
+    )
+    assert found() == [("/new", "api")]
+    assert found(stored) == [("/far/1", "far"), ("/new", "api")]
+
+
 BROKEN = {
     "{": [("document", None, "not JSON")],
     "[]": [("document", None, "not an object")],

@@ -395,6 +395,61 @@ SELECT service, 5 AS providers, CASE WHEN api IS NULL THEN 1 ELSE 8 END AS consu
   CASE WHEN {_HAS_DEFAULT} THEN 3 ELSE 4 END + CASE WHEN api IS NULL THEN 0 ELSE 1 END AS warnings
 FROM services"""
 
+_KINDS = [
+    ("http_providers", "route_full_paths", ["method", "path", "handler"]),
+    ("topics_published", "publish_schema", ["topic", "schema", "publisher"]),
+    ("http_consumers", "client_calls", ["target", "method", "path", "caller"]),
+    ("http_consumers", "client_wrapper_calls", ["target", "method", "path", "caller"]),
+    ("http_consumers", "client_singleton_calls", ["target", "method", "path", "caller"]),
+    ("topics_subscribed", "subscribers_from_routes", ["topic", "handler"]),
+    ("event_schemas", "py_event_schemas", ["class_name", "file"]),
+    ("extraction_warnings", "publish_warnings", ["kind", "file", "message"]),
+]
+_COLUMNS = [
+    "method", "path", "handler", "target", "caller", "topic", "schema", "publisher",
+    "class_name", "file", "kind", "message",
+]
+
+
+def long_rows(section: str, source: str, columns: list[str]) -> str:
+    """SQL for the rows of one section in the long table."""
+    given = ", ".join(c if c in columns else f"CAST(NULL AS VARCHAR) AS {c}" for c in _COLUMNS)
+    return f"SELECT service, '{section}' AS section, {given}, CAST(line AS BIGINT) AS line FROM {source}"
+
+
+_NO_ROUTES = f"""front_calls AS (
+  SELECT * FROM wrapper_calls UNION ALL SELECT * FROM request_calls
+  UNION ALL SELECT * FROM api_fetch_calls WHERE target NOT LIKE 'items-%' AND target NOT LIKE 'legacy-%'
+  UNION ALL SELECT * FROM template_calls WHERE path != '/api/v1/routes/{{param}}'),
+front_firsts AS (
+  SELECT service, target, method, path, caller, min(line) AS line FROM front_calls
+  GROUP BY service, target, method, path, caller)"""
+_ODD_METHOD = f"""odd_method AS ({CUSTOMERS.replace("services AS", "WITH services AS", 1)}
+  SELECT service, 'unknown_method' AS kind, 'app/api/use.py' AS file, 11 AS line,
+    'call with unknown HTTP method TRACE' AS message FROM services WHERE api IS NOT NULL)"""
+_EXTRACTED = " UNION ALL ".join(
+    [long_rows(section, f"({ORACLES[source]})", columns) for section, source, columns in _KINDS]
+    + [long_rows("extraction_warnings", "odd_method", ["kind", "file", "message"])]
+    + [long_rows("http_consumers", "front_firsts", ["target", "method", "path", "caller"])]
+    + [long_rows("service", "(SELECT DISTINCT service, NULL AS line FROM (SELECT service FROM every_front UNION "
+       "SELECT 'svc-' || c_custkey FROM customer))", [])]
+)
+ORACLES["extract_all"] = f"""WITH {FRONT}, {WRAPPER}, {REQUEST}, {API_FETCH}, {TEMPLATE}, {_NO_ROUTES}, {_ODD_METHOD},
+every_front AS (SELECT DISTINCT 'front-' || o_custkey % 5 AS service FROM orders)
+{_EXTRACTED}"""
+ORACLES["extract_by_kind"] = f"""WITH {CUSTOMERS}
+SELECT service, unnest([config, 'app/schemas/events.py', 'app/api/endpoints/orders.py', 'app/api/api.py',
+  'app/main.py', 'app/extra/__init__.py', 'app/api/_private.py', 'app/services/publisher.py',
+  'app/services/client.py', 'app/api/use.py',
+  CASE WHEN k % 6 = 0 THEN 'app/extra.py' ELSE 'scripts/extra.py' END]) AS path, 'backend' AS kind FROM services
+UNION ALL SELECT 'front-' || o_custkey % 5,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'src/node_modules/' WHEN o_orderkey % 17 = 0 THEN 'dist/' ELSE 'src/' END
+  || 'f' || o_orderkey || ['.ts', '.tsx', '.vue', '.js', '.md', '.mjs'][o_orderkey % 6 + 1], 'frontend' FROM orders"""
+# Stored routes are in the order of their services' names.
+ORACLES["fe_against_stored"] = ORACLES["fe_consumers_dedup"].replace(
+    "'svc-' || min(n_nationkey)", "min('svc-' || n_nationkey)"
+)
+
 # ---------------------------------------------------------------- contracts
 
 _ITEMS = {
@@ -418,21 +473,33 @@ FROM (SELECT service FROM providers UNION SELECT service FROM consumers UNION SE
 ORACLES["contract_documents"] = f"WITH {ALL_FACTS} {_DOCUMENT} {_HEADERS}"
 ORACLES["show_contract"] = f"""WITH {ALL_FACTS}, items AS ({_DOCUMENT} {_HEADERS})
 SELECT * FROM items WHERE service = 'svc-3'"""
-_COLUMNS = [
-    "method", "path", "handler", "target", "caller", "topic", "schema", "publisher",
-    "class_name", "file", "kind", "message",
-]
 _SECTION_NAMES = {
     "providers": "http_providers", "consumers": "http_consumers", "published": "topics_published",
     "subscribed": "topics_subscribed", "event_classes": "event_schemas",
     "warnings": "extraction_warnings",
 }
-_LONG = " UNION ALL ".join(
-    f"SELECT service, '{_SECTION_NAMES[source]}' AS section, "
-    + ", ".join(c if c in columns else f"CAST(NULL AS VARCHAR) AS {c}" for c in _COLUMNS)
-    + f", line FROM {source}"
-    for source, columns in _ITEMS.values()
-)
+_LONG = " UNION ALL ".join(long_rows(_SECTION_NAMES[source], source, columns) for source, columns in _ITEMS.values())
+ORACLES["load_one_contract"] = f"""WITH {ALL_FACTS}, facts AS ({_LONG})
+SELECT * FROM facts WHERE service = 'svc-3'"""
+_PLACES = " UNION ALL ".join(
+    f"SELECT service, {rank} AS rank, '{_SECTION_NAMES[source]}' AS section, {about} AS about, line, "
+    f"row_number() OVER (PARTITION BY service ORDER BY {order}) - 1 AS item FROM {rows}"
+    for rank, (source, about, order, rows) in enumerate([
+        ("providers", "path", "p_partkey", "providers"),
+        ("published", "topic", "event_id",
+         PUBLISHED.split("AS (", 1)[1].replace("FROM events)", ", event_id FROM events)").join(["(", ""])),
+        ("consumers", "path", "l_orderkey, line, method, path, target", "consumers"),
+        ("subscribed", "topic", "o_orderkey",
+         SUBSCRIBED.split("AS (", 1)[1].replace("FROM orders)", ", o_orderkey FROM orders)").join(["(", ""])),
+        ("event_classes", "class_name", "line", "event_classes"),
+        ("warnings", "file", "line", "warnings"),
+    ])
+)
+ORACLES["fact_positions"] = f"""WITH {ALL_FACTS}, placed AS ({_PLACES}),
+sizes AS (SELECT service, rank, count(*) AS n FROM placed GROUP BY service, rank)
+SELECT service, section, about, CAST(line AS BIGINT) AS line, item, item + (
+  SELECT coalesce(sum(n), 0) FROM sizes s WHERE s.service = p.service AND s.rank < p.rank)::BIGINT AS position
+FROM placed p"""
 ORACLES["save_load_roundtrip"] = f"""WITH {ALL_FACTS}, facts AS ({_LONG})
 SELECT * FROM facts WHERE service != 'svc-2' OR section = 'http_providers'"""
 ORACLES["load_last_wins"] = f"""WITH {PUBLISHED}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seamline import schema
 from seamline.functions import paths
+from seamline.functions.paths import ord_key
 from seamline.operators import (
     clients, drift, frontend, impact, publishers, resolve, routes, schemas, settings, subscribers,
     validate,
@@ -404,6 +405,43 @@ def extract_summary(spark, sf_dir):
     )
 
 
+def _services(spark, sf_dir):
+    fronts = inputs.front_files(spark, sf_dir).select("service").distinct()
+    return fronts.withColumn("kind", F.lit("frontend"))
+
+
+@query
+def extract_all(spark, sf_dir):
+    source = inputs.python_files(spark, sf_dir).unionByName(inputs.front_files(spark, sf_dir))
+    services, env, wrappers = _services(spark, sf_dir), inputs.env_dim(spark), inputs.wrapper_dim(spark)
+    return extract.extract(source, services, env, wrappers).drop("ord", "norm_path")
+
+
+@query
+def extract_by_kind(spark, sf_dir):
+    source = inputs.python_files(spark, sf_dir).unionByName(inputs.front_files(spark, sf_dir))
+    kinds = [
+        files.of_kind(source, _services(spark, sf_dir), kind).select("service", "path", F.lit(kind).alias("kind"))
+        for kind in ("backend", "frontend")
+    ]
+    return kinds[0].unionByName(kinds[1])
+
+
+@query
+def fe_against_stored(spark, sf_dir):
+    served = inputs.front_routes(spark, sf_dir).withColumn(
+        "ord", ord_key(0, F.array().cast("array<string>"), F.col("ord.rank"), F.col("ord.place"))
+    )
+    root = f"{shared_dir(spark)}/contracts-{uuid.uuid4().hex}"
+    stored = contracts.tagged(served, schema.HTTP_PROVIDERS)
+    contracts.save_contracts(stored.unionByName(contracts.header(stored)), root)
+    found = extract.extract(
+        inputs.front_files(spark, sf_dir), _services(spark, sf_dir), inputs.env_dim(spark),
+        inputs.wrapper_dim(spark), contracts.load_contracts(spark, root),
+    )
+    return impact.section(found, schema.HTTP_CONSUMERS).drop("ord", "norm_path")
+
+
 # ---------------------------------------------------------------- contracts
 
 
@@ -432,6 +470,21 @@ def save_load_roundtrip(spark, sf_dir):
     return _plain(contracts.load_contracts(spark, root))
 
 
+@query
+def fact_positions(spark, sf_dir):
+    placed = contracts.with_positions(inputs.facts(spark, sf_dir))
+    return placed.select(
+        "service", "section", F.coalesce("topic", "path", "class_name", "file").alias("about"), "line", "position", "item"
+    )
+
+
+@query
+def load_one_contract(spark, sf_dir):
+    root = f"{shared_dir(spark)}/contracts-{uuid.uuid4().hex}"
+    contracts.save_contracts(inputs.with_headers(inputs.facts(spark, sf_dir)), root)
+    return _plain(contracts.load_one(spark, root, "svc-3"))
+
+
 @query
 def load_last_wins(spark, sf_dir):
     rows = inputs.with_headers(inputs.facts(spark, sf_dir, schema.TOPICS_PUBLISHED))
