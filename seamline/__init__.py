@@ -6,6 +6,7 @@ from seamline.operators.impact import (
     endpoint_counts,
     endpoint_impact,
     no_orphans,
+    orphan_check,
     orphan_topics,
     status,
     subscriptions_without_handler,
@@ -18,13 +19,17 @@ from seamline.operators.validate import contract_validity, contract_violations
 from seamline.plans.extract import extract, extract_backend, extract_frontend, extraction_summary
 from seamline.sources.contracts import (
     discover_repositories,
+    document_parts,
     documents_to_facts,
+    drop_old_versions,
     load_contracts,
     load_documents,
     load_one,
     read_documents,
     save_contracts,
     show_contract,
+    with_positions,
+    write_documents,
 )
 from seamline.sources.files import read_source_files
 
@@ -33,7 +38,8 @@ __all__ = [
     "discover_services", "documents_to_facts", "endpoint_counts", "endpoint_impact", "extract",
     "extract_backend", "extract_frontend", "extraction_summary", "load_contracts", "load_documents",
     "load_one",
-    "no_orphans", "orphan_topics", "read_documents", "read_source_files", "resolve_routes",
+    "no_orphans", "orphan_check", "orphan_topics", "read_documents", "read_source_files", "resolve_routes",
     "save_contracts", "show_contract", "status", "subscriptions_without_handler", "topic_counts",
-    "topic_impact", "unindexed_services",
+    "topic_impact", "unindexed_services", "with_positions", "write_documents", "document_parts",
+    "drop_old_versions",
 ]

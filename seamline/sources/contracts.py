@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,6 +17,10 @@ from seamline.functions.paths import match_path, ord_key
 from seamline.operators.validate import violations, whole_number
 from seamline.plans.staging import numbered, small
 from seamline.schema import FACTS, SECTIONS, struct_type
+from seamline.sources.files import file_location, open_location
+
+# Ship the writer with the task: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def tagged(rows: DataFrame, section: str) -> DataFrame:
@@ -147,18 +154,19 @@ def document_items(facts: DataFrame) -> DataFrame:
     Items carry their documented fields in order, nulls included.  A document of
     any size is a sorted set of rows; none has to fit in one.
     """
-    item: Column = F.to_json(
-        F.struct(
-            F.col("service"), F.lit(fixed.EXTRACTOR_VERSION).alias("extractor_version")
-        )
-    )
     location: Column = F.lit("")
+    for name in SECTIONS:
+        location = F.when(F.col("section") == name, F.lit(schema.DOCUMENT_PATHS[name])).otherwise(location)
+    return facts.select("service", location.alias("location"), "ord", _item().alias("item"))
+
+
+def _item() -> Column:
+    """A fact as JSON: its section's fields in order, nulls included."""
+    item = F.to_json(F.struct(F.col("service"), F.lit(fixed.EXTRACTOR_VERSION).alias("extractor_version")))
     for name, columns in SECTIONS.items():
-        here = F.col("section") == name
-        fields = F.struct(*[F.col(c) for c in columns])
-        item = F.when(here, F.to_json(fields, {"ignoreNullFields": "false"})).otherwise(item)
-        location = F.when(here, F.lit(schema.DOCUMENT_PATHS[name])).otherwise(location)
-    return facts.select("service", location.alias("location"), "ord", item.alias("item"))
+        fields = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"})
+        item = F.when(F.col("section") == name, fields).otherwise(item)
+    return item
 
 
 def show_contract(facts: DataFrame, service: str) -> DataFrame:
@@ -172,6 +180,82 @@ def show_contract(facts: DataFrame, service: str) -> DataFrame:
     )
 
 
+# What stands between two lists of a nested document, in their order, and after the last.
+_BETWEEN = (
+    '],"topics_published":[', ']},"consumes":{"http":[', '],"topics_subscribed":[', ']},"event_schemas":[',
+    '],"_extraction_warnings":[', "]}",
+)
+_ITEMS_A_PART = 1000
+
+
+def document_parts(facts: DataFrame) -> DataFrame:
+    """Nested contract documents as JSON, ``(repo, part, text)``; the texts of a document joined make it.
+
+    Every row knows its place in its list and which lists come before and after, so that it
+    can write its own part of the document, the brackets included; a part is so many rows
+    that follow each other.  No document is held or passed through one task.  A service
+    without facts has a document of empty lists.
+    """
+    repo = F.coalesce("repo", "service") if "repo" in facts.columns else F.col("service")
+    owners = facts.select("service", repo.alias("repo")).groupBy("service").agg(F.max("repo").alias("repo"))
+    plain = facts.drop("repo").filter(F.col("section") != schema.SERVICE)
+    placed = with_positions(plain.unionByName(header(facts)))
+    rank = F.array_position(F.array(*[F.lit(name) for name in SECTIONS]), F.col("section"))  # 0: the header
+    counts = placed.groupBy("service", "section").agg(F.count("*").alias("n")).withColumn("rank", rank)
+    of_service = Window.partitionBy("service").orderBy("rank")
+    lists = counts.select(
+        "service", "section", "rank",
+        F.greatest(F.coalesce(F.lag("rank").over(of_service), F.lit(1)), F.lit(1)).alias("prior"),
+        F.when(F.lead("rank").over(of_service).isNull(), F.col("n")).alias("ends"),
+    )
+    between = F.array(*[F.lit(text) for text in _BETWEEN])
+    here = F.greatest("rank", F.lit(1))
+    lead = F.when(F.col("item") > 0, ",").otherwise(F.array_join(F.slice(between, F.col("prior"), here - F.col("prior")), ""))
+    tail = F.when(
+        F.col("item") == F.col("ends") - 1, F.array_join(F.slice(between, here, len(_BETWEEN) - here + 1), "")
+    ).otherwise("")
+    items = placed.join(small(lists), ["service", "section"]).join(small(owners), "service")
+    opening = F.concat(
+        F.regexp_replace(_item(), r"\}\z", ""), F.lit(',"provides":{"http":['), tail
+    )
+    text = F.when(F.col("section") == schema.SERVICE, opening).otherwise(F.concat(lead, _item(), tail))
+    part = F.floor(F.col("position") / _ITEMS_A_PART).alias("part")
+    pieces = items.select("repo", part, "position", text.alias("text")).groupBy("repo", "part")
+    joined = pieces.agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("rows"))
+    return joined.select("repo", "part", F.array_join("rows.text", "").alias("text"))
+
+
+def write_documents(facts: DataFrame, root: str, name: str = "contracts.json") -> None:
+    """Write each repository's nested document to ``<root>/<repo>/<name>``.
+
+    A task holds one part at a time.  A document takes its name when it is complete, in
+    place of an earlier one.
+    """
+    location = file_location(facts.sparkSession, root)
+    parts = document_parts(facts).repartition("repo").sortWithinPartitions("repo", "part")
+
+    def write(batches):
+        fs, base = open_location(location)
+        at, file, places = None, None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["repo"] != at:
+                    if file:
+                        file.close()
+                        fs.move(*places)
+                    at, folder = row["repo"], f"{base}/{row['repo']}"
+                    fs.create_dir(folder, recursive=True)
+                    places = f"{folder}/.{name}-{uuid.uuid4().hex}", f"{folder}/{name}"
+                    file = fs.open_output_stream(places[0])
+                file.write(row["text"].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        if file:
+            file.close()
+            fs.move(*places)
+
+    parts.mapInArrow(write, "n LONG").write.format("noop").mode("overwrite").save()
+
+
 def documents_to_facts(documents: DataFrame) -> DataFrame:
     """Facts of the valid ones of ``documents(repo, document)``, JSON texts.
 

@@ -99,6 +99,29 @@ def test_show_is_in_document_order_with_nulls_kept(spark):
     assert json.loads(shown[3].item)["schema"] is None
 
 
+@pytest.mark.parametrize("items", [1000, 1, 3])
+def test_documents_are_written_in_parts_and_read_back(spark, tmp_path, monkeypatch, items):
+    monkeypatch.setattr(contracts, "_ITEMS_A_PART", items)
+    facts = facts_of(spark, *DOCUMENTS)
+    more = facts_of(spark, ("z", json.dumps({
+        "service": 'od"d ☃', "consumes": {"topics_subscribed": [{"topic": "t", "handler": None, "line": None}] * 4},
+        "_extraction_warnings": [{"kind": "k", "file": "f", "line": 1, "message": 'a "b"'}],
+    })))
+    facts = facts.unionByName(more).cache()
+    for _ in range(2):  # the second time in place of the first
+        s.write_documents(facts, str(tmp_path))
+    columns = [c for c in facts.columns if c not in ("ord", "repo")]
+    assert rows(s.load_documents(spark, str(tmp_path)), *columns) == rows(facts, *columns)
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc")) == ["contracts.json"] * 4
+    alpha = json.loads((tmp_path / "alpha" / "contracts.json").read_text())
+    assert list(alpha) == ["service", "extractor_version", "provides", "consumes", "event_schemas", "_extraction_warnings"]
+    assert [p["publisher"] for p in alpha["provides"]["topics_published"]] == ["make", "again", "lose"]
+    assert json.loads((tmp_path / "empty" / "contracts.json").read_text()) == {
+        "service": "empty", "extractor_version": "0.1.0", "provides": {"http": [], "topics_published": []},
+        "consumes": {"http": [], "topics_subscribed": []}, "event_schemas": [], "_extraction_warnings": [],
+    }
+
+
 def test_read_documents(spark, tmp_path):
     for repo, text in DOCUMENTS:
         (tmp_path / repo).mkdir()

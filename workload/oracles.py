@@ -21,13 +21,13 @@ PUBLISHED = """published AS (
   SELECT 'svc-' || event_id % 7 AS service, event_type || '.' || user_id % 50 AS topic,
     CASE WHEN value >= 35 THEN 'Ev' || event_id % 9 END AS schema,
     'app/services/' || event_type || '.py::publish_' || event_id % 100 AS publisher,
-    CAST(event_id % 500 AS INT) AS line
+    CAST(event_id % 500 AS INT) AS line, event_id
   FROM events)"""
 SUBSCRIBED = """subscribed AS (
   SELECT 'svc-' || o_orderkey % 7 AS service,
     ['signup', 'purchase', 'error', 'click', 'refund'][o_orderkey % 5 + 1] || '.' || o_custkey % 60 AS topic,
     CASE WHEN o_orderstatus != 'P' THEN 'app/api/events.py::on_' || o_orderkey END AS handler,
-    CASE WHEN o_orderstatus != 'P' THEN CAST(o_orderkey % 900 AS INT) END AS line
+    CASE WHEN o_orderstatus != 'P' THEN CAST(o_orderkey % 900 AS INT) END AS line, o_orderkey
   FROM orders)"""
 EVENT_CLASSES = """event_classes AS (
   SELECT 'svc-' || c_custkey % 7 AS service, 'Event' || c_custkey AS class_name,
@@ -483,18 +483,27 @@ ORACLES["load_one_contract"] = f"""WITH {ALL_FACTS}, facts AS ({_LONG})
 SELECT * FROM facts WHERE service = 'svc-3'"""
 _PLACES = " UNION ALL ".join(
     f"SELECT service, {rank} AS rank, '{_SECTION_NAMES[source]}' AS section, {about} AS about, line, "
-    f"row_number() OVER (PARTITION BY service ORDER BY {order}) - 1 AS item FROM {rows}"
-    for rank, (source, about, order, rows) in enumerate([
-        ("providers", "path", "p_partkey", "providers"),
-        ("published", "topic", "event_id",
-         PUBLISHED.split("AS (", 1)[1].replace("FROM events)", ", event_id FROM events)").join(["(", ""])),
-        ("consumers", "path", "l_orderkey, line, method, path, target", "consumers"),
-        ("subscribed", "topic", "o_orderkey",
-         SUBSCRIBED.split("AS (", 1)[1].replace("FROM orders)", ", o_orderkey FROM orders)").join(["(", ""])),
-        ("event_classes", "class_name", "line", "event_classes"),
-        ("warnings", "file", "line", "warnings"),
+    f"row_number() OVER (PARTITION BY service ORDER BY {order}) - 1 AS item FROM {source}"
+    for rank, (source, about, order) in enumerate([
+        ("providers", "path", "p_partkey"), ("published", "topic", "event_id"),
+        ("consumers", "path", "l_orderkey, line, method, path, target"), ("subscribed", "topic", "o_orderkey"),
+        ("event_classes", "class_name", "line"), ("warnings", "file", "line"),
     ])
 )
+_KEYS = {"providers": "p_partkey", "published": "event_id", "consumers": "l_orderkey", "subscribed": "o_orderkey",
+         "event_classes": "line", "warnings": "line"}
+_THOUSANDS = " UNION ALL ".join(
+    long_rows(_SECTION_NAMES[source], f"(SELECT * REPLACE (service || '-' || {_KEYS[source]} // 1000 AS service) FROM {source})", columns)
+    for source, columns in _ITEMS.values()
+)
+ORACLES["documents_written_and_read"] = f"""WITH {ALL_FACTS} {_THOUSANDS}"""
+ORACLES["orphan_check"] = f"""WITH {TOPICS}, topics AS (
+  SELECT bool_or(role = 'publisher') AS p, bool_or(role = 'subscriber') AS s,
+    count(*) FILTER (role = 'subscriber' AND place IS NULL) AS unhandled FROM sites GROUP BY topic),
+counted AS (
+  SELECT count(*) FILTER (p AND NOT s) AS published_only, count(*) FILTER (s AND NOT p) AS subscribed_only,
+    sum(unhandled)::BIGINT AS unhandled FROM topics)
+SELECT *, published_only + subscribed_only + unhandled = 0 AS clean FROM counted"""
 ORACLES["fact_positions"] = f"""WITH {ALL_FACTS}, placed AS ({_PLACES}),
 sizes AS (SELECT service, rank, count(*) AS n FROM placed GROUP BY service, rank)
 SELECT service, section, about, CAST(line AS BIGINT) AS line, item, item + (

@@ -478,6 +478,20 @@ def fact_positions(spark, sf_dir):
     )
 
 
+@query
+def documents_written_and_read(spark, sf_dir):
+    root = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    thousand = F.expr("ord.seq[0] div 1000").cast("string")  # documents stay small as the tables grow
+    rows = inputs.facts(spark, sf_dir).withColumn("service", F.concat_ws("-", "service", thousand))
+    contracts.write_documents(inputs.with_headers(rows), root)
+    return _plain(contracts.load_documents(spark, root))
+
+
+@query
+def orphan_check(spark, sf_dir):
+    return impact.orphan_check(_topic_facts(spark, sf_dir))
+
+
 @query
 def load_one_contract(spark, sf_dir):
     root = f"{shared_dir(spark)}/contracts-{uuid.uuid4().hex}"
