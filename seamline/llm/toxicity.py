@@ -9,9 +9,10 @@ and of what words that are far likelier in toxic texts add to it, divided by the
 words and by its root.  It is fitted, and the discount chosen among
 ``DISCOUNTS``, on labelled rows that the models have not seen.
 
-The models are fitted on a bounded sample: of each class the ``sample`` labelled rows
-with the smallest hash.  N-grams seen at least ``LEAST_SEEN`` times are sent to all tasks,
-at every size of the sample; only the sample bounds how many these are.
+The models are fitted on a bounded sample: of each class the labelled rows with the
+smallest hash, at most ``sample`` rows and ``SAMPLE_BYTES`` of text; a text that does not
+fit into what is left of these is passed over.  All n-grams of the sample, those seen
+once too, are sent to all tasks; the bytes bound how many these can be.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.llm import textbuf
@@ -28,8 +29,8 @@ from seamline.llm.frames import _quoted, text_column
 from seamline.plans.staging import stage
 
 SAMPLE = 12000
-LEAST_SEEN = 2
-DISCOUNTS = (0.75, 3, 6)  # of the smaller class
+SAMPLE_BYTES = 8 << 20  # of each class
+DISCOUNTS = (0.5, 1.5, 6)  # of the smaller class
 SURPLUS = 2.0  # the log-ratio of a word beyond which it speaks for toxicity by itself
 FIT_FIFTHS = 4  # of five parts of the sample; the rest sets the logistic function
 _U = np.uint64
@@ -78,17 +79,45 @@ def _column(rows: pa.Table, name: str, kind=float) -> np.ndarray:
 
 @dataclass
 class Models:
-    """Both models as sorted arrays; in their last dimension 0 is ordinary, 1 toxic."""
+    """Both models as sorted arrays; in their last dimension 0 is ordinary, 1 toxic.
+
+    Counts travel, probabilities are made where they are used.  Of models that differ in
+    their discount the counts are the same arrays.
+    """
 
     words: np.ndarray
-    unigram: np.ndarray  # probability of each word
-    backoff: np.ndarray  # weight of the unigram after each word
+    counts: np.ndarray  # of the words
+    contexts: np.ndarray  # distinct words before each word, of either class
     total: np.ndarray  # how often each word is a context
     bigrams: np.ndarray
-    counts: np.ndarray  # discounted counts of the bigrams
-    unseen: np.ndarray  # probability of an unknown word
+    seen: np.ndarray  # counts of the bigrams
+    tokens: np.ndarray
+    n_pairs: float
+    n_words: float
+    discount: np.ndarray
+    taken: np.ndarray  # what the discount takes off the bigrams after each word
+    mass: np.ndarray  # what it leaves, of one, to the shared counts
     weights: np.ndarray | None = None
 
+    def _shared(self, contexts):
+        return self.mass * ((contexts + 0.5) / (self.n_pairs + 0.5 * (self.n_words + 1)))
+
+    def _word(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities of words by their place, one beyond the last if unknown."""
+        known = at < len(self.words)
+        out = np.repeat(self._shared(0.0)[None], len(at), 0)
+        own = np.maximum(self.counts[at[known]] - self.discount, 0) / np.maximum(self.tokens, 1)
+        out[known] = own + self._shared(self.contexts[at[known], None])
+        return out
+
+    def _backoff(self, at: np.ndarray) -> np.ndarray:
+        """What is left for the word alone after a word."""
+        known = at < len(self.words)
+        out = np.ones((len(at), 2))
+        total = self.total[at[known]]
+        out[known] = np.where(total > 0, self.taken[at[known]] / np.maximum(total, 1), 1.0)
+        return out
+
     @classmethod
     def fit(cls, bigrams: DataFrame) -> list[Models]:
         """From distinct ``bigrams(context, word, ordinary, toxic)``, stored; one for each discount."""
@@ -106,25 +135,20 @@ class Models:
         totals = by_word.agg(F.count("*"), F.sum("contexts"), *(taken(s, d) for s, _, d in every)).first()
         n_words, n_pairs, *masses = (float(v or 0) for v in totals)
 
-        known = F.col("ordinary") + F.col("toxic") >= LEAST_SEEN
-        words = by_word.filter(known).join(by_context, "word", "left").fillna(0).toArrow()
+        words = by_word.join(by_context, "word", "left").fillna(0).toArrow()
         words = words.take(pa.array(np.argsort(_column(words, "word", _U))))
-        pairs = bigrams.filter(known).select("context", "word", *sides).toArrow()
+        pairs = bigrams.select("context", "word", *sides).toArrow()
         key = _bigram(_column(pairs, "context", _U), _column(pairs, "word", _U))
         order = np.argsort(key)
-        seen = np.stack([_column(pairs, s) for s in sides], 1)[order]
-        counts = np.stack([_column(words, s) for s in sides], 1)
-        total = np.stack([_column(words, f"{s}_n") for s in sides], 1)
-        shared = lambda contexts: (contexts + 0.5) / (n_pairs + 0.5 * (n_words + 1))
+        both = lambda table, *names: np.stack([_column(table, name, np.int32) for name in names], 1)
+        alike = (
+            _column(words, "word", _U), both(words, *sides), _column(words, "contexts", np.int32),
+            both(words, *(f"{s}_n" for s in sides)), key[order], both(pairs, *sides)[order], tokens, n_pairs, n_words,
+        )
         found = []
         for k, (d, mass) in enumerate(zip(discounts, np.array(masses).reshape(-1, 2))):
             mass = np.where(tokens > 0, mass / np.maximum(tokens, 1), 1.0)
-            lower = mass * shared(_column(words, "contexts"))[:, None]
-            left = np.stack([_column(words, f"{s}_{k}") for s in sides], 1)
-            found.append(cls(
-                _column(words, "word", _U), np.maximum(counts - d, 0) / np.maximum(tokens, 1) + lower,
-                np.where(total > 0, left / np.maximum(total, 1), 1.0), total, key[order], np.maximum(seen - d, 0), mass * shared(0.0),
-            ))
+            found.append(cls(*alike, d, np.stack([_column(words, f"{s}_{k}") for s in sides], 1), mass))
         return found
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -138,18 +162,20 @@ class Models:
             return found
         distinct, place = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
-        at = np.where(self.words[at] == distinct, at, len(self.words))[place]
-        unigram = np.concatenate([self.unigram, self.unseen[None]])[at]
+        at = np.where(self.words[at] == distinct, at, len(self.words))
+        unigram, backoff, at = self._word(at)[place], self._backoff(at)[place], at[place]
         before = np.concatenate([[len(self.words)], at[:-1]])
-        before[(np.cumsum(counts) - counts)[counts > 0]] = len(self.words)
-        p = np.concatenate([self.backoff, np.ones((1, 2))])[before] * unigram
+        backoff = np.concatenate([np.ones((1, 2)), backoff[:-1]])
+        begins = (np.cumsum(counts) - counts)[counts > 0]
+        before[begins], backoff[begins] = len(self.words), 1.0
+        p = backoff * unigram
         both = np.flatnonzero((at < len(self.words)) & (before < len(self.words)))
         if len(both) and len(self.bigrams):
             key = _bigram(words[both - 1], words[both])
             seen = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
             hit = self.bigrams[seen] == key
             both, seen = both[hit], seen[hit]
-            p[both] += self.counts[seen] / np.maximum(self.total[before[both]], 1)
+            p[both] += np.maximum(self.seen[seen] - self.discount, 0) / np.maximum(self.total[before[both]], 1)
         text = textbuf.of_text(counts)
         found[:, 0] = np.bincount(text, np.log(p[:, 1] / p[:, 0]), len(counts)) / n
         surplus = np.maximum(np.log(unigram[:, 1] / unigram[:, 0]) - SURPLUS, 0)
@@ -186,10 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [given.filter(F.col("toxic") == side).orderBy("hash", "id").limit(sample) for side in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
     texts = docs.select(id_.alias("id"), F.coalesce(F.col(_quoted(text_col)).cast("string"), F.lit("")).alias("text"))
-    texts = stage(
-        texts.join(chosen, "id").select((F.col("toxic") == 1).alias("toxic"), "text", (F.pmod("hash", F.lit(5)) < FIT_FIFTHS).alias("fits")),
-        "toxic-texts",
-    )
+    texts = texts.join(F.broadcast(_within(texts.join(chosen, "id"))), "id")
+    texts = texts.select((F.col("toxic") == 1).alias("toxic"), "text", (F.pmod("hash", F.lit(5)) < FIT_FIFTHS).alias("fits"))
+    texts = stage(texts, "toxic-texts")
     counted = texts.filter("fits").select("toxic", "text").mapInArrow(_count, "context long, word long, ordinary long, toxic long")
     counted = counted.groupBy("context", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     candidates = Models.fit(stage(counted, "toxic-bigrams"))
@@ -218,6 +243,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return best
 
 
+def _within(texts: DataFrame) -> DataFrame:
+    """``id, toxic, hash`` of the texts of each class, by hash, whose bytes fit into the sample."""
+    sizes = texts.groupBy("id", "toxic", "hash").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("hash", "id"))  # 2 * sample rows at most
+    fitting = sizes.filter(F.col("size") <= SAMPLE_BYTES).withColumn("bytes", so_far)
+    return stage(fitting.filter(F.col("bytes") <= SAMPLE_BYTES).select("id", "toxic", "hash"), "toxic-sample")
+
+
 def _held_out(id_):
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 

@@ -363,12 +363,73 @@ def test_toxicity_learns_and_scores_everything(spark, awkward, clashing, empty):
     assert toxicity.score(empty, table).count() == 0
 
 
-def test_a_rare_expression_stays_known_in_a_large_sample(spark):
-    rows = [(n, 7, 100_000, 0) for n in range(60)] + [(100, 200, 1, 1), (100, 300, 0, 1)]
-    bigrams = spark.createDataFrame(rows, "context LONG, word LONG, ordinary LONG, toxic LONG").repartition(2)
-    for models in toxicity.Models.fit(bigrams):
-        assert 200 in models.words and toxicity._bigram(np.array([100], np.uint64), np.array([200], np.uint64))[0] in models.bigrams
-        assert 300 not in models.words
+def plain_kneser_ney(training, discount):
+    """Toxic less ordinary log-likelihood a word, and what words add beyond the threshold, from counts in dictionaries."""
+    pairs = [collections.Counter(), collections.Counter()]
+    for toxic, text in training:
+        w = words(lowered(text))
+        pairs[toxic].update(zip(["<s>", *w], w))
+    n = [c.total() for c in pairs]
+    d = [discount * max(n[k], 1) / max(min(n), 1) for k in (0, 1)]
+    single = [collections.Counter() for _ in pairs]
+    for k, counted in enumerate(pairs):
+        for (_, w), c in counted.items():
+            single[k][w] += c
+    kinds = set(pairs[0]) | set(pairs[1])
+    vocabulary = {w for _, w in kinds}
+    contexts = collections.Counter(w for _, w in kinds)
+    context_n = [collections.Counter() for _ in pairs]
+    taken = [collections.Counter() for _ in pairs]
+    for k, counted in enumerate(pairs):
+        for (c, _), m in counted.items():
+            context_n[k][c] += m
+            taken[k][c] += min(m, d[k])
+    mass = [sum(min(c, d[k]) for c in single[k].values()) / n[k] for k in (0, 1)]
+
+    def word(k, w):
+        shared = (contexts[w] + 0.5) / (len(kinds) + 0.5 * (len(vocabulary) + 1))
+        return max(single[k][w] - d[k], 0) / n[k] + mass[k] * shared
+
+    def after(k, c, w):
+        if c not in vocabulary or not context_n[k][c]:
+            return word(k, w)
+        return max(pairs[k][c, w] - d[k], 0) / context_n[k][c] + taken[k][c] / context_n[k][c] * word(k, w)
+
+    def features(text):
+        w = words(lowered(text))
+        m = max(len(w), 1)
+        mean = sum(math.log(after(1, c, x) / after(0, c, x)) for c, x in zip(["<s>", *w], w)) / m
+        surplus = sum(max(math.log(word(1, x) / word(0, x)) - toxicity.SURPLUS, 0) for x in w)
+        return [mean, surplus / m, surplus / math.sqrt(m), 1]
+
+    return features
+
+
+def test_both_models_against_plain_kneser_ney(spark):
+    """Every n-gram counts, those seen once too."""
+    rnd = random.Random(8)
+    text = lambda pool, n: " ".join(rnd.choice(pool) for _ in range(n))
+    usual, vile = [f"w{k}" for k in range(80)], ["Vile", "foul", "x"] + [f"w{k}" for k in range(10)]
+    training = [(0, text(usual, rnd.randint(0, 40))) for _ in range(60)] + [(1, text(vile, rnd.randint(1, 30))) for _ in range(15)]
+    df = spark.createDataFrame(training, "toxic INT, text STRING").repartition(3)
+    counted = df.selectExpr("toxic = 1", "text").mapInArrow(toxicity._count, "context long, word long, ordinary long, toxic long")
+    counted = counted.groupBy("context", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).cache()
+    tried = [t for _, t in training[:20]] + [text(vile + usual, 50), "never seen words", "vile", "", "W1 unknown w2"]
+    for models, discount in zip(toxicity.Models.fit(counted), toxicity.DISCOUNTS):
+        plain_features = plain_kneser_ney(training, discount)
+        assert np.allclose(models.features(pa.array(tried)), [plain_features(t) for t in tried], rtol=0, atol=1e-9)
+    distinct = {(c, w) for _, t in training for c, w in zip(["<s>", *words(lowered(t))], words(lowered(t)))}
+    assert len(models.bigrams) == len(distinct)
+
+
+def test_the_sample_is_bounded_by_its_bytes(spark, monkeypatch):
+    rows = [(k % 2, k * 7919 % 101, k, "x" * (10 if k < 20 else 500)) for k in range(24)]
+    texts = spark.createDataFrame(rows, "toxic INT, hash LONG, id LONG, text STRING")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60)
+    found = {r.id for r in toxicity._within(texts).collect()}
+    for side in (0, 1):
+        order = sorted((h, r) for t, h, r, x in rows if t == side and len(x) <= 60)
+        assert {r for r in found if rows[r][0] == side} == {r for _, r in order[:6]}
 
 
 # ------------------------------------------------------------ 7 exact copies
