@@ -90,6 +90,15 @@ def with_struct(
     return chosen.mapInArrow(run, schema).toDF(*names, into)
 
 
+def hidden(df: DataFrame, *columns: str) -> tuple:
+    """``df`` with names of its own, ``own0`` and so on, and the new names of some columns.
+
+    For work that adds columns: whatever a caller's are called, they cannot clash.
+    """
+    names = [f"own{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), *(names[df.columns.index(c)] for c in columns)
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -104,6 +104,6 @@ windows AS (
 ), marked AS (SELECT *, ({_bits})::BIGINT AS failed_bits FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits & {quality_rules.mask("base")} <> 0 AS base_failed,
-       failed_bits & {quality_rules.mask("v2")} = 0 AS kept, n_lines, failed_bits
+       failed_bits & {quality_rules.mask("v3")} = 0 AS kept, n_lines, failed_bits
 FROM marked
 """

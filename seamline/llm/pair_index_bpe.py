@@ -1,9 +1,9 @@
 """Byte-level BPE by an index of pair occurrences.
 
-All new words of a part of a partition are laid side by side.  An index tells where each
-pair of neighbouring symbols that can be merged occurs.  Merges are applied in ascending
-rank to all positions of their pair at once; a merge changes the index only for the pairs
-to its left and right.  Merges never cross words, so that a word's symbols are those it would
+All new words of a part of a partition are laid side by side.  An index maps each
+pair of neighbouring symbols that can be merged to all its positions.  The active ranks are
+applied in ascending order, each to all positions of its pair; a merge changes the lists only
+of the pairs to its left and right.  Merges never cross words, so that a word's symbols are those it would
 have alone, and are kept for its next occurrence.
 """
 
@@ -32,7 +32,7 @@ WORDS = (
 )
 _KEPT = 200_000
 _LONGEST_KEPT = 64
-_SHORT = 256
+_AT_ONCE = 8192  # words that share an index
 _NONE = 1 << 30
 
 
@@ -75,10 +75,12 @@ class PairIndexTokenizer:
                 self.rank[key] = len(self.pair)
                 self.pair.append((ids[a], ids[b]))
                 self.made.append(ids[a + b])
+        self.follow: list[dict[int, int]] = [{} for _ in range(self.size)]  # ranks by left and right symbol
+        for r, (a, b) in enumerate(self.pair):
+            self.follow[a][b] = r
         made_by = dict(zip(self.made, range(len(self.made))))
         if any(max(made_by.get(a, -1), made_by.get(b, -1)) >= r for r, (a, b) in enumerate(self.pair)):
             raise ValueError("a merge must come after those that make its parts")
-        self.made_of = np.array(self.made)
         keys = np.array(list(self.rank))
         self.pair_ranks = np.argsort(keys)
         self.pair_keys = keys[self.pair_ranks]
@@ -98,101 +100,81 @@ class PairIndexTokenizer:
         self.word_ids: dict[str, bytes] = {}
 
     def merged(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each of a list of words, none empty, as little-endian 32-bit integers."""
-        short = [word for word in words if len(word) <= _SHORT]
-        found = dict(zip(short, self._merged_arrays(short)))
-        return [found.get(word) or self._merged_lists(word) for word in words]
-
-    def _merged_arrays(self, words: list[bytes]) -> list[bytes]:
-        """Short words, side by side; the index holds the rank of the pair at each position.
-
-        In a pass every word applies its lowest active rank at all positions of that
-        pair, and the ranks beside these positions are looked up again.  A merge only
-        makes pairs of higher rank, so the ranks of each word are applied in ascending
-        order, as they would be one after the other.
+        """The ids of each of a list of words, none empty, as little-endian 32-bit integers.
+
+        The words lie side by side.  The index maps the rank of every pair that can be merged
+        to all its positions; ranks are applied in ascending order, each to all its
+        positions from left to right, and the lists of the pairs beside a merge are
+        extended.  A position whose pair has changed meanwhile is passed over.
         """
         if not words:
             return []
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
         lengths = np.array([len(word) for word in words])
-        symbol, word = self.byte_id[data], np.repeat(np.arange(len(words)), lengths)
+        ends = np.cumsum(lengths)
         rank = np.full(len(data), _NONE)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        rank[inner] = self.byte_rank[data[inner] * 256 + data[inner + 1]]
-        done_word, done_symbol = [], []
-        while len(symbol):
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            lengths = np.diff(starts, append=len(word))
-            lowest = np.minimum.reduceat(rank, starts)
-            done = lowest == _NONE
-            if done.any():
-                out = np.repeat(done, lengths)
-                done_word.append(word[out])
-                done_symbol.append(symbol[out])
-                symbol, word, rank = symbol[~out], word[~out], rank[~out]
-                lowest, lengths = lowest[~done], lengths[~done]
-            at = np.flatnonzero(rank == np.repeat(lowest, lengths))
-            if not len(at):
-                break
-            # Of overlapping positions every other one, from the left.
-            first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
-            at = at[place % 2 == 0]
-            symbol[at] = self.made_of[rank[at]]
-            rest = np.ones(len(symbol), bool)
-            rest[at + 1] = False
-            symbol, word, rank = symbol[rest], word[rest], rank[rest]
-            at = at - np.arange(len(at))
-            beside = np.concatenate([at, at[at > 0] - 1])
-            rank[beside] = _NONE
-            beside = beside[beside + 1 < len(word)]
-            beside = beside[word[beside] == word[beside + 1]]
-            rank[beside] = self._ranks(symbol[beside], symbol[beside + 1])
-        word, symbol = np.concatenate(done_word), np.concatenate(done_symbol)
-        order = np.argsort(word, kind="stable")
-        ids = symbol[order].astype("<u4").tobytes()
-        cuts = [0, *(4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        wanted = left * self.size + right
-        place = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[place] == wanted, self.pair_ranks[place], _NONE)
-
-    def _merged_lists(self, word: bytes) -> bytes:
-        """One long word; the index maps each active pair to the list of its positions."""
-        symbol = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        after = [*range(1, len(symbol)), -1]
-        before = list(range(-1, len(symbol) - 1))
-        rank, size = self.rank.get, self.size
-        places: dict[int, list[int]] = {}
-
-        def add(at: int, right: int) -> None:
-            r = rank(symbol[at] * size + symbol[right])
-            if r is not None:
-                if r not in places:
-                    places[r] = []
-                    heapq.heappush(active, r)
-                places[r].append(at)
-
-        active: list[int] = []
-        for at in range(len(symbol) - 1):
-            add(at, at + 1)
+        rank[:-1] = self.byte_rank[data[:-1].astype(np.int64) * 256 + data[1:]]
+        rank[ends - 1] = _NONE
+        places = self._positions(rank)
+        follow, made, pair = self.follow, self.made, self.pair
+        symbol = self.byte_id[data].tolist()
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1] = before[ends - lengths] = -1
+        after, before = after.tolist(), before.tolist()
+        active = list(places)
+        heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
-            left, right_symbol = self.pair[r]
-            for at in sorted(places.pop(r)):
+            (left, right_symbol), new = pair[r], made[r]
+            then, found = follow[new].get, places.get
+            at_rank = places.pop(r)
+            at_rank.sort()
+            for at in at_rank:
                 right = after[at]
-                if right < 0 or symbol[at] != left or symbol[right] != right_symbol:
+                if symbol[at] != left or right < 0 or symbol[right] != right_symbol:
                     continue  # an earlier merge has taken one of the two
-                symbol[at], symbol[right] = self.made[r], -1
-                beyond = after[at] = after[right]
+                symbol[at], symbol[right] = new, -1
+                beyond, prior = after[right], before[at]
+                after[at] = beyond
                 if beyond >= 0:
                     before[beyond] = at
-                    add(at, beyond)
-                if before[at] >= 0:
-                    add(before[at], at)
-        return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
+                    beside = then(symbol[beyond])
+                    if beside is not None:
+                        listed = found(beside)
+                        if listed is None:
+                            places[beside] = [at]
+                            heapq.heappush(active, beside)
+                        else:
+                            listed.append(at)
+                if prior >= 0:
+                    beside = follow[symbol[prior]].get(new)
+                    if beside is not None:
+                        listed = found(beside)
+                        if listed is None:
+                            places[beside] = [prior]
+                            heapq.heappush(active, beside)
+                        else:
+                            listed.append(prior)
+        ids = np.array(symbol)
+        kept = ids >= 0
+        cuts = np.append(0, np.cumsum(kept)[ends - 1]) * 4
+        packed, cuts = ids[kept].astype("<u4").tobytes(), cuts.tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    @staticmethod
+    def _positions(rank: np.ndarray) -> dict[int, list[int]]:
+        """The positions of each rank."""
+        at = np.flatnonzero(rank != _NONE)
+        at = at[np.argsort(rank[at], kind="stable")]
+        ranks = rank[at]
+        first = np.flatnonzero(np.diff(ranks, prepend=-1))
+        listed, edges = at.tolist(), [*first.tolist(), len(at)]
+        return {r: listed[a:b] for r, a, b in zip(ranks[first].tolist(), edges, edges[1:])}
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left * self.size + right
+        place = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[place] == wanted, self.pair_ranks[place], _NONE)
 
     def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """The ids of chunks not seen before."""
@@ -202,12 +184,13 @@ class PairIndexTokenizer:
             known.clear()
         wanted = set().union(*cut.values())
         new = list(wanted.difference(known))
-        if new:
-            known.update(zip(new, self.merged([word.encode() for word in new])))
-        found = {chunk: b"".join([known[word] for word in words]) for chunk, words in cut.items()}
-        for word in new:
-            if len(word) > _LONGEST_KEPT:
-                del known[word]
+        for k in range(0, len(new), _AT_ONCE):
+            some = new[k : k + _AT_ONCE]
+            known.update(zip(some, self.merged([word.encode() for word in some])))
+        ids = known.__getitem__
+        found = {chunk: b"".join(map(ids, words)) if len(words) > 1 else ids(words[0]) for chunk, words in cut.items()}
+        for word in [word for word in new if len(word) > _LONGEST_KEPT]:
+            del known[word]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm import textbuf
-from seamline.llm.frames import _quoted, text_column
+from seamline.llm.frames import _quoted, hidden, text_column
 
 WINDOW = 5
 MEASURES = (
@@ -119,10 +119,11 @@ def _failed_bits(measures: str = "") -> Column:
 
 
 def keep(df: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, that no rule of the policy fails.  No shuffle."""
-    measured = df.withColumn("__m", text_column(measure, MEASURES)(F.col(_quoted(text_col))))
+    """The rows of ``df``, all columns whatever their names, that no rule of the policy fails.  No shuffle."""
+    own, text = hidden(df, text_col)
+    measured = own.withColumn("__m", text_column(measure, MEASURES)(F.col(text)))
     failed = _failed_bits("__m.").bitwiseAND(F.lit(mask(policy)))
-    return measured.filter(failed == 0).drop("__m")
+    return measured.filter(failed == 0).drop("__m").toDF(*df.columns)
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:

@@ -81,7 +81,7 @@ def op9_sharding(spark, sf_dir):
 
 @query
 def op10_quality_rules(spark, sf_dir):
-    ledger = quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)), "v2")
+    ledger = quality_rules.apply_policy(quality_rules.ledger(documents(spark, sf_dir)), "v3")
     failed_base = F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask("base"))) != 0
     return ledger.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

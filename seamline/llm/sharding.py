@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm.frames import _quoted
+from seamline.llm.frames import _quoted, hidden
 
 SHARDS = tuple(f"shard-{n:02d}" for n in range(64))
 SLOTS = 6553
@@ -92,6 +92,7 @@ def write_shards(
     tasks and a small one by few files.  ``df`` must not have a column ``shard``.
     """
     table = lookup(df.sparkSession, shards, slots).withColumnRenamed("slot", "__slot")
-    placed = df.withColumn("__slot", slot(F.col(_quoted(key_col)), slots))
-    placed = placed.join(F.broadcast(table), "__slot").drop("__slot")
+    own, key = hidden(df, key_col)
+    placed = own.withColumn("__slot", slot(F.col(key), slots)).join(F.broadcast(table), "__slot")
+    placed = placed.select(*own.columns, "shard").toDF(*df.columns, "shard")
     placed.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from seamline.llm import textbuf
 from seamline.llm.components import components
-from seamline.llm.frames import _quoted, small_enough
+from seamline.llm.frames import _quoted, hidden, small_enough
 from seamline.llm.packed import pack, range_cuts, unpack
 from seamline.plans.staging import stage
 
@@ -388,10 +388,11 @@ def near_duplicates(
     words, or null, has none and is linked with nothing.  Rows equal in id and text are
     the same node; equal texts with other ids are linked.  ``row_key`` is a hash of id
     and text.  Other columns are not read.  An empty table gives an empty result.
-    ``percent`` must be over 50.
+    ``percent`` must be at least 70: below, sets of few and frequent shingles can link
+    without a signature in common.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be over 50 and at most 100")
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100")
     chosen = df.select(
         F.col(_quoted(id_col)).alias("id"),
         F.col(_quoted(text_col)).cast("string").alias("text"),
@@ -420,12 +421,14 @@ def row_key(id_, text):
 def keep_one(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
-    """The rows of ``df``, all columns, with one row of each group of linked rows.
+    """The rows of ``df``, all columns whatever their names, with one row of each group of linked rows.
 
     The row with the least id stays, of several such the one with the least key; rows
     without words all stay.  The keys dropped are broadcast if few, else joined by
     shuffling.
     """
+    columns = df.columns
+    df, id_col, text_col = hidden(df, id_col, text_col)
     found = near_duplicates(df, id_col, text_col, percent).filter("n_shingles > 0")
     found = found.select("row_key", F.col(id_col).alias("id"), "component_key")
     found = stage(found, "shingle-found")
@@ -444,4 +447,4 @@ def keep_one(
     if not twice.isEmpty():
         one = rest.join(twice, same, "left_semi").dropDuplicates(["__row_key"])
         rest = rest.join(twice, same, "left_anti").unionByName(one)
-    return rest.drop("__row_key")
+    return rest.drop("__row_key").toDF(*columns)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.llm.frames import _quoted, small_enough
+from seamline.llm.frames import _quoted, hidden, small_enough
 from seamline.plans.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -195,10 +195,12 @@ def take(
     share: float = 1.5,
     most: float = 2.0,
 ) -> DataFrame:
-    """The mix itself: each row of ``df``, all columns, as often as ``mix`` takes it.
+    """The mix itself: each row of ``df``, all columns whatever their names, as often as ``mix`` takes it.
 
     Texts are not shuffled while the sources' thresholds are few enough to broadcast.
     """
+    columns = df.columns
+    df, id_col, text_col, source_col = hidden(df, id_col, text_col, source_col)
     rows = sized(df, id_col, text_col, source_col)
     borders = thresholds(rows, targets(rows, weights, share, most))
     borders = borders.select(F.col("key").alias("__mix_key"), "passes", "below")
@@ -210,4 +212,4 @@ def take(
     copies = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(
         F.array().cast("array<bigint>")
     )
-    return joined.withColumn("__mix_copy", F.explode(copies)).drop("__mix_key", "__mix", "__mix_copy")
+    return joined.withColumn("__mix_copy", F.explode(copies)).select(*df.columns).toDF(*columns)

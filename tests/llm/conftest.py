@@ -56,7 +56,8 @@ def clashing(awkward):
     from pyspark.sql import functions as F
 
     names = ("id key n kept size hash taken target bucket unit row n_words n_tokens failed_bits tokens "
-             "keep_id group_size component_id n_shingles score held_out slot shard full_hash").split()
+             "keep_id group_size component_id n_shingles score held_out slot shard full_hash "
+             "__m __copy_full __copy_bucket __mix __mix_key __mix_copy __key __row_key __slot own0 own3").split()
     return awkward.withColumns({name: F.lit("extra") for name in names})
 
 

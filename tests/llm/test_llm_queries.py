@@ -60,7 +60,7 @@ def test_each_stage_against_a_plain_version(spark, awkward):
     assert names == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "BPE encoding and decoding"]
 
     docs = stages[names[0]](spark, docs, SF_DIR)
-    bad = {name: rule for name, rule in quality_rules.RULES if name in quality_rules.POLICIES["v2"]}
+    bad = {name: rule for name, rule in quality_rules.RULES if name in quality_rules.POLICIES["v3"]}
     keys = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
     def passes(text):

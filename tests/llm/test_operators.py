@@ -179,11 +179,23 @@ def test_ids_and_texts_match_the_library():
         assert mine.decode(ids) == library.decode(encoding.ids, skip_special_tokens=False) == text
 
 
-def test_short_and_long_words_are_merged_alike():
-    mine = pair_index_bpe.tokenizer(open(BYTES, "rb").read())
-    parts = [w.encode() for t in odd_texts() for w in words(t) if len(w) < 300]
-    assert mine._merged_arrays(parts) == [mine._merged_lists(w) for w in parts]
-
+def test_words_are_merged_through_one_index_of_their_pairs(monkeypatch):
+    """Ordinary words side by side, and long ones, get the ids they have alone, by ranks in ascending order."""
+    mine = pair_index_bpe.PairIndexTokenizer(open(BYTES, "rb").read())
+    library = Tokenizer.from_file(BYTES)
+    rnd = random.Random(5)
+    some = ["hello", "aaaa", "aaaaa", "banana", "x" * 3000, "ab" * 700, "é漢🙂", "the"] + [
+        "".join(rnd.choice("aeinrst") for _ in range(rnd.randint(1, 40))) for _ in range(400)
+    ]
+    seen, popped = [], []
+    positions, pop = mine._positions, pair_index_bpe.heapq.heappop
+    monkeypatch.setattr(mine, "_positions", lambda rank: seen.append(positions(rank)) or seen[-1].copy())
+    monkeypatch.setattr(pair_index_bpe.heapq, "heappop", lambda heap: popped.append(pop(heap)) or popped[-1])
+    together = mine.merged([w.encode() for w in some])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in together] == [library.encode(w).ids for w in some]
+    assert popped == sorted(popped) and len(set(popped)) == len(popped) and set(seen[0]) <= set(popped)
+    assert sum(map(len, seen[0].values())) > 3000  # the pairs of all words, in one index
+    assert mine.merged([]) == []
 
 def test_tokenize(awkward, clashing, empty):
     library = Tokenizer.from_file(BYTES)
@@ -502,7 +514,7 @@ def test_components_of_near_copies(awkward, clashing, empty):
         assert plain(shingle_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == expected
     assert shingle_join.near_duplicates(empty).count() == 0
     with pytest.raises(ValueError):
-        shingle_join.near_duplicates(empty, percent=50)
+        shingle_join.near_duplicates(empty, percent=66)
 
 
 @pytest.mark.parametrize("rare,local", [(2, 3), (32, 64)])
@@ -522,7 +534,7 @@ def test_families_of_all_degrees_of_likeness(spark, monkeypatch, rare, local):
                 copy += [rnd.choice(pool) for _ in range(rnd.randint(0, len(base) // 3))]
             rows.append((len(rows), " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
-    for percent in (75, 60):
+    for percent in (75, 70):
         sets, roots, least = plain_components(rows, percent)
         expected = sorted((r[0], len(sets[n]), least[roots[n]]) for n, r in enumerate(rows))
         found = shingle_join.near_duplicates(df, percent=percent)
