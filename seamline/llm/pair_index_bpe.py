@@ -30,7 +30,8 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
-_KEPT = 200_000
+_KEPT = 100_000  # chunks
+_WORDS_KEPT = 800_000
 _LONGEST_KEPT = 64
 _AT_ONCE = 8192  # words that share an index
 _NONE = 1 << 30
@@ -180,7 +181,7 @@ class PairIndexTokenizer:
         """The ids of chunks not seen before."""
         cut = {chunk: self.words.findall(chunk) for chunk in chunks}
         known = self.word_ids
-        if len(known) > _KEPT:
+        if len(known) > _WORDS_KEPT:
             known.clear()
         wanted = set().union(*cut.values())
         new = list(wanted.difference(known))
