@@ -47,9 +47,11 @@ def byte_letters() -> dict[int, str]:
 class PairIndexTokenizer:
     """Encodes and decodes with the vocabulary of a tokenizer file, given as its bytes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, words_kept: int = _WORDS_KEPT):
         import regex
 
+        self.words_kept = words_kept
+
         spec = json.loads(data)
         model, cut = spec["model"], spec["pre_tokenizer"]
         if (
@@ -181,7 +183,7 @@ class PairIndexTokenizer:
         """The ids of chunks not seen before."""
         cut = {chunk: self.words.findall(chunk) for chunk in chunks}
         known = self.word_ids
-        if len(known) > _WORDS_KEPT:
+        if len(known) > self.words_kept:
             known.clear()
         wanted = set().union(*cut.values())
         new = list(wanted.difference(known))
@@ -222,14 +224,14 @@ class PairIndexTokenizer:
         return b"".join([piece[k] for k in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_tokenizers: dict[str, PairIndexTokenizer] = {}
+_tokenizers: dict[tuple, PairIndexTokenizer] = {}
 
 
-def tokenizer(data: bytes) -> PairIndexTokenizer:
+def tokenizer(data: bytes, words_kept: int = _WORDS_KEPT) -> PairIndexTokenizer:
     """The tokenizer of a file, made once in each process."""
-    name = hashlib.sha256(data).hexdigest()
+    name = hashlib.sha256(data).hexdigest(), words_kept
     if name not in _tokenizers:
-        _tokenizers[name] = PairIndexTokenizer(data)
+        _tokenizers[name] = PairIndexTokenizer(data, words_kept)
     return _tokenizers[name]
 
 
@@ -257,7 +259,7 @@ def id_array(ids: Column) -> Column:
 
 def tokenize(
     df: DataFrame, path: str, text_col: str = "text", into: str = "tokens", decoded: bool = False,
-    keep: list[str] | None = None, checked: bool = False,
+    keep: list[str] | None = None, checked: bool = False, words_kept: int = _WORDS_KEPT,
 ) -> DataFrame:
     """``df`` with its texts' tokens in ``into``: ``struct<n_tokens long, ids binary>``.
 
@@ -266,12 +268,13 @@ def tokenize(
     whether that is the text, found in the task.  A null text encodes like an empty
     one, to no ids.  ``into`` replaces a column of that name; all other columns stay,
     whatever their names, or those that ``keep`` lists.  Repeated rows are encoded alike; an empty table gives an empty
-    result.
+    result.  A worker keeps the ids of ``words_kept`` words, about 150 bytes each; the
+    result does not depend on it.
     """
     data = Path(path).read_bytes()
 
     def make(texts: pa.Array) -> dict:
-        of = tokenizer(data)
+        of = tokenizer(data, words_kept)
         plain = [t or "" for t in texts.to_pylist()]
         ids = of.encode(plain)
         made = {"n_tokens": np.array([len(i) // 4 for i in ids], np.int64), "ids": pa.array(ids, pa.binary())}
