@@ -14,6 +14,7 @@ from seamline.llm import exact_dedup, pair_index_bpe, quality_rules, shingle_joi
 from seamline.llm.frames import documents
 from seamline.plans.staging import stage
 
+WORDS_KEPT = 150_000  # by a worker of the last stage; earlier stages have used most of its executor's memory
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -38,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their tokens, ``n_tokens`` and packed ``ids``, and whether these decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    found = pair_index_bpe.tokenize(docs, path, keep=["doc_id", "lang", "source"], checked=True)
+    found = pair_index_bpe.tokenize(docs, path, keep=["doc_id", "lang", "source"], checked=True, words_kept=WORDS_KEPT)
     return found.select("doc_id", "lang", "source", "tokens.n_tokens", "tokens.ids", "tokens.round_trip")
 
 
