@@ -39,6 +39,11 @@ _PATTERNS = {
     "env_access": (fixed.ENV_ACCESS, ".env.", [1, 0, 0]),
     "runtime_config": (fixed.RUNTIME_CONFIG, "onfig", [1, 0, 0]),
 }
+# What the names in a file are bound by, and what the operators read with them.
+BINDING_KINDS = ("env_constant", "env_access", "runtime_config")
+TARGET_KINDS = ("definition", *BINDING_KINDS)
+API_FETCH_KINDS = ("api_fetch", *TARGET_KINDS)
+TEMPLATE_FETCH_KINDS = ("template_fetch", *BINDING_KINDS)
 _MATCH = "struct<kind:string,pos:int,line:int,groups:string>"
 
 
@@ -56,31 +61,34 @@ def _found(kind: str) -> Column:
     return F.coalesce(of_kind.cast(f"array<{_MATCH}>"), F.array().cast(f"array<{_MATCH}>"))
 
 
-def frontend_matches(files: DataFrame) -> DataFrame:
+def frontend_matches(files: DataFrame, kinds: tuple[str, ...] = ("definition", *_PATTERNS)) -> DataFrame:
     """``(service, path, kind, pos, line, name, method, route)``: every match in every file.
 
     One pass over the texts, which go no further than this; all that follows
     works on these short rows.  A file's own ``apiFetch`` wrapper is the match
-    ``definition``, with its base and the prefix of its fallback URL.
+    ``definition``, with its base and the prefix of its fallback URL.  Only matches of
+    ``kinds`` are looked for.
     """
+    patterns = [kind for kind in _PATTERNS if kind in kinds]
     text = F.col("text")
     base = first_group(text, F.lit(fixed.API_FETCH_DEFINITION), 1)
     before, after = fixed.FALLBACK_URL.split("%s")
     constant = F.concat(F.lit(before), _last_name(F.col("base")), F.lit(after))
     url = first_group(first_group(text, constant, 1), F.lit(fixed.URL_PATH), 1)
     texts = files.select("service", "path", markable(F.col("content")).alias("text"))
-    cut = texts.withColumn("base", F.when(F.contains(text, F.lit("${endpoint")), base)).select(
+    can_define = F.contains(text, F.lit("${endpoint")) if "definition" in kinds else F.lit(False)
+    cut = texts.withColumn("base", F.when(can_define, base)).select(
         "service",
         "path",
         "base",
         F.when(F.col("base").isNotNull(), restored(F.regexp_replace(url, r"/+\z", ""))).alias("prefix"),
-        *[_pieces(text, kind).alias(kind) for kind in _PATTERNS],
+        *[_pieces(text, kind).alias(kind) for kind in patterns],
     )
     definition = F.lit("definition").alias("kind"), F.lit(0), F.lit(0), F.lit("")
     own = F.when(F.col("base").isNotNull(), F.array(F.struct(*definition))).otherwise(F.array())
     # The outer form keeps Spark from testing, and so computing, the array twice.
     every = F.explode_outer(
-        F.concat(own.cast(f"array<{_MATCH}>"), *[_found(kind) for kind in _PATTERNS])
+        F.concat(own.cast(f"array<{_MATCH}>"), *[_found(kind) for kind in patterns])
     )
     rows = cut.select("service", "path", "base", "prefix", every.alias("m")).filter("m IS NOT NULL")
     is_definition = F.col("kind") == "definition"

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline import extract_frontend, schema
+from seamline.operators import frontend
 from seamline.operators.impact import section
+from tests.conftest import rows
 
 CASES = []
 
@@ -153,3 +155,12 @@ def test_case(consumers, check):
     ]
     with pytest.raises(StopIteration):
         steps.send(lambda: own)
+
+
+def test_only_the_kinds_asked_for_are_searched(sources):
+    text = "const U = process.env.USERS_API || 'https://x.y/v1'\nfetch(`${U}${endpoint}`)\nfetch(`${U}/a`)\napiFetch('/b')"
+    files = sources({"front": {"src/a.ts": text, "src/b.ts": "usersApi.get(event, '/c')"}})
+    whole = frontend.frontend_matches(files)
+    for kinds in (frontend.BINDING_KINDS, frontend.TARGET_KINDS, frontend.API_FETCH_KINDS, frontend.TEMPLATE_FETCH_KINDS, ("wrapper",)):
+        chosen, expected = frontend.frontend_matches(files, kinds), whole.filter(whole.kind.isin(*kinds))
+        assert rows(chosen, *chosen.columns) == rows(expected, *chosen.columns) != []

@@ -167,11 +167,13 @@ def resolve_routes(spark, sf_dir):
 # ---------------------------------------------------------------- front end
 
 
-def _matches(spark, sf_dir):
-    return stage(
-        frontend.frontend_matches(files.frontend_files(inputs.front_files(spark, sf_dir))),
-        "frontend-matches", "kind",
-    )
+def _searched(spark, sf_dir, kinds):
+    return frontend.frontend_matches(files.frontend_files(inputs.front_files(spark, sf_dir)), kinds)
+
+
+def _matches(spark, sf_dir, kinds):
+    """Searched once for what reads the matches several times."""
+    return stage(_searched(spark, sf_dir, kinds), "frontend-matches", "kind")
 
 
 def _front_env(spark):
@@ -185,28 +187,28 @@ def scan_frontend_files(spark, sf_dir):
 
 @query
 def fe_wrapper_calls(spark, sf_dir):
-    return frontend.wrapper_calls(_matches(spark, sf_dir), small(inputs.wrapper_dim(spark))).drop("ord")
+    return frontend.wrapper_calls(_searched(spark, sf_dir, ("wrapper",)), small(inputs.wrapper_dim(spark))).drop("ord")
 
 
 @query
 def fe_request_calls(spark, sf_dir):
-    return frontend.request_calls(_matches(spark, sf_dir), small(inputs.wrapper_dim(spark))).drop("ord")
+    return frontend.request_calls(_searched(spark, sf_dir, ("request",)), small(inputs.wrapper_dim(spark))).drop("ord")
 
 
 @query
 def fe_env_bindings(spark, sf_dir):
-    return frontend.env_bindings(_matches(spark, sf_dir), _front_env(spark))
+    return frontend.env_bindings(_matches(spark, sf_dir, frontend.BINDING_KINDS), _front_env(spark))
 
 
 @query
 def fe_apifetch_target(spark, sf_dir):
-    matches = _matches(spark, sf_dir)
+    matches = _matches(spark, sf_dir, frontend.TARGET_KINDS)
     return frontend.fetch_targets(matches, frontend.env_bindings(matches, _front_env(spark)))
 
 
 @query
 def fe_apifetch_calls(spark, sf_dir):
-    matches = _matches(spark, sf_dir)
+    matches = _matches(spark, sf_dir, frontend.API_FETCH_KINDS)
     targets = frontend.fetch_targets(matches, frontend.env_bindings(matches, _front_env(spark)))
     calls = frontend.api_fetch_calls(matches, targets)
     return frontend.with_routed_targets(calls, inputs.front_routes(spark, sf_dir)).drop("ord")
@@ -214,7 +216,7 @@ def fe_apifetch_calls(spark, sf_dir):
 
 @query
 def fe_template_fetch(spark, sf_dir):
-    matches, env = _matches(spark, sf_dir), _front_env(spark)
+    matches, env = _matches(spark, sf_dir, frontend.TEMPLATE_FETCH_KINDS), _front_env(spark)
     calls = frontend.template_fetch_calls(matches, frontend.env_bindings(matches, env), env)
     return frontend.with_routed_targets(calls, inputs.front_routes(spark, sf_dir)).drop("ord")
 
