@@ -1,5 +1,7 @@
 import ast
 
+from pyspark.sql import functions as F
+
 from seamline.operators.syntax import py_nodes, syntax_rows
 
 SOURCE = '''
@@ -92,3 +94,13 @@ def test_very_deep_expressions(spark, sources):
     assert sorted(map(tuple, found.collect())) == [
         ("app/a.py", "assign", 1), ("app/a.py", "call", 3000), ("app/b.py", "too_deep", 1),
     ]
+
+
+def test_chosen_files_and_kinds_give_the_rows_a_filter_would(spark, sources):
+    files = sources({"a": {"app/x.py": SOURCE, "app/y.py": "httpx = 1", "app/z.py": "def ("}, "b": {"app/x.py": "f(g(1))"}})
+    whole = py_nodes(files)
+    for kinds in (("call",), ("import", "function"), ("fstring", "annotated", "error"), ("class", "assign", "module")):
+        chosen = py_nodes(files, F.col("path") != "app/y.py", kinds)
+        expected = whole.filter((F.col("path") != "app/y.py") & F.col("kind").isin(*kinds))
+        assert chosen.exceptAll(expected).isEmpty() and expected.exceptAll(chosen).isEmpty()
+    assert {r.path for r in py_nodes(files, F.col("has_client")).collect()} == {"app/y.py"}
