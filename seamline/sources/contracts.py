@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from seamline import fixed, schema
 from seamline.functions.paths import match_path, ord_key
 from seamline.operators.validate import violations, whole_number
-from seamline.plans.staging import numbered, small
+from seamline.plans.staging import numbered, small, stage
 from seamline.schema import FACTS, SECTIONS, struct_type
 from seamline.sources.files import file_location, open_location
 
@@ -120,8 +120,12 @@ def last_repository(stored: DataFrame) -> DataFrame:
 
 def load_documents(spark: SparkSession, root: str, name: str = "contracts.json") -> DataFrame:
     """All facts of the valid documents ``<root>/<repo>/<name>``; of two repositories that
-    claim a service the last one counts."""
-    return last_repository(documents_to_facts(read_documents(spark, root, name)))
+    claim a service the last one counts.
+
+    The facts are staged, so that the texts are read and parsed once.
+    """
+    found = documents_to_facts(read_documents(spark, root, name))
+    return last_repository(stage(found, "document-facts", "section"))
 
 
 def load_one(spark: SparkSession, root: str, repo: str) -> DataFrame:

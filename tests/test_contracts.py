@@ -302,3 +302,11 @@ def test_extract_all_kinds(spark, sources, env, wrappers):
         ("api", "http_providers", "/api/books/{id}", None),
         ("web", "http_consumers", "/api/books/1", "api"),
     ]
+
+
+def test_documents_are_read_and_parsed_once(spark, tmp_path):
+    facts = contracts.tagged(spark.sql("SELECT 'a' AS service, 'GET' AS method, '/x' AS path, 'h' AS handler, 1 AS line"), "http_providers")
+    contracts.write_documents(facts.unionByName(contracts.header(facts)), f"file:{tmp_path}/docs")
+    loaded = contracts.load_documents(spark, f"file:{tmp_path}/docs")
+    assert not any("/docs/" in name for name in loaded.inputFiles())  # from the staged facts only
+    assert sorted(r.section for r in loaded.collect()) == ["http_providers", "service"]
