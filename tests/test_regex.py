@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline import fixed
+from seamline.functions import regex
 from seamline.functions.regex import group_values, markable, marked_pieces, matches
 
 PATTERNS = [
@@ -62,3 +63,22 @@ def test_many_matches_in_a_large_text(spark):
     cut = df.withColumn("cut", marked_pieces(F.col("t"), fixed.API_FETCH_CALL, [1]))
     (row,) = cut.select(matches(F.col("cut")).alias("m")).collect()
     assert [(m.line, m.groups) for m in row.m] == [(i + 2, f"/p{i}") for i in range(100_000)]
+
+
+def test_quick_patterns_match_the_same(spark):
+    assert regex.quick(r"\bgo\s*\(") == r"go(?<=\bgo)\s*\(" and regex.quick(r"a\b") == r"a\b"
+    texts = ["go(1) xgo(2) _go (3) égo(4) -go(5)", "é́go(1) égo(2) ́go(3)", "a.b é.c éa.d 1a.e ña.f́a.g _a.h-a.i", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for pattern in (r"\bgo\s*\((\d)", r"\b([a-zA-Z_][a-zA-Z0-9_]*)\.([a-z])"):
+        assert regex.quick(pattern) != pattern
+        both = df.select(*[F.regexp_replace("t", "(?U)" + p, "<$1>") for p in (pattern, regex.quick(pattern))])
+        assert all(row[0] == row[1] for row in both.collect())
+
+
+@pytest.mark.parametrize("count", [255, 256, 257])
+def test_lines_of_few_and_of_many_matches(spark, count):
+    text = "\n" + "".join(f"\n-x{n}" * (n % 2) + f"x{n}" for n in range(count))
+    pieces = spark.createDataFrame([(text,)], "t STRING").select(regex.marked_pieces(F.col("t"), r"x(\d+)", [1]).alias("p"))
+    found = pieces.select(regex.matches(F.col("p")).alias("m")).first().m
+    expected = [(text[: m.start()].count("\n") + 1, m[1]) for m in re.finditer(r"x(\d+)", text)]
+    assert [(m.line, m.groups) for m in found] == expected and [m.pos for m in found] == list(range(len(expected)))

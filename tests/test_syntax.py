@@ -3,6 +3,7 @@ import ast
 from pyspark.sql import functions as F
 
 from seamline.operators.syntax import py_nodes, syntax_rows
+from seamline.plans import extract
 
 SOURCE = '''
 from app.core.config import settings, other as alias
@@ -106,3 +107,29 @@ def test_chosen_files_and_kinds_give_the_rows_a_filter_would(spark, sources):
     two = py_nodes(files, columns=("service", "kind"))
     assert two.columns == ["service", "kind"] and sorted(two.collect()) == sorted(whole.select("service", "kind").collect())
     assert {r.path for r in py_nodes(files, F.col("has_client")).collect()} == {"app/y.py"}
+
+
+def test_kinds_can_differ_by_file(spark, sources):
+    files = sources({"a": {"app/x.py": SOURCE, "app/y.py": "httpx = f(1)", "app/z.py": "def ("}})
+    kinds = {"call": F.lit(True), "class": F.col("path") == "app/x.py", "assign": F.col("has_client"), "error": F.lit(None) == 1}
+    chosen, whole = py_nodes(files, kinds=kinds), py_nodes(files)
+    wanted = (F.col("kind") == "call") | ((F.col("kind") == "class") & (F.col("path") == "app/x.py"))
+    expected = whole.filter(wanted | ((F.col("kind") == "assign") & F.col("has_client")))
+    assert chosen.exceptAll(expected).isEmpty() and expected.exceptAll(chosen).isEmpty()
+
+
+def test_extraction_describes_only_what_operators_read(spark, sources):
+    uses = "import os\nfrom a import b\nclass A:\n    x: int = 1\n    def f(self): return c.get(f'{s.t}/')\nrouter = c.R()\n"
+    files = sources({"a": {
+        "app/api/x.py": uses, "app/_x.py": uses, "app/services/x.py": uses + "httpx\n", "app/core/config.py": uses,
+        "app/schemas/events.py": uses, "app/bad.py": "def (", "app/_deep.py": "-" * 50_000 + "1",
+    }})
+    found = {}
+    for row in extract.staged_nodes(files).collect():
+        found.setdefault(row.path, set()).add(row.kind)
+    routes = {"module", "import", "assign", "call"}
+    assert found == {
+        "app/api/x.py": routes, "app/_x.py": {"call"}, "app/services/x.py": routes | {"class", "function", "fstring"},
+        "app/core/config.py": routes | {"annotated"}, "app/schemas/events.py": routes | {"class"},
+        "app/_deep.py": {"too_deep"},
+    }
