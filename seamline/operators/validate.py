@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def whole_number(value: Column) -> Column:
     text = F.trim(F.try_variant_get(value, "$", "string"))
     digits = F.regexp_replace(text, r"_|\.0*\z", "")
     real = F.try_variant_get(value, "$", "double")
-    return F.when(
-        kind.isin("BIGINT", "STRING") | kind.startswith("DECIMAL"),
+    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
+        (kind == "STRING") | kind.startswith("DECIMAL"),
         F.when(F.rlike(text, F.lit(r"\A[+-]?[0-9]+(_[0-9]+)*(\.0*)?\z")), digits.try_cast("bigint")),
     ).when(
         kind.isin("DOUBLE", "FLOAT"), F.when(real == F.floor(real), F.floor(real))
@@ -89,21 +91,38 @@ def _field_violations(item: Column, pos: Column, section: str) -> list[Column]:
     return out
 
 
+def plain_types(section: str) -> list[str]:
+    """The types of whole items, as Spark writes them, that break no rule of a field's type.
+
+    Those of ordinary items: lines as plain numbers, one name of ``schema``, no other fields.
+    """
+    forms = {}
+    for name, (kind, _, nullable) in sorted(_RULES[section].items()):
+        if name != "event_schema":
+            forms[name] = ["BIGINT" if kind == "int" else "STRING"] + [None, "VOID"] * nullable
+    items = [[f"{name}: {form}" for name, form in zip(forms, chosen) if form] for chosen in product(*forms.values())]
+    return [f"OBJECT<{', '.join(fields)}>" for fields in items if fields]
+
+
 def _list_violations(document: Column, section: str) -> Column:
     """Violations of one list of the document."""
     place = schema.DOCUMENT_PATHS[section]
     items = F.try_variant_get(document, f"$.{place}", "variant")
 
     def of_item(item: Column, pos: Column) -> Column:
+        # An item is described once; only those that are not plain are looked at field by field.
+        is_plain = _type(item).isin(plain_types(section))
+        if "method" in _RULES[section]:
+            is_plain &= F.try_variant_get(item, "$.method", "string").isin(fixed.HTTP_METHODS)
         is_object = _type(item).startswith("OBJECT")
         fields = F.array(*_field_violations(item, pos, section))
-        return F.when(is_object, fields).otherwise(
+        return F.when(is_plain, none).when(is_object, fields).otherwise(
             F.array(_violation(F.lit(place), pos, F.lit("not an object")))
         )
 
+    none = F.array().cast(f"array<{_VIOLATION}>")
     elements = F.try_variant_get(items, "$", "array<variant>")
     inside = F.flatten(F.transform(elements, of_item))
-    none = F.array().cast(f"array<{_VIOLATION}>")
     return F.when(items.isNull(), none).when(
         ~_type(items).startswith("ARRAY"),
         F.array(_violation(F.lit(place), F.lit(None), F.lit("not a list"))),

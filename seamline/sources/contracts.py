@@ -267,10 +267,9 @@ def documents_to_facts(documents: DataFrame) -> DataFrame:
     are ignored and missing lists are empty.  ``contract_violations`` tells what is
     wrong with the documents left out.
     """
-    parsed = (
-        documents.select("repo", F.try_parse_json("document").alias("d"))
-        .filter(F.size(violations(F.col("d"))) == 0)
-    )
+    # As the element of a list: a filter of rows would parse the text wherever it reads the result.
+    valid = F.filter(F.array(F.try_parse_json("document")), lambda d: F.size(violations(d)) == 0)
+    parsed = documents.select("repo", F.explode(valid).alias("d"))
 
     def items(section: str) -> Column:
         found = F.try_variant_get("d", f"$.{schema.DOCUMENT_PATHS[section]}", "array<variant>")

@@ -310,3 +310,30 @@ def test_documents_are_read_and_parsed_once(spark, tmp_path):
     loaded = contracts.load_documents(spark, f"file:{tmp_path}/docs")
     assert not any("/docs/" in name for name in loaded.inputFiles())  # from the staged facts only
     assert sorted(r.section for r in loaded.collect()) == ["http_providers", "service"]
+
+
+def test_plain_items_are_told_by_their_type(spark):
+    samples = {
+        schema.HTTP_PROVIDERS: '{"path": "/a", "method": "GET", "handler": "h", "line": 1}',
+        schema.TOPICS_PUBLISHED: '{"topic": "t", "schema": null, "publisher": "p", "line": 2}',
+        schema.TOPICS_SUBSCRIBED: '{"topic": "t"}',
+        schema.EXTRACTION_WARNINGS: '{"kind": "k", "file": "f", "line": 3, "message": "m"}',
+    }
+    typed = spark.createDataFrame(list(samples.items()), "section STRING, item STRING").select(
+        "section", F.schema_of_variant(F.parse_json("item")).alias("type")
+    )
+    assert all(row.type in validate.plain_types(row.section) for row in typed.collect())
+    lists = {section: [item, item.replace('"GET"', '"get"'), item[:-1] + ', "x": 5}'] for section, item in samples.items()}
+    http, topics = ", ".join(lists[schema.HTTP_PROVIDERS]), ", ".join(lists[schema.TOPICS_SUBSCRIBED])
+    text = '{"service": "s", "provides": {"http": [%s]}, "consumes": {"topics_subscribed": [%s]}}' % (http, topics)
+    found = validate.contract_violations(spark.createDataFrame([("r", text)], "repo STRING, document STRING"))
+    assert rows(found, "location", "pos", "rule") == [
+        ("consumes.topics_subscribed", 2, "unknown field"), ("provides.http.method", 1, "unknown method"),
+    ]
+
+
+def test_a_document_is_parsed_once_where_it_is_checked(spark):
+    raw = spark.createDataFrame([("r", '{"service": "s"}'), ("q", "{")], "repo STRING, document STRING")
+    found = contracts.documents_to_facts(raw)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert rows(found, "repo", "service", "section") == [("r", "s", schema.SERVICE)]
