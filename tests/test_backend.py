@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline import extract_backend, schema
-from seamline.operators import routes
+from seamline.operators import routes, settings
 from seamline.operators.impact import section
+from seamline.plans import extract
 from seamline.plans.staging import stage
 from tests.conftest import rows
 
@@ -445,3 +446,16 @@ def test_many_services_at_once_and_one_with_most_files(spark, sources, env):
     assert facts.filter(F.col("section") == schema.SERVICE).count() == 8
     nested = section(facts, schema.HTTP_PROVIDERS).filter("service = 'nested'").first()
     assert nested.handler.startswith("app/api/r.py::")
+
+
+def test_only_counted_tables_are_broadcast_for_routers(spark, sources):
+    module = "from fastapi import APIRouter\nrouter = APIRouter(prefix=settings.P)\n"
+    files = sources({
+        "a": {"app/x/__init__.py": module, "app/x.py": module, "app/core/config.py": "P = '/p'"},
+        "b": {"app/x.py": module, "app/config.py": "P = '/q'"},
+    })
+    nodes = extract.staged_nodes(files)
+    found = routes.routers(routes.route_nodes(nodes), settings.route_settings(nodes, files.select("service", "path")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any("BroadcastHashJoin" in line and ("LeftSemi" in line or "LeftAnti" in line or "setting" in line) for line in plan.splitlines())
+    assert rows(found, "service", "module", "router", "prefix") == [("a", "app.x", "router", "/p"), ("b", "app.x", "router", "/q")]
