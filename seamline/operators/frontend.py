@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seamline import fixed
 from seamline.functions.paths import (
@@ -13,55 +14,26 @@ from seamline.functions.paths import (
     method_or_default,
     ord_key,
 )
-from seamline.functions.regex import (
-    first_group,
-    group_values,
-    markable,
-    marked_pieces,
-    matches,
-    restored,
-)
 from seamline.operators.resolve import resolve_routes
+from seamline.operators.search import search_rows
 from seamline.plans.staging import small, stage
+from seamline.schema import struct_type
 
 _FILE = ["service", "path"]
 
 # Order in which the call patterns of a file enter the document.
 _CALL_ORDER = {"wrapper": 0, "request": 1, "api_fetch": 2, "template_fetch": 3}
 
-# pattern name -> (pattern, text it cannot match without, its groups for name, method, route)
-_PATTERNS = {
-    "wrapper": (fixed.WRAPPER_CALL, "event", [1, 2, 3]),
-    "request": (fixed.REQUEST_CALL, "Request", [1, 3, 2]),
-    "api_fetch": (fixed.API_FETCH_CALL, "apiFetch", [0, 2, 1]),
-    "template_fetch": (fixed.TEMPLATE_FETCH_CALL, "fetch", [1, 3, 2]),
-    "env_constant": (fixed.ENV_CONSTANT, ".env.", [1, 0, 2]),
-    "env_access": (fixed.ENV_ACCESS, ".env.", [1, 0, 0]),
-    "runtime_config": (fixed.RUNTIME_CONFIG, "onfig", [1, 0, 0]),
-}
 # What the names in a file are bound by, and what the operators read with them.
 BINDING_KINDS = ("env_constant", "env_access", "runtime_config")
 TARGET_KINDS = ("definition", *BINDING_KINDS)
 API_FETCH_KINDS = ("api_fetch", *TARGET_KINDS)
 TEMPLATE_FETCH_KINDS = ("template_fetch", *BINDING_KINDS)
-_MATCH = "struct<kind:string,pos:int,line:int,groups:string>"
-
-
-def _pieces(text: Column, kind: str) -> Column:
-    """Text cut at the matches of one pattern; null if it cannot hold one."""
-    pattern, needle, groups = _PATTERNS[kind]
-    return F.when(F.contains(text, F.lit(needle)), marked_pieces(text, pattern, groups))
-
-
-def _found(kind: str) -> Column:
-    of_kind = F.transform(
-        matches(F.col(kind)),
-        lambda m: F.struct(F.lit(kind).alias("kind"), m["pos"], m["line"], m["groups"]),
-    )
-    return F.coalesce(of_kind.cast(f"array<{_MATCH}>"), F.array().cast(f"array<{_MATCH}>"))
+ALL_KINDS = ("definition", "wrapper", "request", "api_fetch", "template_fetch", "env_constant", "env_access", "runtime_config")
+_MATCHES = "service string, path string, kind string, pos int, line int, name string, method string, route string"
 
 
-def frontend_matches(files: DataFrame, kinds: tuple[str, ...] = ("definition", *_PATTERNS)) -> DataFrame:
+def frontend_matches(files: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """``(service, path, kind, pos, line, name, method, route)``: every match in every file.
 
     One pass over the texts, which go no further than this; all that follows
@@ -69,39 +41,13 @@ def frontend_matches(files: DataFrame, kinds: tuple[str, ...] = ("definition", *
     ``definition``, with its base and the prefix of its fallback URL.  Only matches of
     ``kinds`` are looked for.
     """
-    patterns = [kind for kind in _PATTERNS if kind in kinds]
-    text = F.col("text")
-    base = first_group(text, F.lit(fixed.API_FETCH_DEFINITION), 1)
-    before, after = fixed.FALLBACK_URL.split("%s")
-    constant = F.concat(F.lit(before), _last_name(F.col("base")), F.lit(after))
-    url = first_group(first_group(text, constant, 1), F.lit(fixed.URL_PATH), 1)
-    texts = files.select("service", "path", markable(F.col("content")).alias("text"))
-    can_define = F.contains(text, F.lit("${endpoint")) if "definition" in kinds else F.lit(False)
-    cut = texts.withColumn("base", F.when(can_define, base)).select(
-        "service",
-        "path",
-        "base",
-        F.when(F.col("base").isNotNull(), restored(F.regexp_replace(url, r"/+\z", ""))).alias("prefix"),
-        *[_pieces(text, kind).alias(kind) for kind in patterns],
-    )
-    definition = F.lit("definition").alias("kind"), F.lit(0), F.lit(0), F.lit("")
-    own = F.when(F.col("base").isNotNull(), F.array(F.struct(*definition))).otherwise(F.array())
-    # The outer form keeps Spark from testing, and so computing, the array twice.
-    every = F.explode_outer(
-        F.concat(own.cast(f"array<{_MATCH}>"), *[_found(kind) for kind in patterns])
-    )
-    rows = cut.select("service", "path", "base", "prefix", every.alias("m")).filter("m IS NOT NULL")
-    is_definition = F.col("kind") == "definition"
-    name, method, route = (F.nullif(F.get("parts", F.lit(i)), F.lit("")) for i in range(3))
-    return rows.select(
-        "service", "path", "base", "prefix", "m.kind", "m.pos", "m.line",
-        group_values(F.col("m.groups")).alias("parts"),
-    ).select(
-        "service", "path", "kind", "pos", "line",
-        F.when(is_definition, F.col("base")).otherwise(name).alias("name"),
-        method.alias("method"),
-        F.when(is_definition, F.col("prefix")).otherwise(route).alias("route"),
-    )
+    schema = struct_type(_MATCHES)
+    arrow_schema = to_arrow_schema(schema)
+
+    def searched(batches):
+        return search_rows(batches, kinds, arrow_schema)
+
+    return files.filter(F.col("content").isNotNull()).select("service", "path", "content").mapInArrow(searched, schema)
 
 
 def _last_name(base: Column) -> Column:
