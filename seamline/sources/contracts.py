@@ -138,15 +138,20 @@ def discover_repositories(spark: SparkSession, root: str) -> DataFrame:
     return committed(spark, root).select("repo").orderBy("repo")
 
 
+def _placed(facts: DataFrame) -> DataFrame:
+    """Facts with ``position``, their place in the service's document."""
+    sections = F.array(*[F.lit(name) for name in (schema.SERVICE, *SECTIONS)])
+    named = dict.fromkeys(c for columns in SECTIONS.values() for c in columns)
+    order = [F.array_position(sections, F.col("section")), F.col("ord"), F.struct(*[c for c in facts.columns if c in named])]
+    return numbered(facts, ["service"], order, "position")
+
+
 def with_positions(facts: DataFrame) -> DataFrame:
     """Facts with ``position``, their place in the service's document, and ``item``, that in their list.
 
     Facts of one place are in the order of their columns.
     """
-    sections = F.array(*[F.lit(name) for name in (schema.SERVICE, *SECTIONS)])
-    named = dict.fromkeys(c for columns in SECTIONS.values() for c in columns)
-    order = [F.array_position(sections, F.col("section")), F.col("ord"), F.struct(*[c for c in facts.columns if c in named])]
-    placed = numbered(facts, ["service"], order, "position")
+    placed = _placed(facts)
     first = placed.groupBy("service", "section").agg(F.min("position").alias("begin"))
     listed = placed.join(small(first), ["service", "section"])
     return listed.withColumn("item", F.col("position") - F.col("begin")).select(*facts.columns, "position", "item")
@@ -203,12 +208,12 @@ def document_parts(facts: DataFrame) -> DataFrame:
     repo = F.coalesce("repo", "service") if "repo" in facts.columns else F.col("service")
     owners = facts.select("service", repo.alias("repo")).groupBy("service").agg(F.max("repo").alias("repo"))
     plain = facts.drop("repo").filter(F.col("section") != schema.SERVICE)
-    placed = with_positions(plain.unionByName(header(facts)))
+    placed = _placed(plain.unionByName(header(facts)))
     rank = F.array_position(F.array(*[F.lit(name) for name in SECTIONS]), F.col("section"))  # 0: the header
-    counts = placed.groupBy("service", "section").agg(F.count("*").alias("n")).withColumn("rank", rank)
+    counts = placed.groupBy("service", "section").agg(F.count("*").alias("n"), F.min("position").alias("begin")).withColumn("rank", rank)
     of_service = Window.partitionBy("service").orderBy("rank")
     lists = counts.select(
-        "service", "section", "rank",
+        "service", "section", "rank", "begin",
         F.greatest(F.coalesce(F.lag("rank").over(of_service), F.lit(1)), F.lit(1)).alias("prior"),
         F.when(F.lead("rank").over(of_service).isNull(), F.col("n")).alias("ends"),
     )
@@ -218,7 +223,9 @@ def document_parts(facts: DataFrame) -> DataFrame:
     tail = F.when(
         F.col("item") == F.col("ends") - 1, F.array_join(F.slice(between, here, len(_BETWEEN) - here + 1), "")
     ).otherwise("")
-    items = placed.join(small(lists), ["service", "section"]).join(small(owners), "service")
+    # All that is known of a list comes by one join, as the facts are many.
+    listed = placed.join(small(lists.join(owners, "service")), ["service", "section"])
+    items = listed.withColumn("item", F.col("position") - F.col("begin"))
     opening = F.concat(
         F.regexp_replace(_item(), r"\}\z", ""), F.lit(',"provides":{"http":['), tail
     )

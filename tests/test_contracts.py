@@ -337,3 +337,14 @@ def test_a_document_is_parsed_once_where_it_is_checked(spark):
     found = contracts.documents_to_facts(raw)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
     assert rows(found, "repo", "service", "section") == [("r", "s", schema.SERVICE)]
+
+
+def test_documents_are_put_together_by_two_joins_of_the_facts(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(contracts, "small", lambda df: counted.append(df.columns) or df)
+    facts = spark.sql("SELECT 'a' AS service, '/x' AS path, 1 AS line UNION ALL SELECT 'b', '/y', 2")
+    facts = contracts.tagged(facts, schema.HTTP_PROVIDERS)
+    parts = contracts.document_parts(facts.unionByName(contracts.header(facts)))
+    assert len(counted) == 1  # besides that of the positions
+    texts = {r.repo: json.loads(r.text) for r in parts.collect()}
+    assert {k: [i["path"] for i in t["provides"]["http"]] for k, t in texts.items()} == {"a": ["/x"], "b": ["/y"]}
