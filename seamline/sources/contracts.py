@@ -295,27 +295,32 @@ def documents_to_facts(documents: DataFrame) -> DataFrame:
         F.try_variant_get("d", "$.service", "string").alias("service"),
         F.explode(F.concat(head, *[items(s) for s in SECTIONS])).alias("e"),
     )
+    # An item's fields are taken from it at once; the head's are none.
+    texts = [f.name for f in struct_type(FACTS).fields if f.dataType.simpleString() == "string" and f.name not in ("service", "section", "norm_path")]
+    wanted = ", ".join(f"{name}: string" for name in [*texts, "event_schema"])
     is_head = F.col("e.section") == schema.SERVICE
+    rows = rows.select(
+        "repo", "service", "e",
+        F.when(~is_head, F.try_variant_get("e.item", "$", f"struct<{wanted}>")).alias("text"),
+        F.when(~is_head, F.try_variant_get("e.item", "$.line", "variant")).alias("line"),
+        F.when(~is_head, F.try_variant_get("e.item", "$.schema", "variant").isNull()).alias("named_otherwise"),
+    )
 
-    def field(name: str, kind: str) -> Column:
-        value = F.try_variant_get("e.item", f"$.{name}", kind)
+    def field(name: str) -> Column:
         if name == "line":
-            value = whole_number(F.try_variant_get("e.item", "$.line", "variant"))
+            return whole_number(F.col("line"))
         if name == "schema":  # either name is accepted; the first counts, null or not
-            value = F.when(
-                F.try_variant_get("e.item", "$.schema", "variant").isNull(),
-                F.try_variant_get("e.item", "$.event_schema", kind),
-            ).otherwise(value)
-        return F.when(~is_head, value)
+            return F.when(F.col("named_otherwise"), F.col("text.event_schema")).otherwise(F.col("text.schema"))
+        return F.col(f"text.{name}")
 
     given = {
         "service": F.col("service"),
         "section": F.col("e.section"),
         "ord": ord_key(0, F.array().cast("array<string>"), F.col("e.pos")),
-        "norm_path": match_path(field("path", "string")),
+        "norm_path": match_path(field("path")),
     }
     return rows.select("repo", *[
-        given.get(f.name, field(f.name, f.dataType.simpleString())).cast(f.dataType).alias(f.name)
+        (given[f.name] if f.name in given else field(f.name)).cast(f.dataType).alias(f.name)
         for f in struct_type(FACTS).fields
     ])
 
